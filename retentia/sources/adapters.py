@@ -108,7 +108,11 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").select(
+    return messages_of(load(spark, sf_dir, "events"))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("ccod"), F.col("ts").alias("created_at"),
         F.concat(F.lit("R"), F.floor(F.col("event_id") / 3)).alias("rcno"),
     )
@@ -120,9 +124,13 @@ def event_number() -> Column:
 
 
 def message_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return message_category_of(load(spark, sf_dir, "events"))
+
+
+def message_category_of(events: DataFrame) -> DataFrame:
     """Events as classified messages with up to five category codes."""
     k = event_number()
-    return load(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("msg_id"),
         (F.col("value") >= 20).cast("int").alias("is_claim"),
         F.col("event_type").alias("detail_category_1_code"),

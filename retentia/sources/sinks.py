@@ -66,10 +66,10 @@ def merged(current: DataFrame, updates: DataFrame, keys: list[str], now: Column)
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.globStatus(path))
 
 
 def upsert(
@@ -85,7 +85,7 @@ def upsert(
     """
     spark = updates.sparkSession
     if not _exists(spark, f"{staging}/_SUCCESS"):
-        if _exists(spark, f"{path}/_SUCCESS"):
+        if _exists(spark, f"{path}/{partition}=*"):
             touched = updates.select(partition).distinct()
             current = spark.read.parquet(path).join(touched, partition, "left_semi")
             rows = merged(current, updates, keys, now)
