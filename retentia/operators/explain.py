@@ -112,13 +112,6 @@ def scoring_variant(features: DataFrame, variant: str = "diverse") -> DataFrame:
     )
 
 
-def column_statistics(features: DataFrame, names: list[str] = MODEL_FEATURES) -> DataFrame:
-    """Mean and sample deviation of every feature in one pass."""
-    return features.agg(
-        *[F.avg(f).alias(f"m_{f}") for f in names], *[F.stddev_samp(f).alias(f"s_{f}") for f in names]
-    )
-
-
 def top_contributions(
     features: DataFrame,
     importance: list[float],
@@ -132,27 +125,33 @@ def top_contributions(
     order.  Statistics cover the whole scoring set.  Everything happens inside
     the row.  ``places`` rounds contributions before ranking.
     """
-    stats = one_row(column_statistics(features, names))
-    with_stats = features.withColumn("_s", stats)
+    stats = features.agg(
+        F.array(*[F.avg(f) for f in names]).alias("mean"), F.array(*[F.stddev_samp(f) for f in names]).alias("dev")
+    )
+    rows = features.select(
+        "ccod", F.array(*[F.col(f).cast("double") for f in names]).alias("values"), one_row(stats).alias("s")
+    )
+    factors = F.array(*[F.lit(w * diversity_weight(f)) for f, w in zip(names, importance, strict=True)])
+    labels = F.array(*[F.lit(f) for f in names])
 
-    def item(i: int, f: str) -> Column:
-        value, dev = F.col(f).cast("double"), F.col("_s")[f"s_{f}"]
-        z = F.when(dev > 0, (value - F.col("_s")[f"m_{f}"]) / dev).otherwise(0.0)
-        contribution = F.lit(importance[i]) * z * F.lit(diversity_weight(f))
+    def item(value: Column, i: Column) -> Column:
+        mean, dev = F.get(F.col("s")["mean"], i), F.get(F.col("s")["dev"], i)
+        z = F.when(dev > 0, (value - mean) / dev).otherwise(0.0)
+        contribution = F.get(factors, i) * z
         if places is not None:
             contribution = F.round(contribution, places) + F.lit(0.0)
         return F.struct(
-            (-F.abs(contribution)).alias("o"), F.lit(i).alias("i"), F.lit(f).alias("feature"),
-            value.alias("value"), contribution.alias("contribution"),
+            (-F.abs(contribution)).alias("o"), i.alias("i"), value.alias("value"), contribution.alias("contribution")
         )
 
-    items = F.array(*[item(i, f) for i, f in enumerate(names)])
-    top = F.slice(F.array_sort(items), 1, k)
-    return with_stats.select(
-        "ccod", F.transform(top, lambda x: F.struct(
-            x["feature"].alias("feature"), x["value"].alias("value"), x["contribution"].alias("contribution")
-        )).alias("top")
+    strongest = F.slice(F.array_sort(F.transform("values", item)), 1, k)
+    named = F.transform(
+        strongest,
+        lambda x: F.struct(
+            F.get(labels, x["i"]).alias("feature"), x["value"].alias("value"), x["contribution"].alias("contribution")
+        ),
     )
+    return rows.select("ccod", named.alias("top"))
 
 
 def class_means(features: DataFrame, label: str, names: list[str]) -> DataFrame:

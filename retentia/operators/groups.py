@@ -6,7 +6,7 @@
   splits a hot partition.  A window would put the whole key into one task.
 * ``next_value`` is ``lead`` over an order column, computed on the distinct
   order values of a key rather than on its rows.
-* ``nest`` collects children in parts of bounded size.
+* ``packed`` and ``nest`` collect children in parts of bounded size.
 * ``top_per_group`` is a rank filter, which Spark cuts to k rows per task and
   group before the shuffle.
 """
@@ -46,38 +46,46 @@ def next_value(rows: DataFrame, keys: list[str], order: str, tie: str, into: str
     )
 
 
-def nest(
-    parent: DataFrame,
+def packed(
     child: DataFrame,
     keys: list[str],
     into: str,
     element: list[str],
     order: list[str],
     max_items: int = 100_000,
+    weight: Column | None = None,
 ) -> DataFrame:
-    """Children of each parent row as a sorted array, empty when there are none.
+    """Children of a key as sorted arrays: keys, ``part``, ``into``.
 
-    A parent with more than ``max_items`` children appears once per part of
-    about that many children, numbered in ``<into>_part``; nothing is dropped
-    and no array outgrows a row.  All other parents appear once, with part 0.
+    A key whose children weigh more than ``max_items`` (one each, unless
+    ``weight`` says more) is cut by hash into parts of about that weight;
+    nothing is dropped and no array outgrows a row.  All others have part 0.
     """
-    part = f"{into}_part"
     item = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *element])])
-    sizes = child.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_items).alias("_parts"))
-    hot = sizes.where("_parts > 1")
-    spread = child.join(hot, keys, "left").withColumn(
-        part,
-        F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(*order, *element), F.col("_parts"))).otherwise(0).cast("int"),
-    )
-    packed = spread.groupBy(*keys, part).agg(F.array_sort(F.collect_list(item)).alias(into))
+    size = F.sum(weight if weight is not None else F.lit(1))
+    hot = child.groupBy(*keys).agg(F.ceil(size / max_items).alias("_parts")).where("_parts > 1")
+    cut = F.pmod(F.xxhash64(*order, *element), F.col("_parts"))
+    spread = child.join(hot, keys, "left").withColumn("part", F.coalesce(cut, F.lit(0)).cast("int"))
+    lists = spread.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(item)).alias(into))
     if list(dict.fromkeys([*order, *element])) != element:
-        packed = packed.withColumn(
-            into, F.transform(F.col(into), lambda x: F.struct(*[x[c].alias(c) for c in element]))
-        )
-    return (
-        parent.join(packed, keys, "left")
-        .withColumn(into, F.coalesce(F.col(into), F.array().cast(packed.schema[into].dataType)))
-        .withColumn(part, F.coalesce(F.col(part), F.lit(0)))
+        chosen = F.transform(into, lambda x: F.struct(*[x[c].alias(c) for c in element]))
+        lists = lists.withColumn(into, chosen)
+    return lists
+
+
+def nest(parent: DataFrame, keys: list[str], *children: DataFrame) -> DataFrame:
+    """Arrays of one or more packed child tables on their parent row.
+
+    A parent without children has empty arrays.  A parent with several parts
+    appears once per ``part``, each array element in exactly one of them.
+    """
+    together = children[0]
+    for other in children[1:]:
+        together = together.join(other, [*keys, "part"], "full")
+    rows = parent.join(together, keys, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    arrays = [c for child in children for c in child.columns if c not in (*keys, "part")]
+    return rows.withColumns(
+        {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in arrays}
     )
 
 

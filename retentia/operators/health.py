@@ -34,26 +34,23 @@ def drift(counts: DataFrame) -> DataFrame:
     Densities get a small constant, are scaled to sum 1 again and compared as
     sum of p ln(p / q).
     """
-    columns = []
-    for b in range(BINS):
-        for period in ("baseline", "current"):
-            hit = (F.col("bin") == b) & (F.col("period") == period)
-            columns.append(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(f"{period}_{b}"))
-    wide = counts.agg(*columns)
-
-    def densities(period: str) -> tuple[list[Column], Column]:
-        cells = [F.col(f"{period}_{b}") for b in range(BINS)]
-        total = sum(cells[1:], cells[0])
-        # Density over bins of equal width, smoothed.
-        smooth = [c / F.nullif(total, F.lit(0)) * BINS + EPSILON for c in cells]
-        return smooth, total
-
-    p, p_total = densities("baseline")
-    q, q_total = densities("current")
-    p_sum, q_sum = sum(p[1:], p[0]), sum(q[1:], q[0])
-    terms = [pb / p_sum * F.ln((pb / p_sum) / (qb / q_sum)) for pb, qb in zip(p, q, strict=True)]
-    value = sum(terms[1:], terms[0])
-    return wide.select(F.when((p_total > 0) & (q_total > 0), value).otherwise(0.0).alias("confidence_drift"))
+
+    def counted(period: str) -> Column:
+        cells = [F.when((F.col("bin") == b) & (F.col("period") == period), F.col("n")) for b in range(BINS)]
+        return F.array(*[F.coalesce(F.sum(c), F.lit(0)) for c in cells]).alias(period)
+
+    def total(cells: Column) -> Column:
+        return F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
+
+    def distribution(period: str) -> Column:
+        counts_of = F.col(period)
+        dense = F.transform(counts_of, lambda c: c / total(counts_of) * BINS + EPSILON)
+        return F.transform(dense, lambda x: x / total(dense))
+
+    sides = counts.agg(counted("baseline"), counted("current"))
+    terms = F.zip_with(distribution("baseline"), distribution("current"), lambda p, q: p * F.ln(p / q))
+    filled = (total(F.col("baseline")) > 0) & (total(F.col("current")) > 0)
+    return sides.select(F.when(filled, total(terms)).otherwise(0.0).alias("confidence_drift"))
 
 
 def confidence_drift(

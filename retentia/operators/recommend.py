@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.dates import LAST_VALID, parse_date
-from retentia.operators.groups import nest, top_per_group
+from retentia.operators.groups import top_per_group
 from retentia.operators.profile import top_values
 
 CANDIDATES, OFFERS = 10, 3
@@ -75,10 +75,12 @@ def wide_offers(name: str, reason: str, offers_column: Column, keep: int = OFFER
     return out
 
 
-def distinct_list(parent: DataFrame, rows: DataFrame, value: str, into: str) -> DataFrame:
-    """Sorted distinct values per customer as JSON text, ``[]`` when none."""
-    lists = nest(parent, rows.select("ccod", value).distinct(), ["ccod"], into, [value], [value])
-    return lists.withColumn(into, F.to_json(F.transform(into, lambda x: x[value])))
+def distinct_list(rows: DataFrame, value: str, into: str) -> DataFrame:
+    """Sorted distinct values per customer as JSON text.
+
+    The list is as long as the catalogue at most, however many rows there are.
+    """
+    return rows.groupBy("ccod").agg(F.to_json(F.array_sort(F.collect_set(value))).alias(into))
 
 
 def recommendations(
@@ -104,8 +106,10 @@ def recommendations(
 
     names = members.select(F.col("ccod").alias("sim_ccod"), F.col("name").alias("sim_user_name"))
     peers = neighbors.select(F.col("sim_ccod").alias("ccod")).distinct()
-    lists = distinct_list(peers, contracts, "item", "sim_user_contracts").drop("sim_user_contracts_part")
-    lists = distinct_list(lists, products, "item", "sim_user_products").drop("sim_user_products_part")
+    lists = peers
+    for rows, into in ((contracts, "sim_user_contracts"), (products, "sim_user_products")):
+        wanted = rows.join(peers, "ccod", "left_semi")
+        lists = lists.join(distinct_list(wanted, "item", into), "ccod", "left")
     lists = lists.withColumnRenamed("ccod", "sim_ccod")
     return (
         chosen.join(neighbors, "ccod", "left")
