@@ -13,6 +13,7 @@ from retentia.functions.numbers import round_even
 from retentia.operators import churn, explain, features, keys, neighbors, profile, recommend, sampling, segments
 from retentia.operators import contracts as C
 from retentia.schemas import MODEL_FEATURES
+from retentia.session import materialise
 from retentia.sources import adapters as A
 
 MONTH = date(2024, 1, 1)
@@ -22,11 +23,11 @@ MONTH = date(2024, 1, 1)
 HELD_SQL = """
 WITH members AS (SELECT CAST(c_custkey AS VARCHAR) AS ccod, c_mktsegment AS cluster, c_name AS name, n_name AS biz_type
                  FROM customer JOIN nation ON n_nationkey = c_nationkey),
-held AS (SELECT cluster, ccod, o_orderpriority AS target, CAST(o_orderdate AS DATE) AS at, CAST(o_orderkey AS VARCHAR) AS no
+held AS (SELECT cluster, ccod, o_orderpriority AS target, CAST(o_orderdate AS DATE) AS day_at, CAST(o_orderkey AS VARCHAR) AS contract_no
          FROM orders JOIN members ON ccod = CAST(o_custkey AS VARCHAR)),
 bought AS (SELECT cluster, ccod, p_brand AS service_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey
            JOIN part ON p_partkey = l_partkey JOIN members ON ccod = CAST(o_custkey AS VARCHAR)),
-firsts AS (SELECT cluster, ccod, target FROM held QUALIFY row_number() OVER (PARTITION BY ccod ORDER BY at, no) = 1),
+firsts AS (SELECT cluster, ccod, target FROM held QUALIFY row_number() OVER (PARTITION BY ccod ORDER BY day_at, contract_no) = 1),
 sizes AS (SELECT m.cluster, m.ccod, biz_type, coalesce(h.n, 0) AS nc, coalesce(b.n, 0) AS np FROM members m
           LEFT JOIN (SELECT ccod, count(*) AS n FROM held GROUP BY 1) h USING (ccod)
           LEFT JOIN (SELECT ccod, count(*) AS n FROM bought GROUP BY 1) b USING (ccod))
@@ -281,7 +282,8 @@ top AS (SELECT ccod, x.feature AS feature, x.value AS value, x.c AS contribution
 
 
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = explain.scoring_variant(feature_table(spark, sf_dir))
+    # Statistics and explanations read the stored features, not the history.
+    values = explain.scoring_variant(materialise(feature_table(spark, sf_dir), "features"))
     return explain.top_contributions(values, IMPORTANCE, places=9)
 
 
@@ -390,9 +392,9 @@ def _segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segment_rows(spark, sf_dir)
-    for column in segments.LABEL_COLUMNS:
-        rows = segments.encode_labels(rows, segments.label_codes(rows, column), column, f"{column}_code")
-    return segments.with_defaults(rows)
+    codes = materialise(segments.label_codes(rows, segments.LABEL_COLUMNS), "codes")
+    encoded = segments.encode_labels(rows, codes, segments.LABEL_COLUMNS)
+    return materialise(segments.with_defaults(encoded), "encoded")
 
 
 @query(
@@ -404,8 +406,8 @@ FROM base JOIN a ON a.l = class_mid JOIN b ON b.l = class_detail"""
 )
 def label_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segment_rows(spark, sf_dir)
-    for column in ("class_mid", "class_detail"):
-        rows = segments.encode_labels(rows, segments.label_codes(rows, column), column, f"{column}_code")
+    columns = ["class_mid", "class_detail"]
+    rows = segments.encode_labels(rows, segments.label_codes(rows, columns), columns)
     return rows.select("ccod", *whole("class_mid_code", "class_detail_code"))
 
 
@@ -427,7 +429,7 @@ def _segment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = _encoded(spark, sf_dir)
     projected = segments.apply_class_pca(encoded, *segments.fit_class_pca(encoded))
     scaled = segments.standardise(projected, segments.FEATURES)
-    return segments.with_vector(scaled, segments.FEATURES).select("ccod", "features")
+    return materialise(segments.with_vector(scaled, segments.FEATURES).select("ccod", "features"), "vectors")
 
 
 @query()
@@ -439,7 +441,7 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segment_vectors(spark, sf_dir).cache()
+    rows = _segment_vectors(spark, sf_dir)
     model = segments.fit_clusters(rows, k=10, restarts=2, iterations=20)
     longest = segments.longest_center_distance(rows, model)
     own = segments.center_distance(F.col("features"), F.col("cluster"), model)
@@ -448,7 +450,7 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_count_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segment_vectors(spark, sf_dir).cache()
+    rows = _segment_vectors(spark, sf_dir)
     _, scores = segments.choose_k(rows, range(2, 5), restarts=1)
     values = [(s.k, s.cost, s.silhouette, s.davies_bouldin) for s in scores]
     return spark.createDataFrame(values, "k int, cost double, silhouette double, davies_bouldin double")
@@ -461,7 +463,8 @@ SMALL = {"maxIter": 10, "maxDepth": 4}
 
 def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = features.training_rows(feature_table(spark, sf_dir), min_work=1, rule=LABEL_RULE)
-    split = sampling.stratified_split(rows, "ccod", "churn", 0.2).cache()
+    rows = materialise(rows, "training")
+    split = materialise(sampling.stratified_split(rows, "ccod", "churn", 0.2), "split")
     return split.where("held_out = 0"), split.where("held_out = 1")
 
 
@@ -470,7 +473,7 @@ def churn_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit_on, _ = _training(spark, sf_dir)
     model = churn.fit_churn(fit_on, **SMALL)
     means = explain.mean_maps(explain.class_means(fit_on, "churn", MODEL_FEATURES), "churn", MODEL_FEATURES)
-    rows = feature_table(spark, sf_dir).cache()
+    rows = materialise(feature_table(spark, sf_dir), "features")
     predictions = churn.predict_churn(model, rows, F.lit(MONTH), means[0], means[1])
     return predictions.withColumn("churn_prob", F.round("churn_prob", 6))
 

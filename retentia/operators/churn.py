@@ -45,8 +45,7 @@ def weighted(rows: DataFrame, label: str, weight: float = POSITIVE_WEIGHT) -> Da
 
 def _classifier(label: str, seed: int, **settings) -> GBTClassifier:
     return GBTClassifier(
-        labelCol=label, featuresCol="_features", weightCol="_weight", predictionCol="_prediction",
-        probabilityCol="_probability", rawPredictionCol="_raw", seed=seed,
+        labelCol=label, featuresCol="_features", weightCol="_weight", seed=seed,
         featureSubsetStrategy=FEATURE_SHARE, **settings,
     )
 
@@ -74,7 +73,7 @@ def search_churn(
             builder = builder.addGrid(model.getParam(name), values)
         search = CrossValidator(
             estimator=Pipeline(stages=[assembler, model]), estimatorParamMaps=builder.build(),
-            evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="_raw"), numFolds=folds, seed=seed,
+            evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction"), numFolds=folds, seed=seed,
         ).fit(weighted(rows, label, weight))
         score = max(search.avgMetrics)
         if best is None or score > best[1]:
@@ -98,8 +97,8 @@ def importance_rank(spark, names: list[str], values: list[float], k: int = 10) -
 
 def score(model: PipelineModel, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Probability of churn and the decision at a threshold."""
-    scored = model.transform(rows).withColumn("churn_prob", vector_to_array("_probability")[1])
-    helpers = ["_features", "_raw", "_probability", "_prediction"]
+    scored = model.transform(rows).withColumn("churn_prob", vector_to_array("probability")[1])
+    helpers = ["_features", "rawPrediction", "probability", "prediction"]
     return scored.withColumn("churn_label", F.when(F.col("churn_prob") > threshold, 1).otherwise(0)).drop(*helpers)
 
 

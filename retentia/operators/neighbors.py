@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions.numbers import as_doubles
 from retentia.operators.groups import top_per_group
+from retentia.session import materialise
 
 # Points aimed at per cell, and the most pivots a cluster may have.  Pivots are
 # the only rows that reach the driver: at most clusters x MAX_PIVOTS.
@@ -103,8 +103,7 @@ def nearest_in_cluster(
     placed = points.select("cluster", "vec", "id", "id2").mapInPandas(
         assign, f"cluster {cluster_type}, vec array<double>, id bigint, id2 bigint, cell int, reach double"
     )
-    # Read three times below; lost blocks are rebuilt from the lineage.
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    placed = materialise(placed, "cells")  # Read three times below.
     cells = placed.groupBy("cluster", "cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("points"))
     # One row per pivot: as bounded as the pivots themselves.
     shape = {(r["cluster"], r["cell"]): (r["radius"], r["points"]) for r in cells.collect()}
@@ -128,7 +127,9 @@ def nearest_in_cluster(
                 rows, cols = np.nonzero(wanted)
                 yield part.iloc[rows].assign(cell=cols.astype("int32"))[["cluster", "vec", "id", "cell"]]
 
-    routed = queries.mapInPandas(route, f"cluster {cluster_type}, vec array<double>, id bigint, cell int")
+    routed = materialise(
+        queries.mapInPandas(route, f"cluster {cluster_type}, vec array<double>, id bigint, cell int"), "routed"
+    )
 
     # Blocks: a crowded cell is cut by hash on both sides.
     asked = routed.groupBy("cluster", "cell").agg(F.count(F.lit(1)).alias("asked"))

@@ -8,7 +8,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.numbers import (
@@ -29,44 +29,39 @@ UNKNOWN = "Unknown"
 UNSEEN_CODE = 0
 
 
-def label_codes(rows: DataFrame, column: str) -> DataFrame:
-    """Code of every distinct label: its position in sorted order, from 0.
+def label_codes(rows: DataFrame, columns: list[str], prefix: int = 2) -> DataFrame:
+    """Code of every distinct label of the columns: column, label, code.
 
-    The position is the number of smaller labels in lower ranges plus the rank
-    within its own range, so no task sees all labels.
+    A code is the label's position in sorted order, from 0: the number of
+    labels with a smaller prefix plus the rank inside its own prefix, so that
+    no task ranks all labels of a column.
     """
-    labels = rows.select(F.coalesce(column, F.lit(UNKNOWN)).alias("label")).distinct()
-    return global_rank(labels, "label", "code")
-
-
-def global_rank(distinct: DataFrame, column: str, into: str, prefix: int = 2) -> DataFrame:
-    """Zero-based rank of distinct texts, by prefix counts and ranks inside a prefix."""
-    from pyspark.sql import Window
-
-    head = F.encode(F.substring(column, 1, prefix), "utf-8")
-    rows = distinct.withColumn("_head", head)
-    sizes = rows.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-    # Few heads: one row per distinct prefix, ranked in one small task.
-    before = sizes.select(
-        "_head", (F.sum("_n").over(Window.orderBy("_head")) - F.col("_n")).alias("_before")
-    )
-    inside = F.row_number().over(Window.partitionBy("_head").orderBy(F.encode(column, "utf-8"))) - 1
+    named = [F.struct(F.lit(c).alias("column"), F.coalesce(c, F.lit(UNKNOWN)).alias("label")) for c in columns]
+    labels = rows.select(F.explode(F.array(*named)).alias("x")).select("x.*").distinct()
+    labels = labels.withColumn("_head", F.encode(F.substring("label", 1, prefix), "utf-8"))
+    sizes = labels.groupBy("column", "_head").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per distinct prefix is left to add up.
+    earlier = F.sum("_n").over(Window.partitionBy("column").orderBy("_head")) - F.col("_n")
+    inside = Window.partitionBy("column", "_head").orderBy(F.encode("label", "utf-8"))
     return (
-        rows.withColumn("_inside", inside)
-        .join(before, "_head")
-        .select(column, (F.col("_before") + F.col("_inside")).cast("int").alias(into))
+        labels.withColumn("_rank", F.row_number().over(inside))
+        .join(sizes.select("column", "_head", earlier.alias("_before")), ["column", "_head"])
+        .select("column", "label", (F.col("_before") + F.col("_rank") - 1).cast("int").alias("code"))
     )
 
 
-def encode_labels(rows: DataFrame, codes: DataFrame, column: str, into: str, unseen: int = UNSEEN_CODE) -> DataFrame:
-    """Code of a label; a label the training data lacks gets ``unseen``."""
-    lookup = codes.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
-    return (
-        rows.withColumn("_label", F.coalesce(column, F.lit(UNKNOWN)))
-        .join(lookup, "_label", "left")
-        .withColumn(into, F.coalesce("_code", F.lit(unseen)))
-        .drop("_label", "_code")
-    )
+def encode_labels(rows: DataFrame, codes: DataFrame, columns: list[str], unseen: int = UNSEEN_CODE) -> DataFrame:
+    """``<column>_code`` for every column; a label the codes lack gets ``unseen``."""
+    for column in columns:
+        own = codes.where(F.col("column") == column)
+        lookup = own.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        rows = (
+            rows.withColumn("_label", F.coalesce(column, F.lit(UNKNOWN)))
+            .join(lookup, "_label", "left")
+            .withColumn(f"{column}_code", F.coalesce("_code", F.lit(unseen)))
+            .drop("_label", "_code")
+        )
+    return rows
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:
@@ -123,8 +118,8 @@ def with_vector(rows: DataFrame, columns: list[str], into: str = "features") ->
 def fit_clusters(rows: DataFrame, k: int = 10, restarts: int = 10, iterations: int = 300, seed: int = 42) -> KMeansModel:
     """K-means with the lowest cost of several starts.
 
-    ``rows`` holds the vector column ``features``; cache it, every pass of every
-    start reads it.
+    ``rows`` holds the vector column ``features``; give a materialised table,
+    every pass of every start reads it.
     """
     best = None
     for i in range(restarts):

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings every operator relies on. All are run-time settings, so they
 # also apply to a session somebody else built.
@@ -24,6 +24,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Only the month partitions that a job wrote are replaced.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Expression call sites cost a round trip per column of a wide table.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     # A pandas batch stays small even when rows carry vectors or long texts.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
 }
@@ -60,3 +62,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="retentia-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(rows: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate result to the scratch folder and reads it back.
+
+    For results that several later passes read: they start from files that
+    outlive any executor, instead of repeating the work or holding a cache.
+    """
+    spark = rows.sparkSession
+    path = scratch_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
