@@ -46,19 +46,15 @@ def taxonomy_json(taxonomy: DataFrame) -> str:
     """
     if taxonomy.limit(MAX_PROMPT_ENTRIES + 1).count() > MAX_PROMPT_ENTRIES:
         raise ValueError(f"a prompt taxonomy has at most {MAX_PROMPT_ENTRIES} entries")
-    subs = (
-        taxonomy_tree(taxonomy)
-        .groupBy("main_code", "main_name")
-        .agg(F.array_sort(F.collect_list(F.struct("sub_code", "sub_name", F.col("details.name").alias("names")))).alias("s"))
-        .select(
-            "main_code", "main_name",
-            F.map_from_entries(F.transform("s", lambda x: F.struct(x["sub_name"], x["names"]))).alias("subs"),
-        )
-    )
-    whole = subs.agg(F.array_sort(F.collect_list(F.struct("main_code", "main_name", "subs"))).alias("m")).select(
-        F.to_json(F.map_from_entries(F.transform("m", lambda x: F.struct(x["main_name"], x["subs"])))).alias("json")
-    )
-    return whole.first()["json"]
+    sub = F.struct("sub_code", "sub_name", F.col("details.name").alias("names"))
+    mains = taxonomy_tree(taxonomy).groupBy("main_code", "main_name").agg(F.array_sort(F.collect_list(sub)).alias("subs"))
+    whole = mains.agg(F.array_sort(F.collect_list(F.struct("main_code", "main_name", "subs"))).alias("mains"))
+
+    def by_name(subs: Column) -> Column:
+        return F.map_from_entries(F.transform(subs, lambda s: F.struct(s["sub_name"], s["names"])))
+
+    tree = F.map_from_entries(F.transform("mains", lambda m: F.struct(m["main_name"], by_name(m["subs"]))))
+    return whole.select(F.to_json(tree).alias("json")).first()["json"]
 
 
 def _entry() -> Column:
