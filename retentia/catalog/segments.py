@@ -83,7 +83,7 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = ["contracts_distribution", "purchase_distribution"]
     shown = [F.array_join(c, "|").alias(c) for c in lists]
     for c in maps:
-        pairs = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"]))
+        pairs = F.transform(F.sort_array(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"]))
         shown.append(F.array_join(pairs, "|").alias(c))
     return rows.select("cluster", *whole("cluster_size"), rounded("avg_contracts_num"), rounded("avg_purchase_num"), *shown)
 

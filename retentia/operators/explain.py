@@ -144,7 +144,7 @@ def top_contributions(
             (-F.abs(contribution)).alias("o"), i.alias("i"), value.alias("value"), contribution.alias("contribution")
         )
 
-    strongest = F.slice(F.array_sort(F.transform("values", item)), 1, k)
+    strongest = F.slice(F.sort_array(F.transform("values", item)), 1, k)
     named = F.transform(
         strongest,
         lambda x: F.struct(

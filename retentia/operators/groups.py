@@ -66,7 +66,7 @@ def packed(
     hot = child.groupBy(*keys).agg(F.ceil(size / max_items).alias("_parts")).where("_parts > 1")
     cut = F.pmod(F.xxhash64(*order, *element), F.col("_parts"))
     spread = child.join(hot, keys, "left").withColumn("part", F.coalesce(cut, F.lit(0)).cast("int"))
-    lists = spread.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(item)).alias(into))
+    lists = spread.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias(into))
     if list(dict.fromkeys([*order, *element])) != element:
         chosen = F.transform(into, lambda x: F.struct(*[x[c].alias(c) for c in element]))
         lists = lists.withColumn(into, chosen)

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentia.functions.arrays import let
 from retentia.functions.numbers import histogram_bin
 from retentia.operators.taxonomy import OTHER
 
@@ -44,8 +45,8 @@ def drift(counts: DataFrame) -> DataFrame:
 
     def distribution(period: str) -> Column:
         counts_of = F.col(period)
-        dense = F.transform(counts_of, lambda c: c / total(counts_of) * BINS + EPSILON)
-        return F.transform(dense, lambda x: x / total(dense))
+        dense = let(total(counts_of), lambda n: F.transform(counts_of, lambda c: c / n * BINS + EPSILON))
+        return let(dense, lambda d: F.transform(d, lambda x: x / total(d)))
 
     sides = counts.agg(counted("baseline"), counted("current"))
     terms = F.zip_with(distribution("baseline"), distribution("current"), lambda p, q: p * F.ln(p / q))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentia.functions.arrays import let
 from retentia.functions.text import WORD
 
 # Pests looked for when the model names none, in match order.
@@ -34,11 +35,13 @@ MIN_SIMILARITY = 0.3
 
 def ngrams(text: Column) -> Column:
     """Lower-case words of two or more characters, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))
-    )
-    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+
+    def with_pairs(words: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - 1)
+        pairs = F.transform(places, lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+        return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), with_pairs)
 
 
 def sum_of_squared_counts(items: Column) -> Column:
@@ -52,7 +55,7 @@ def sum_of_squared_counts(items: Column) -> Column:
         run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(F.lit(1).cast("bigint"))
         return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + run * 2 - 1).alias("sum"))
 
-    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["sum"])
+    return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["sum"])
 
 
 def _idf(documents: Column, containing: Column) -> Column:

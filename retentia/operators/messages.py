@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentia.functions.arrays import let
 from retentia.functions.dates import kst_to_utc
 from retentia.functions.text import clean_for_model, is_claim, keywords_in_text, model_answer
 from retentia.operators.taxonomy import OTHER, resolve_chain
@@ -88,18 +89,19 @@ def arrange_slots(slots: Column, other: str = OTHER, compact: bool = False) -> C
         return F.concat_ws("\x01", *codes)
 
     ordered = F.transform(
-        F.array_sort(F.transform(slots, lambda s: F.struct(kind(s).alias("kind"), s["pos"].alias("pos"), s.alias("s")))),
+        F.sort_array(F.transform(slots, lambda s: F.struct(kind(s).alias("kind"), s["pos"].alias("pos"), s.alias("s")))),
         lambda x: x["s"],
     )
 
     def once(all_slots: Column) -> Column:
-        keys = F.transform(all_slots, key)
-        return F.transform(
-            all_slots,
-            lambda s, i: F.when(~has_code(s) | (F.array_position(keys, key(s)) == i + 1), s),
+        return let(
+            F.transform(all_slots, key),
+            lambda keys: F.transform(
+                all_slots, lambda s, i: F.when(~has_code(s) | (F.array_position(keys, key(s)) == i + 1), s)
+            ),
         )
 
-    kept = once(ordered)
+    kept = let(ordered, once)
     if compact:
         kept = F.concat(F.filter(kept, lambda s: s.isNotNull()), F.filter(kept, lambda s: s.isNull()))
     return kept

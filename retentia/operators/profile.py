@@ -48,13 +48,13 @@ def length_distribution(members: DataFrame, length: str) -> DataFrame:
 
 def as_list(top: DataFrame, into: str) -> DataFrame:
     """Top values of a cluster as one array of at most k names."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "value")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "value")))
     return top.groupBy("cluster").agg(F.transform(ordered, lambda x: x["value"]).alias(into))
 
 
 def as_map(distribution: DataFrame, into: str) -> DataFrame:
     """Distribution of a cluster as one map, keyed by length."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col("length").cast("string"), "customers")))
+    entries = F.sort_array(F.collect_list(F.struct(F.col("length").cast("string"), "customers")))
     return distribution.groupBy("cluster").agg(F.map_from_entries(entries).alias(into))
 
 

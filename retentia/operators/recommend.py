@@ -45,7 +45,7 @@ def first_contract(contracts: DataFrame) -> DataFrame:
 def offer_table(rated: DataFrame) -> DataFrame:
     """Candidates of a cluster as one sorted array of at most ten structs."""
     item = F.struct((-F.col("usage_rate")).alias("o"), "rank", "item", "usage_rate")
-    return rated.groupBy("cluster").agg(F.array_sort(F.collect_list(item)).alias("offers"))
+    return rated.groupBy("cluster").agg(F.sort_array(F.collect_list(item)).alias("offers"))
 
 
 def offers(customers: DataFrame, rated: DataFrame, exclude: str | None = None, keep: int = OFFERS) -> DataFrame:
@@ -80,7 +80,7 @@ def distinct_list(rows: DataFrame, value: str, into: str) -> DataFrame:
 
     The list is as long as the catalogue at most, however many rows there are.
     """
-    return rows.groupBy("ccod").agg(F.to_json(F.array_sort(F.collect_set(value))).alias(into))
+    return rows.groupBy("ccod").agg(F.to_json(F.sort_array(F.collect_set(value))).alias(into))
 
 
 def recommendations(

@@ -197,7 +197,7 @@ def centroids(members: DataFrame) -> DataFrame:
     """
     parts = members.select("cluster", F.posexplode(as_doubles(F.col("vec"))).alias("dim", "x"))
     means = parts.groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
-    packed = means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
+    packed = means.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("v"))
     return packed.select("cluster", F.col("v.x").alias("center"))
 
 
@@ -207,7 +207,7 @@ def cluster_similarity(members: DataFrame, centers: DataFrame) -> DataFrame:
     Every row meets every centre inside its own row: the centres are one
     array, bounded by the number of clusters.
     """
-    table = centers.agg(F.array_sort(F.collect_list(F.struct("cluster", "center"))).alias("t"))
+    table = centers.agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("t"))
     rows = members.withColumn("_t", one_row(table)["t"]).withColumn("_v", as_doubles(F.col("vec")))
     apart = F.transform("_t", lambda c: F.struct(c["cluster"].alias("cluster"), distance(F.col("_v"), c["center"]).alias("d")))
     rows = rows.withColumn("_d", apart)

@@ -47,8 +47,8 @@ def taxonomy_json(taxonomy: DataFrame) -> str:
     if taxonomy.limit(MAX_PROMPT_ENTRIES + 1).count() > MAX_PROMPT_ENTRIES:
         raise ValueError(f"a prompt taxonomy has at most {MAX_PROMPT_ENTRIES} entries")
     sub = F.struct("sub_code", "sub_name", F.col("details.name").alias("names"))
-    mains = taxonomy_tree(taxonomy).groupBy("main_code", "main_name").agg(F.array_sort(F.collect_list(sub)).alias("subs"))
-    whole = mains.agg(F.array_sort(F.collect_list(F.struct("main_code", "main_name", "subs"))).alias("mains"))
+    mains = taxonomy_tree(taxonomy).groupBy("main_code", "main_name").agg(F.sort_array(F.collect_list(sub)).alias("subs"))
+    whole = mains.agg(F.sort_array(F.collect_list(F.struct("main_code", "main_name", "subs"))).alias("mains"))
 
     def by_name(subs: Column) -> Column:
         return F.map_from_entries(F.transform(subs, lambda s: F.struct(s["sub_name"], s["names"])))

@@ -206,7 +206,7 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         picked.join(path, "s_suppkey")
         .groupBy(F.col("l_orderkey").alias("msg_id"))
-        .agg(F.array_sort(F.collect_list(item)).alias("c"))
+        .agg(F.sort_array(F.collect_list(item)).alias("c"))
         .select(
             "msg_id",
             F.transform("c", lambda x: F.struct(
