@@ -6,16 +6,23 @@
   splits a hot partition.  A window would put the whole key into one task.
 * ``next_value`` is ``lead`` over an order column, computed on the distinct
   order values of a key rather than on its rows.
-* ``packed`` and ``nest`` collect children in parts of bounded size.
+* ``pack`` and ``nest`` collect children in parts of bounded size.
 * ``top_per_group`` is a rank filter, which Spark cuts to k rows per task and
   group before the shuffle.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retentia.session import materialise
+
+MAX_ITEMS = 100_000
+BROADCAST_ROWS = 200_000
+
 
 def with_group_stats(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     stats = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
@@ -46,47 +53,91 @@ def next_value(rows: DataFrame, keys: list[str], order: str, tie: str, into: str
     )
 
 
-def packed(
-    child: DataFrame,
-    keys: list[str],
-    into: str,
-    element: list[str],
-    order: list[str],
-    max_items: int = 100_000,
-    weight: Column | None = None,
-) -> DataFrame:
-    """Children of a key as sorted arrays: keys, ``part``, ``into``.
-
-    A key whose children weigh more than ``max_items`` (one each, unless
-    ``weight`` says more) is cut by hash into parts of about that weight;
-    nothing is dropped and no array outgrows a row.  All others have part 0.
+def if_small(table: DataFrame, checked: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast when ``checked`` has at most ``limit`` rows.
+
+    ``checked`` bounds the table's size; it is the table itself unless a
+    cheaper input bounds it.  A bigger table is joined by shuffle.
+    """
+    source = table if checked is None else checked
+    return F.broadcast(table) if source.limit(limit + 1).count() <= limit else table
+
+
+@dataclass(frozen=True)
+class Children:
+    """Rows to become one array per parent: which columns, in which order.
+
+    ``weight`` is what a row counts towards the size limit, one by default.
+    """
+
+    rows: DataFrame
+    into: str
+    element: list[str]
+    order: list[str]
+    weight: Column | None = None
+
+
+def _hot_keys(children: list[Children], keys: list[str], max_items: int) -> DataFrame | None:
+    """Keys too big for one row and the number of parts they need, if any.
+
+    There are at most total / max_items of them; the list is written once, and
+    its size decides how it is joined.
     """
-    item = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *element])])
-    size = F.sum(weight if weight is not None else F.lit(1))
-    hot = child.groupBy(*keys).agg(F.ceil(size / max_items).alias("_parts")).where("_parts > 1")
-    cut = F.pmod(F.xxhash64(*order, *element), F.col("_parts"))
-    spread = child.join(hot, keys, "left").withColumn("part", F.coalesce(cut, F.lit(0)).cast("int"))
-    lists = spread.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias(into))
-    if list(dict.fromkeys([*order, *element])) != element:
-        chosen = F.transform(into, lambda x: F.struct(*[x[c].alias(c) for c in element]))
-        lists = lists.withColumn(into, chosen)
+    sizes = None
+    for child in children:
+        size = F.sum(child.weight if child.weight is not None else F.lit(1))
+        big = child.rows.groupBy(*keys).agg(F.ceil(size / max_items).cast("int").alias("_parts")).where("_parts > 1")
+        sizes = big if sizes is None else sizes.unionByName(big)
+    hot = materialise(sizes.groupBy(*keys).agg(F.max("_parts").alias("_parts")), "hot")
+    return None if hot.isEmpty() else if_small(hot)
+
+
+def _pack(child: Children, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    fields = list(dict.fromkeys([*child.order, *child.element]))
+    rows = child.rows
+    if hot is None:
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        cut = F.pmod(F.xxhash64(*fields), F.col("_parts"))
+        # Spread by part before the lists are built, not by key alone.
+        rows = rows.join(hot, keys, "left").withColumn("part", F.coalesce(cut, F.lit(0)).cast("int"))
+        rows = rows.repartition(*keys, "part")
+    item = F.struct(*[F.col(c) for c in fields])
+    lists = rows.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias(child.into))
+    if fields != child.element:
+        chosen = F.transform(child.into, lambda x: F.struct(*[x[c].alias(c) for c in child.element]))
+        lists = lists.withColumn(child.into, chosen)
     return lists
 
 
-def nest(parent: DataFrame, keys: list[str], *children: DataFrame) -> DataFrame:
-    """Arrays of one or more packed child tables on their parent row.
+def pack(child: Children, keys: list[str], max_items: int = MAX_ITEMS) -> DataFrame:
+    """Rows of a key as sorted arrays: keys, ``part`` and the array.
 
-    A parent without children has empty arrays.  A parent with several parts
-    appears once per ``part``, each array element in exactly one of them.
+    A key that weighs more than ``max_items`` is cut by hash into parts of about
+    that weight; nothing is dropped and no array outgrows a row.  All other keys
+    have part 0 only.
     """
-    together = children[0]
-    for other in children[1:]:
-        together = together.join(other, [*keys, "part"], "full")
-    rows = parent.join(together, keys, "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    arrays = [c for child in children for c in child.columns if c not in (*keys, "part")]
-    return rows.withColumns(
-        {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in arrays}
-    )
+    return _pack(child, keys, _hot_keys([child], keys, max_items))
+
+
+def nest(parent: DataFrame, keys: list[str], children: list[Children], max_items: int = MAX_ITEMS) -> DataFrame:
+    """Arrays of child rows on their parent row, empty when there are none.
+
+    A parent with too many children appears once per ``part``, each child in
+    exactly one of them.  Lists are joined where they were built, by key and
+    part; only the narrow parent rows move.
+    """
+    hot = _hot_keys(children, keys, max_items)
+    if hot is None:
+        rows = parent.withColumn("part", F.lit(0))
+    else:
+        last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+        rows = parent.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
+    for child in children:
+        lists = _pack(child, keys, hot)
+        empty = F.array().cast(lists.schema[child.into].dataType)
+        rows = rows.join(lists, [*keys, "part"], "left").withColumn(child.into, F.coalesce(child.into, empty))
+    return rows
 
 
 def top_per_group(counts: DataFrame, keys: list[str], order: list[Column], k: int, into: str = "rank") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.arrays import let
 from retentia.functions.text import WORD
+from retentia.operators.groups import if_small
 
 # Pests looked for when the model names none, in match order.
 PESTS = [
@@ -91,6 +92,7 @@ def best_term(messages: DataFrame, terms: DataFrame, threshold: float = MIN_SIMI
     message norm needs the other grams' counts only, and these are summed in
     the row.  Similarities are compared at nine decimals.
     """
+    # The dictionary bounds its grams; a term has few of them.
     index = term_index(terms)
     n = terms.agg(F.count(F.lit(1)) + 1).scalar()
     vocabulary = index.select("gram", "idf_present").distinct()
@@ -99,7 +101,7 @@ def best_term(messages: DataFrame, terms: DataFrame, threshold: float = MIN_SIMI
     )
     matched = (
         grams.select("id", "squares", F.explode("grams").alias("gram"))
-        .join(vocabulary, "gram")
+        .join(if_small(vocabulary, terms), "gram")
         .groupBy("id", "squares", "gram", "idf_present").agg(F.count(F.lit(1)).alias("c"))
     )
     c2 = F.col("c") * F.col("c")
@@ -114,7 +116,7 @@ def best_term(messages: DataFrame, terms: DataFrame, threshold: float = MIN_SIMI
         per_message.withColumn("norm2_message", F.col("known2") + unknown * rare * rare)
         .select("id", "squares", "norm2_message", F.explode("found").alias("f"))
         .select("id", "squares", "norm2_message", "f.gram", "f.c")
-        .join(index, "gram")
+        .join(if_small(index, terms), "gram")
     )
     present2 = F.col("idf_present") * F.col("idf_present")
     scored = hits.groupBy("id", "squares", "norm2_message", "ord", "term", "norm2").agg(
@@ -145,6 +147,7 @@ MIN_ENTRY, MIN_VALUE = 2, 4
 
 
 def _best_partial(values: DataFrame, entries: DataFrame) -> DataFrame:
+    entries = if_small(entries)
     lengths = sorted(r[0] for r in entries.select(F.length("entry")).distinct().collect() if r[0])
     hits = None
     usable = [n for n in lengths if n >= MIN_ENTRY]

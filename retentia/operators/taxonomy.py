@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.text import canonical_category
-from retentia.operators.groups import nest, packed
+from retentia.operators.groups import Children, nest
 
 OTHER = "기타"
 MAX_PROMPT_ENTRIES = 10_000
@@ -35,8 +35,8 @@ def taxonomy_tree(taxonomy: DataFrame, max_items: int = 100_000) -> DataFrame:
     detail = _level(taxonomy, 3).select(
         F.col("parent_id").alias("sub_code"), F.col("voc_id").alias("code"), F.col("name")
     )
-    lists = packed(detail, ["sub_code"], "details", ["code", "name"], ["code"], max_items)
-    return nest(main.join(sub, "main_code"), ["sub_code"], lists)
+    names = Children(detail, "details", ["code", "name"], ["code"])
+    return nest(main.join(sub, "main_code"), ["sub_code"], [names], max_items)
 
 
 def taxonomy_json(taxonomy: DataFrame) -> str:

@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.operators import churn, contracts, explain, features, keys, profile
-from retentia.operators.groups import nest, packed
+from retentia.operators.groups import MAX_ITEMS, Children, nest, pack
 from retentia.schemas import CONTRACT_FIELDS, MODEL_FEATURES, PROFILE_FIELDS, PURCHASE_FIELDS
 from retentia.sources import sinks
 
-LIST_LIMIT = 100_000
-
 
 def active_customers(customers: DataFrame, contract_rows: DataFrame, as_of: date, **rules) -> DataFrame:
     """Customers with their status, only the active ones."""
@@ -28,16 +26,16 @@ def active_customers(customers: DataFrame, contract_rows: DataFrame, as_of: date
     return status.where("status = 1")
 
 
-def nested_works(works: DataFrame, services: DataFrame, surveys: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def nested_works(works: DataFrame, services: DataFrame, surveys: DataFrame, limit: int = MAX_ITEMS) -> DataFrame:
     """Work history of a customer as one nested array (several parts if huge)."""
-    parts = [
-        packed(services, ["work_no"], "services", ["target", "class", "done"], ["target", "class"], limit),
-        packed(surveys, ["work_no"], "surveys", ["survey_date", "survey_code", "csi_score"], ["survey_date", "survey_code"], limit),
+    children = [
+        Children(services, "services", ["target", "class", "done"], ["target", "class"]),
+        Children(surveys, "surveys", ["survey_date", "survey_code", "csi_score"], ["survey_date", "survey_code"]),
     ]
-    full = nest(works, ["work_no"], *parts).drop("part")
+    full = nest(works, ["work_no"], children, limit).drop("part")
     element = ["work_no", "work_at", "work_type", "confirmed", "cancelled", "services", "surveys"]
     weight = 1 + F.size("services") + F.size("surveys")
-    return packed(full, ["ccod"], "works", element, ["work_at", "work_no"], limit, weight)
+    return pack(Children(full, "works", element, ["work_at", "work_no"], weight), ["ccod"], limit)
 
 
 def snapshot(
@@ -46,18 +44,18 @@ def snapshot(
     purchases: DataFrame,
     interactions: DataFrame,
     month: date,
-    limit: int = LIST_LIMIT,
+    limit: int = MAX_ITEMS,
 ) -> DataFrame:
     """Nested monthly snapshot: profile and lists as JSON, ``[]`` when empty."""
-    contract_columns = [c for c in contract_rows.columns if c != "ccod"]
-    purchase_columns = [c for c in purchases.columns if c != "ccod"]
-    event_columns = [c for c in interactions.columns if c != "ccod"]
-    lists = [
-        packed(contract_rows, ["ccod"], "contract_info", contract_columns, ["contract_date", "contract_no"], limit),
-        packed(purchases, ["ccod"], "purchase_logs", purchase_columns, purchase_columns, limit),
-        packed(interactions, ["ccod"], "interaction_history", event_columns, event_columns, limit),
+    def columns(rows: DataFrame) -> list[str]:
+        return [c for c in rows.columns if c != "ccod"]
+
+    children = [
+        Children(contract_rows, "contract_info", columns(contract_rows), ["contract_date", "contract_no"]),
+        Children(purchases, "purchase_logs", columns(purchases), columns(purchases)),
+        Children(interactions, "interaction_history", columns(interactions), columns(interactions)),
     ]
-    rows = nest(customers, ["ccod"], *lists)
+    rows = nest(customers, ["ccod"], children, limit)
     known = [F.col(f) if f in customers.columns else F.lit("").alias(f) for f in PROFILE_FIELDS]
     keep = {"ignoreNullFields": "false"}
     return rows.select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONTH = "snapshot_month"
+FILES_PER_PARTITION = 64
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -28,7 +29,7 @@ def write_months(rows: DataFrame, path: str, column: str = MONTH, mode: str = "a
     a month's files are balanced even when all rows share one month.
     """
     if key is not None:
-        rows = rows.repartition(F.col(column), F.pmod(F.xxhash64(key), F.lit(64)))
+        rows = rows.repartition(F.col(column), F.pmod(F.xxhash64(key), F.lit(FILES_PER_PARTITION)))
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
@@ -86,11 +87,14 @@ def upsert(
     spark = updates.sparkSession
     if not _exists(spark, f"{staging}/_SUCCESS"):
         if _exists(spark, f"{path}/{partition}=*"):
-            touched = updates.select(partition).distinct()
-            current = spark.read.parquet(path).join(touched, partition, "left_semi")
+            # One value per touched partition, so the others are not even listed.
+            touched = [r[0] for r in updates.select(partition).distinct().collect()]
+            current = spark.read.parquet(path).where(F.col(partition).isin(touched))
             rows = merged(current, updates, keys, now)
         else:
             rows = updates.withColumn("created_at", now).withColumn("updated_at", now)
-        reload(rows, staging)
+        # Few files per partition, also when all rows share one.
+        spread = F.pmod(F.xxhash64(*keys), F.lit(FILES_PER_PARTITION))
+        reload(rows.repartition(F.col(partition), spread), staging)
     staged = spark.read.parquet(staging)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -65,7 +65,9 @@ def maintain_recontacts(
         codes = recontact.claim_codes(messages, classified, since)
         keep_batch(codes_path)(codes, batch_id)
         # Later batches of an earlier, failed attempt must not be counted yet.
-        stored = spark.read.parquet(codes_path).where(F.col("batch_id") <= batch_id)
+        stored = spark.read.parquet(codes_path).where(
+            (F.col("batch_id") <= batch_id) & (F.col("aggregate_date") >= F.lit(since))
+        )
         touched = stored.where(F.col("batch_id") == batch_id).select("ccod", "category_code").distinct()
         mine = stored.join(touched, ["ccod", "category_code"], "left_semi")
         counts = recontact.rolling_counts(recontact.daily_counts(mine), frame)

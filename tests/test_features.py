@@ -115,7 +115,9 @@ def test_hot_customer_with_skew_join(spark):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        assert X.work_features(rows).orderBy("ccod").collect() == plain
+        split = X.work_features(rows)
+        assert sorted(split.collect()) == plain
+        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from retentia import session
 from retentia.catalog import voc
 from retentia.operators import keys, quality, recontact
-from retentia.operators.groups import nest, packed, top_per_group, with_group_stats
+from retentia.operators.groups import Children, if_small, nest, pack, top_per_group, with_group_stats
 from retentia.schemas import require_columns
 from retentia.sources import adapters as A
 from retentia.sources import jdbc, readers, sinks
@@ -18,7 +18,7 @@ from retentia.streaming import activity, ingest
 def test_huge_parent_is_cut_in_parts_and_stays_whole(spark):
     parent = spark.createDataFrame([("hot",), ("cold",), ("none",)], "k string")
     child = spark.range(100).select(F.when(F.col("id") < 95, "hot").otherwise("cold").alias("k"), F.col("id").alias("v"))
-    rows = nest(parent, ["k"], packed(child, ["k"], "items", ["v"], ["v"], 10)).collect()
+    rows = nest(parent, ["k"], [Children(child, "items", ["v"], ["v"])], 10).collect()
     hot = [r for r in rows if r["k"] == "hot"]
     assert len(hot) > 5 and sorted(x["v"] for r in hot for x in r["items"]) == list(range(95))
     assert all([x["v"] for x in r["items"]] == sorted(x["v"] for x in r["items"]) for r in rows)
@@ -31,15 +31,21 @@ def test_several_lists_share_parts(spark):
     parent = spark.createDataFrame([("a",), ("b",)], "k string")
     many = spark.range(50).select(F.lit("a").alias("k"), F.col("id").alias("v"))
     few = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, w string")
-    rows = nest(parent, ["k"], packed(many, ["k"], "m", ["v"], ["v"], 10), packed(few, ["k"], "f", ["w"], ["w"], 10)).collect()
+    rows = nest(parent, ["k"], [Children(many, "m", ["v"], ["v"]), Children(few, "f", ["w"], ["w"])], 10).collect()
     assert sum(len(r["m"]) for r in rows) == 50 and sum(len(r["f"]) for r in rows) == 2
     assert len({(r["k"], r["part"]) for r in rows}) == len(rows)
 
 
 def test_weight_decides_the_number_of_parts(spark):
     child = spark.createDataFrame([("a", i, 100) for i in range(20)], "k string, v int, w int")
-    assert packed(child, ["k"], "m", ["v"], ["v"], 500).count() == 1
-    assert packed(child, ["k"], "m", ["v"], ["v"], 500, F.col("w")).count() > 1
+    assert pack(Children(child, "m", ["v"], ["v"]), ["k"], 500).count() == 1
+    assert pack(Children(child, "m", ["v"], ["v"], F.col("w")), ["k"], 500).count() > 1
+
+
+def test_broadcast_depends_on_the_checked_size(spark):
+    small, big = spark.range(10), spark.range(50)
+    assert "ResolvedHint" in if_small(small, limit=20)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in if_small(big, limit=20)._jdf.queryExecution().analyzed().toString()
 
 
 def test_rank_filter_is_cut_before_the_shuffle(spark):
