@@ -1,11 +1,11 @@
 """Building blocks that stay whole and distributed when one key is huge.
 
-* ``with_group_stats`` brings algebraic aggregates back to the rows.  The
-  aggregate is combined map-side, so its shuffle carries one row per key and
-  task; the join back is one shuffle on the key, where the skew-join rule
-  splits a hot partition.  A window would put the whole key into one task.
-* ``next_value`` is ``lead`` over an order column, computed on the distinct
-  order values of a key rather than on its rows.
+* ``with_group_stats`` brings aggregates of a key back to its rows, and
+  ``next_value`` is ``lead`` over an order column.  Neither uses a window over
+  rows, which would put a whole key into one task: aggregates are combined
+  map-side, and ``join_back`` joins them to the rows without gathering the rows
+  of a hot key.  (The run-time skew rule does not split a join whose other side
+  is an aggregate.)
 * ``pack`` and ``nest`` collect children in parts of bounded size.
 * ``top_per_group`` is a rank filter, which Spark cuts to k rows per task and
   group before the shuffle.
@@ -21,36 +21,81 @@ from pyspark.sql import functions as F
 from retentia.session import materialise
 
 MAX_ITEMS = 100_000
+# Most rows of a broadcast table, rows that make a key hot, and the number of
+# pieces a hot key is spread over.
 BROADCAST_ROWS = 200_000
+HOT_ROWS = 10_000_000
+SALTS = 4_096
 
 
-def with_group_stats(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    stats = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return rows.join(stats, keys, "left")
+def _row_hash(columns: list[str]) -> Column:
+    """Hash that also tells copies of a row in different input partitions apart.
+
+    A repeated task gives the same values, whatever order it reads its rows in.
+    """
+    return F.xxhash64(*columns, F.spark_partition_id())
+
+
+def join_back(rows: DataFrame, stats: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
+    """Left join of one-row-per-key ``stats`` to the rows they describe.
+
+    ``stats`` is materialised and counts the key's rows in ``_rows``.  Without
+    hot keys this is one join on the key, whose partitioning later groupings
+    by the key reuse.  Hot keys are broadcast: a key is hot when it has more
+    than a fixed number of rows and more than 1 / BROADCAST_ROWS of them all,
+    so there are fewer than BROADCAST_ROWS.  Their rows are spread by hash
+    through the second join, where they find nothing.
+    """
+    values = [c for c in stats.columns if c not in (*keys, "_rows")]
+    total = stats.agg(F.sum("_rows")).first()[0] or 0
+    hot = stats.where(F.col("_rows") > max(hot_rows or HOT_ROWS, total // BROADCAST_ROWS))
+    if hot.isEmpty():
+        return rows.join(stats.drop("_rows"), keys, "left")
+    hot_side = hot.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_is_hot"))
+    spread = F.when(F.col("_is_hot"), F.pmod(_row_hash(rows.columns), F.lit(SALTS)) + 1).otherwise(0)
+    cold = stats.drop("_rows").withColumn("_salt", F.lit(0).cast("bigint"))
+    joined = (
+        rows.join(F.broadcast(hot_side), keys, "left")
+        .withColumn("_salt", spread.cast("bigint"))
+        .join(cold, [*keys, "_salt"], "left")
+    )
+    picked = [F.when(F.col("_is_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values]
+    return joined.select(*rows.columns, *picked)
 
 
-def next_value(rows: DataFrame, keys: list[str], order: str, tie: str, into: str) -> DataFrame:
+def with_group_stats(rows: DataFrame, keys: list[str], hot_rows: int | None = None, **aggregates: Column) -> DataFrame:
+    """Aggregates of the row's group as new columns."""
+    columns = [c.alias(n) for n, c in aggregates.items()]
+    stats = materialise(rows.groupBy(*keys).agg(*columns, F.count(F.lit(1)).alias("_rows")), "stats")
+    return join_back(rows, stats, keys, hot_rows)
+
+
+def next_value(
+    rows: DataFrame, keys: list[str], order: str, tie: str, into: str, hot_rows: int | None = None
+) -> DataFrame:
     """Value of ``order`` in the following row of the group.
 
     Rows are ordered by ``order`` (nulls last), then ``tie``.  Within equal
     order values every row but the last sees that same value; the last one sees
     the next distinct value.  Rows with a null key have no group and get null.
-    ``tie`` tells the rows of a group apart.
+    ``tie`` tells the rows of a group apart.  The window sees the distinct
+    order values of a key, not its rows.
     """
     steps = (
         rows.where(F.col(order).isNotNull())
         .dropna(subset=keys)
         .groupBy(*keys, order)
-        .agg(F.max(tie).alias("_last_tie"), F.lit(True).alias("_found"))
+        .agg(F.max(tie).alias("_last_tie"), F.count(F.lit(1)).alias("_rows"))
     )
     ordered = Window.partitionBy(*keys).orderBy(order)
-    steps = steps.withColumn("_next", F.lead(order).over(ordered))
+    steps = steps.withColumn("_next", F.lead(order).over(ordered)).withColumn("_found", F.lit(True))
+    joined = join_back(rows, materialise(steps, "steps"), [*keys, order], hot_rows)
     follows = F.when(F.col(tie).eqNullSafe(F.col("_last_tie")), F.col("_next")).otherwise(F.col(order))
-    return (
-        rows.join(steps, [*keys, order], "left")
-        .withColumn(into, F.when(F.col("_found"), follows))
-        .drop("_last_tie", "_next", "_found")
-    )
+    return joined.withColumn(into, F.when(F.col("_found"), follows)).drop("_last_tie", "_next", "_found")
+
+
+def is_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    return table.limit(limit + 1).count() <= limit
 
 
 def if_small(table: DataFrame, checked: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,8 +104,7 @@ def if_small(table: DataFrame, checked: DataFrame | None = None, limit: int = BR
     ``checked`` bounds the table's size; it is the table itself unless a
     cheaper input bounds it.  A bigger table is joined by shuffle.
     """
-    source = table if checked is None else checked
-    return F.broadcast(table) if source.limit(limit + 1).count() <= limit else table
+    return F.broadcast(table) if is_small(table if checked is None else checked, limit) else table
 
 
 @dataclass(frozen=True)
@@ -80,8 +124,7 @@ class Children:
 def _hot_keys(children: list[Children], keys: list[str], max_items: int) -> DataFrame | None:
     """Keys too big for one row and the number of parts they need, if any.
 
-    There are at most total / max_items of them; the list is written once, and
-    its size decides how it is joined.
+    There are at most total / max_items of them.
     """
     sizes = None
     for child in children:
@@ -89,7 +132,18 @@ def _hot_keys(children: list[Children], keys: list[str], max_items: int) -> Data
         big = child.rows.groupBy(*keys).agg(F.ceil(size / max_items).cast("int").alias("_parts")).where("_parts > 1")
         sizes = big if sizes is None else sizes.unionByName(big)
     hot = materialise(sizes.groupBy(*keys).agg(F.max("_parts").alias("_parts")), "hot")
-    return None if hot.isEmpty() else if_small(hot)
+    return None if hot.isEmpty() else hot
+
+
+def _with_parts(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``_parts`` of the hot keys, joined without gathering a key's rows."""
+    listed = if_small(hot)
+    if listed is not hot:
+        return rows.join(listed, keys, "left")
+    salted = rows.withColumn("_salt", F.pmod(_row_hash(rows.columns), F.lit(64)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))
+    copies = hot.withColumn("_salt", F.explode(every))
+    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 
 def _pack(child: Children, keys: list[str], hot: DataFrame | None) -> DataFrame:
@@ -98,9 +152,9 @@ def _pack(child: Children, keys: list[str], hot: DataFrame | None) -> DataFrame:
     if hot is None:
         rows = rows.withColumn("part", F.lit(0))
     else:
-        cut = F.pmod(F.xxhash64(*fields), F.col("_parts"))
+        cut = F.pmod(_row_hash(fields), F.col("_parts"))
+        rows = _with_parts(rows, hot, keys).withColumn("part", F.coalesce(cut, F.lit(0)).cast("int"))
         # Spread by part before the lists are built, not by key alone.
-        rows = rows.join(hot, keys, "left").withColumn("part", F.coalesce(cut, F.lit(0)).cast("int"))
         rows = rows.repartition(*keys, "part")
     item = F.struct(*[F.col(c) for c in fields])
     lists = rows.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias(child.into))

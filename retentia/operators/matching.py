@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from retentia.functions.arrays import let
 from retentia.functions.text import WORD
-from retentia.operators.groups import if_small
+from retentia.operators.groups import if_small, join_back
+from retentia.session import materialise
 
 # Pests looked for when the model names none, in match order.
 PESTS = [
@@ -175,12 +176,13 @@ def longest_match(rows: DataFrame, column: str, first: DataFrame, second: DataFr
     characters inside an entry scores the name's length; the lower ord wins a
     tie.  Dictionaries: ord, entry, label.  Each distinct name is matched once.
     """
-    values = rows.select(F.trim(column).alias("value")).where("value <> ''").distinct()
-    found = values
+    trimmed = rows.withColumn("value", F.trim(column))
+    counted = trimmed.where("value <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("_rows"))
+    values, found = counted.select("value"), counted
     steps = [("e1", first), ("e2", second)]
     for name, d in steps:
-        found = found.join(d.select(F.col("entry").alias("value"), F.col("label").alias(name)), "value", "left")
+        found = found.join(if_small(d).select(F.col("entry").alias("value"), F.col("label").alias(name)), "value", "left")
     for name, d in [("p1", first), ("p2", second)]:
         found = found.join(_best_partial(values, d).withColumnRenamed("label", name), "value", "left")
-    labels = found.select("value", F.coalesce("e1", "e2", "p1", "p2").alias(into))
-    return rows.withColumn("value", F.trim(column)).join(labels, "value", "left").drop("value")
+    labels = found.select("value", F.coalesce("e1", "e2", "p1", "p2").alias(into), "_rows")
+    return join_back(trimmed, materialise(labels, "labels"), ["value"]).drop("value")

@@ -76,19 +76,12 @@ def nearest_in_cluster(
     columns = ["id", "cluster", as_doubles(F.col("vec")).alias("vec")]
     queries, members = queries.select(*columns), members.select(*columns)
 
-    # The smallest id of a vector, and the next one for a query that is itself
-    # that smallest member: two minima, never a list of all copies.
-    first = members.groupBy("cluster", "vec").agg(F.min("id").alias("id"))
-    if exclude_self:
-        others = members.join(
-            first.select("cluster", "vec", F.col("id").alias("_first")), ["cluster", "vec"]
-        ).where("id <> _first")
-        second = others.groupBy("cluster", "vec").agg(F.min("id").alias("id2"))
-        points = first.join(second, ["cluster", "vec"], "left")
-        # A vector that one member alone has repeats its id.
-        points = points.withColumn("id2", F.coalesce("id2", "id"))
-    else:
-        points = first.withColumn("id2", F.col("id"))
+    # The two smallest ids of a vector: the second one answers a query that is
+    # itself the first.  The rank filter keeps two rows per task and vector, so
+    # many copies of one vector never meet.  A vector one member has alone
+    # repeats its id.
+    lowest = top_per_group(members, ["cluster", "vec"], [F.col("id")], 2)
+    points = lowest.groupBy("cluster", "vec").agg(F.min("id").alias("id"), F.max("id").alias("id2"))
 
     pivots = _pivots(spark, points, cell_points, max_pivots)
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.dates import LAST_VALID, parse_date
-from retentia.operators.groups import top_per_group
+from retentia.operators.groups import join_back, top_per_group
 from retentia.operators.profile import top_values
+from retentia.session import materialise
 
 CANDIDATES, OFFERS = 10, 3
 CONTRACT_REASON = "고객 세그먼트 내 %.1f%%가 이용중"
@@ -104,17 +105,15 @@ def recommendations(
     chosen = offers(customers, rated_c, "first_target").withColumnRenamed("offers", "contract_offers")
     chosen = offers(chosen, rated_p).withColumnRenamed("offers", "product_offers")
 
-    names = members.select(F.col("ccod").alias("sim_ccod"), F.col("name").alias("sim_user_name"))
-    peers = neighbors.select(F.col("sim_ccod").alias("ccod")).distinct()
-    lists = peers
+    # One row per peer; many customers may share one.
+    peers = neighbors.groupBy(F.col("sim_ccod").alias("ccod")).agg(F.count(F.lit(1)).alias("_rows"))
+    lists = peers.join(members.select("ccod", F.col("name").alias("sim_user_name")), "ccod", "left")
     for rows, into in ((contracts, "sim_user_contracts"), (products, "sim_user_products")):
         wanted = rows.join(peers, "ccod", "left_semi")
         lists = lists.join(distinct_list(wanted, "item", into), "ccod", "left")
-    lists = lists.withColumnRenamed("ccod", "sim_ccod")
+    lists = materialise(lists.withColumnRenamed("ccod", "sim_ccod"), "peers")
     return (
-        chosen.join(neighbors, "ccod", "left")
-        .join(names, "sim_ccod", "left")
-        .join(lists, "sim_ccod", "left")
+        join_back(chosen.join(neighbors, "ccod", "left"), lists, ["sim_ccod"])
         .select(
             "ccod",
             snapshot_month.alias("snapshot_month"),

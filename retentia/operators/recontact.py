@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retentia.operators.groups import if_small
+
 CODE_COLUMNS = [f"detail_category_{i}_code" for i in range(1, 6)]
 
 # Result column and number of earlier rows or days it covers.
@@ -60,7 +62,7 @@ def rolling_counts(daily: DataFrame, frame: str = "rows") -> DataFrame:
 
 def with_category_name(counts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     names = taxonomy.select(F.col("voc_id").alias("category_code"), F.col("name").alias("category_name"))
-    return counts.join(names, "category_code", "left")
+    return counts.join(if_small(names), "category_code", "left")
 
 
 def recontacts(

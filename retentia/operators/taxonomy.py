@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.text import canonical_category
-from retentia.operators.groups import Children, nest
+from retentia.operators.groups import Children, if_small, is_small, nest
 
 OTHER = "기타"
 MAX_PROMPT_ENTRIES = 10_000
@@ -62,14 +62,25 @@ def _entry() -> Column:
 
 
 def resolve_level(
-    rows: DataFrame, taxonomy: DataFrame, level: int, name: str, into: str, parent: str | None, other: str = OTHER
+    rows: DataFrame,
+    taxonomy: DataFrame,
+    level: int,
+    name: str,
+    into: str,
+    parent: str | None,
+    other: str = OTHER,
+    small: bool = False,
 ) -> DataFrame:
     """Taxonomy entry of a name below its resolved parent.
 
     Tried in order: the name, the parent's own "other" entry, the level-wide
     "other" entry.  No name or no parent gives null.  The entry with the
-    smallest id wins among equals.
+    smallest id wins among equals.  ``small`` says that the taxonomy was found
+    small enough to broadcast.
     """
+    def hint(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if small else table
+
     entries = _level(taxonomy, level)
     keys = ["_name"] if parent is None else ["_parent", "_name"]
     named = entries.select(
@@ -81,15 +92,15 @@ def resolve_level(
     usable = F.col(name).isNotNull() & (F.col(name) != "")
     rows = rows.withColumn("_name", canonical_category(F.col(name)))
     if parent is None:
-        rows = rows.join(exact, "_name", "left")
+        rows = rows.join(hint(exact), "_name", "left")
         found = F.coalesce("_exact", wide)
     else:
         usable = usable & F.col(parent).isNotNull()
         own_other = exact.where(F.col("_name") == other).select("_parent", F.col("_exact").alias("_own_other"))
         rows = (
             rows.withColumn("_parent", F.col(parent))
-            .join(exact, ["_parent", "_name"], "left")
-            .join(own_other, "_parent", "left")
+            .join(hint(exact), ["_parent", "_name"], "left")
+            .join(hint(own_other), "_parent", "left")
         )
         found = F.coalesce("_exact", "_own_other", wide)
     return rows.withColumn(into, F.when(usable, found)).drop("_name", "_parent", "_exact", "_own_other")
@@ -97,12 +108,13 @@ def resolve_level(
 
 def resolve_chain(rows: DataFrame, taxonomy: DataFrame, other: str = OTHER) -> DataFrame:
     """Main, sub and detail entry for the columns major, mid and minor."""
-    rows = resolve_level(rows, taxonomy, 1, "major", "main", None, other)
-    rows = resolve_level(rows, taxonomy, 2, "mid", "sub", "main.code", other)
-    return resolve_level(rows, taxonomy, 3, "minor", "detail", "sub.code", other)
+    small = is_small(taxonomy)
+    rows = resolve_level(rows, taxonomy, 1, "major", "main", None, other, small)
+    rows = resolve_level(rows, taxonomy, 2, "mid", "sub", "main.code", other, small)
+    return resolve_level(rows, taxonomy, 3, "minor", "detail", "sub.code", other, small)
 
 
 def code_name(rows: DataFrame, codes: DataFrame, column: str, into: str, default: str = "Unknown") -> DataFrame:
     """Name of a code, ``default`` when the dictionary lacks it."""
     names = codes.select(F.col("code").alias(column), F.col("name").alias("_name"))
-    return rows.join(names, column, "left").withColumn(into, F.coalesce("_name", F.lit(default))).drop("_name")
+    return rows.join(if_small(names), column, "left").withColumn(into, F.coalesce("_name", F.lit(default))).drop("_name")

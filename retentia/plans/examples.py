@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.text import prompt
+from retentia.operators.groups import join_back
 from retentia.operators.sampling import stratified_split
+from retentia.session import materialise
 from retentia.sources import sinks
 
 
 def training_examples(rows: DataFrame, instruction: str, held_out: float = 0.1, seed: int = 42) -> DataFrame:
     """Rendered prompt with its answer, and whether the example is held out.
 
-    ``rows``: input_text, category_dict, response.
+    ``rows``: input_text, category_dict, response.  Copies of an example are on
+    the same side.
     """
     rendered = rows.select(
         prompt(F.col("input_text"), F.col("category_dict"), instruction, F.col("response"), training=True).alias("text")
-    ).withColumn("all", F.lit(0))
-    return stratified_split(rendered, "text", "all", held_out, seed).drop("all")
+    )
+    distinct = rendered.groupBy("text").agg(F.count(F.lit(1)).alias("_rows")).withColumn("all", F.lit(0))
+    marked = stratified_split(distinct, "text", "all", held_out, seed).drop("all")
+    return join_back(rendered, materialise(marked, "split"), ["text"])
 
 
 def write_examples(examples: DataFrame, folder: str) -> None:

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from retentia.operators import explain, features as X
+from retentia.operators import explain, features as X, groups
 from retentia.schemas import COUNT_FEATURES, CSI_FEATURES, MODEL_FEATURES, VOC_FEATURES, WORK_FEATURES
 
 WORKS = (
@@ -94,8 +94,8 @@ def test_same_result_for_any_partitioning(spark, sf_dir, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_hot_customer_with_skew_join(spark):
-    """Two thirds of the rows on one key, split at run time, same totals."""
+def test_hot_customer_is_spread(spark, monkeypatch):
+    """Two thirds of the rows on one key: spread over tasks, same totals."""
     rows = spark.range(30_000).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 100)).alias("ccod"),
         (F.lit(LAST) - F.make_dt_interval((F.col("id") % 200).cast("int"))).alias("work_at"),
@@ -104,23 +104,13 @@ def test_hot_customer_with_skew_join(spark):
         F.lit(0).alias("csi_count"),
     )
     plain = X.work_features(rows).orderBy("ccod").collect()
-    settings = {
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        split = X.work_features(rows)
-        assert sorted(split.collect()) == plain
-        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    monkeypatch.setattr(groups, "HOT_ROWS", 1000)
+    split = X.work_features(rows)
+    assert split.orderBy("ccod").collect() == plain
+    assert "_salt" in split._jdf.queryExecution().toString()
+    joined = groups.with_group_stats(rows, ["ccod"], m=F.max("work_at")).select(F.spark_partition_id().alias("p"), "ccod")
+    loads = [r["n"] for r in joined.groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert max(loads) < 20_000  # the hot key alone has 20,000 rows
 
 
 def test_label_and_training_rows(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia import session
 from retentia.catalog import voc
-from retentia.operators import keys, quality, recontact
+from retentia.operators import groups, keys, quality, recontact
 from retentia.operators.groups import Children, if_small, nest, pack, top_per_group, with_group_stats
 from retentia.schemas import require_columns
 from retentia.sources import adapters as A
@@ -55,6 +55,13 @@ def test_rank_filter_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
 
 
+def test_hot_parents_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(groups, "is_small", lambda table, limit=0: False)
+    child = spark.range(200).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    rows = pack(Children(child, "m", ["v"], ["v"]), ["k"], 10).collect()
+    assert len(rows) > 10 and sorted(x["v"] for r in rows for x in r["m"]) == list(range(200))
+
+
 def test_group_stats_use_no_window(spark):
     df = with_group_stats(spark.range(10).select((F.col("id") % 2).alias("k"), "id"), ["k"], m=F.max("id"))
     assert "Window" not in df._jdf.queryExecution().toString()
