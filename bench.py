@@ -12,12 +12,11 @@ import time
 from retentia import catalog, session
 
 HEADLINE = [
-    "active_customers_any", "active_customers_all", "contract_target_summary", "work_features", "voc_features",
-    "monthly_property", "zscore_explain_top10", "explain_wide", "recontact_rows", "recontact_calendar",
-    "recontact_today", "voc_activity_upsert", "taxonomy_lookup_fallback", "category_slots", "clean_text_a",
-    "clean_text_b", "tfidf_best_term", "longest_match", "cluster_profile", "usage_rate_top3", "nearest_in_cluster",
-    "cluster_similarity", "recommendation_payload", "confidence_drift", "unknown_correction_rates",
-    "nested_work_history", "monthly_snapshot_json", "stratified_split", "stream_recontact",
+    "active_customers_any", "contract_target_summary", "work_features", "monthly_property", "explain_wide",
+    "recontact_rows", "recontact_calendar", "voc_activity_upsert", "category_slots", "clean_text_a",
+    "tfidf_best_term", "longest_match", "cluster_profile", "usage_rate_top3", "nearest_in_cluster",
+    "cluster_similarity", "recommendation_payload", "confidence_drift", "monthly_snapshot_json",
+    "stratified_split", "stream_recontact",
 ]
 
 

@@ -233,7 +233,7 @@ def sql_features(names: list[str]) -> str:
 
 
 def spark_features(names: list[str]) -> list:
-    return [F.col(f).cast("bigint").alias(f) if f in INTEGER_FEATURES else rounded(f) for f in names]
+    return [whole(f)[0] if f in INTEGER_FEATURES else rounded(f) for f in names]
 
 
 BASE_SQL = f"""{WORKS_SQL}, {VOC_AGED_SQL}, work_f AS ({_work_sql()}), voc_f AS ({_voc_sql()}),

@@ -34,12 +34,13 @@ def day_text(column: str) -> Column:
 
 def rounded(column: str | Column, places: int = 6, name: str | None = None) -> Column:
     """Rounded double without a negative zero."""
-    c = F.col(column) if isinstance(column, str) else column
-    return (F.round(c.cast("double"), places) + F.lit(0.0)).alias(name or column)
+    if isinstance(column, str):
+        return F.expr(f"round(CAST({column} AS DOUBLE), {places}) + 0.0D AS {name or column}")
+    return (F.round(column.cast("double"), places) + F.lit(0.0)).alias(name)
 
 
 def whole(*columns: str) -> list[Column]:
-    return [F.col(c).cast("bigint").alias(c) for c in columns]
+    return [F.expr(f"CAST({c} AS BIGINT) AS {c}") for c in columns]
 
 
 def sql_day(column: str) -> str:

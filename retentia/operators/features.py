@@ -42,19 +42,6 @@ def attach_children(works: DataFrame, services: DataFrame, surveys: DataFrame) -
     )
 
 
-def _within(days: int, age: str = "_age") -> Column:
-    # A row without a date has no age and is in no window.
-    return F.coalesce(F.col(age) <= days, F.lit(False))
-
-
-def _count_if(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
-
-
-def _sum_if(value: Column, condition: Column) -> Column:
-    return F.sum(F.when(condition, value).otherwise(0))
-
-
 def work_history_totals(works: DataFrame) -> DataFrame:
     """One row per customer with all window totals, before the rates.
 
@@ -65,30 +52,30 @@ def work_history_totals(works: DataFrame) -> DataFrame:
         works, ["ccod"], _last=F.max("work_at")
     ).withColumn("_age", whole_days(F.col("_last"), F.col("work_at")))
 
-    per_type: list[Column] = [
-        F.count(F.lit(1)).alias("work_count"),
-        _count_if(F.col("confirmed")).alias("confirmed_work"),
-        _count_if(F.col("cancelled")).alias("cancelled_work"),
-        F.sum("n_services").alias("services"),
-        F.min("work_at").alias("first_at"),
-        F.max("work_at").alias("last_at"),
-        _sum_if(F.col("csi_sum"), F.col("work_at").isNotNull()).alias("csi_sum"),
-        _sum_if(F.col("csi_count"), F.col("work_at").isNotNull()).alias("csi_count"),
+    per_type = [
+        "count(1) AS work_count",
+        "count_if(confirmed) AS confirmed_work",
+        "count_if(cancelled) AS cancelled_work",
+        "sum(n_services) AS services",
+        "min(work_at) AS first_at",
+        "max(work_at) AS last_at",
+        "coalesce(sum(csi_sum) FILTER (WHERE work_at IS NOT NULL), 0) AS csi_sum",
+        "coalesce(sum(csi_count) FILTER (WHERE work_at IS NOT NULL), 0) AS csi_count",
     ]
     for d in WINDOWS:
-        inside = _within(d)
+        # A row without a date has no age and is in no window.
+        inside = f"_age <= {d}"
         per_type += [
-            F.count_if(inside).alias(f"work_last_{d}d"),
-            _count_if(inside & F.col("confirmed")).alias(f"confirmed_{d}d"),
-            _count_if(inside & F.col("cancelled")).alias(f"cancelled_{d}d"),
-            _sum_if(F.col("n_services"), inside).alias(f"services_{d}d"),
-            _sum_if(F.col("csi_sum"), inside).alias(f"csi_sum_{d}d"),
-            _sum_if(F.col("csi_count"), inside).alias(f"csi_survey_count_{d}d"),
+            f"count_if({inside}) AS work_last_{d}d",
+            f"count_if({inside} AND confirmed) AS confirmed_{d}d",
+            f"count_if({inside} AND cancelled) AS cancelled_{d}d",
+            f"coalesce(sum(n_services) FILTER (WHERE {inside}), 0) AS services_{d}d",
+            f"coalesce(sum(csi_sum) FILTER (WHERE {inside}), 0) AS csi_sum_{d}d",
+            f"coalesce(sum(csi_count) FILTER (WHERE {inside}), 0) AS csi_survey_count_{d}d",
         ]
-    by_type = dated.groupBy("ccod", "work_type").agg(*per_type)
+    by_type = dated.groupBy("ccod", "work_type").agg(*[F.expr(e) for e in per_type])
 
     # One row per type is left, so a distinct count is a count of rows.
-    named = F.coalesce(F.col("work_type") != "", F.lit(False))
     summed = [
         "work_count", "confirmed_work", "cancelled_work", "services", "csi_sum", "csi_count",
     ] + [
@@ -96,13 +83,13 @@ def work_history_totals(works: DataFrame) -> DataFrame:
         for d in WINDOWS
         for stem in ("work_last", "confirmed", "cancelled", "services", "csi_sum", "csi_survey_count")
     ]
-    return by_type.groupBy("ccod").agg(
-        *[F.sum(c).alias(c) for c in summed],
-        F.min("first_at").alias("first_at"),
-        F.max("last_at").alias("last_at"),
-        F.count_if(named).alias("unique_work_types"),
-        *[F.count_if(named & (F.col(f"work_last_{d}d") > 0)).alias(f"work_types_{d}d") for d in WINDOWS],
-    )
+    totals = [f"sum({c}) AS {c}" for c in summed] + [
+        "min(first_at) AS first_at",
+        "max(last_at) AS last_at",
+        "count_if(work_type <> '') AS unique_work_types",
+        *[f"count_if(work_type <> '' AND work_last_{d}d > 0) AS work_types_{d}d" for d in WINDOWS],
+    ]
+    return by_type.groupBy("ccod").agg(*[F.expr(e) for e in totals])
 
 
 def work_features(works: DataFrame) -> DataFrame:
@@ -150,14 +137,13 @@ def voc_features(interactions: DataFrame) -> DataFrame:
     aged = with_group_stats(interactions, ["ccod"], _last=F.max("event_at")).withColumn(
         "_age", whole_days(F.col("_last"), F.col("event_at"))
     )
-    voc = F.coalesce(F.col("event_type") == "VOC", F.lit(False))
-    totals = [F.count(F.lit(1)).alias("num_interactions"), F.count_if(voc).alias("voc_count")]
+    totals = ["count(1) AS num_interactions", "count_if(event_type = 'VOC') AS voc_count"]
     for d in WINDOWS:
         totals += [
-            F.count_if(_within(d)).alias(f"interactions_{d}d"),
-            F.count_if(_within(d) & voc).alias(f"voc_{d}d"),
+            f"count_if(_age <= {d}) AS interactions_{d}d",
+            f"count_if(_age <= {d} AND event_type = 'VOC') AS voc_{d}d",
         ]
-    counted = aged.groupBy("ccod").agg(*totals)
+    counted = aged.groupBy("ccod").agg(*[F.expr(e) for e in totals])
     columns = {
         "non_voc_count": F.col("num_interactions") - F.col("voc_count"),
         "voc_ratio": ratio(F.col("voc_count"), F.col("num_interactions")),
@@ -203,10 +189,8 @@ def customer_features(customers: DataFrame, work: DataFrame, voc: DataFrame, *,
 
 def monthly_property(features: DataFrame) -> DataFrame:
     """Feature table as stored: counts are integers, the rest doubles."""
-    typed = [
-        F.col(f).cast("int" if f in COUNT_FEATURES else "double").alias(f) for f in MODEL_FEATURES
-    ]
-    return features.select("ccod", *typed)
+    typed = [f"CAST({f} AS {'INT' if f in COUNT_FEATURES else 'DOUBLE'}) AS {f}" for f in MODEL_FEATURES]
+    return features.selectExpr("ccod", *typed)
 
 
 def churn_label(rule: dict[str, int] | None = None) -> Column:

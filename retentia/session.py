@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,16 +52,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="retentia-")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder the cluster names.
 
     Only a local session without that setting falls back to a temporary folder.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="retentia-")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -155,26 +155,13 @@ def test_similarity_counters(spark):
     assert tuple(quality.similarity_counters(df).first()) == (0.5, 0.5, 0.1, 0.9)
 
 
-def test_scratch_dir_follows_the_cluster_setting(spark, monkeypatch):
-    class Conf:
-        def __init__(self, value):
-            self.value = value
-
-        def get(self, key, default):
-            return self.value or default
-
-    class Context:
-        master = "yarn"
-
-        def __init__(self, value):
-            self.value = value
-
-        def getConf(self):
-            return Conf(self.value)
-
+def test_scratch_dir_follows_the_cluster_setting():
     class Session:
-        def __init__(self, value):
-            self.sparkContext = Context(value)
+        class sparkContext:
+            master = "yarn"
+
+        def __init__(self, folder):
+            self.conf = {"spark.checkpoint.dir": folder}
 
     assert session.scratch_dir(Session("s3://shared/x/"), "n").startswith("s3://shared/x/n-")
     with pytest.raises(ValueError):
