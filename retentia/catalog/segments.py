@@ -7,11 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.catalog.customers import AS_OF, BASE_SQL, LABEL_RULE, feature_table
-from retentia.catalog.registry import day_text, query, rounded, sql_int, sql_round, whole
-from retentia.functions.numbers import round_even
-from retentia.operators import churn, explain, features, keys, neighbors, profile, recommend, sampling, segments
-from retentia.operators import contracts as C
+from retentia.catalog.customers import BASE_SQL, LABEL_RULE, feature_table
+from retentia.catalog.registry import query, rounded, sql_round, whole
+from retentia.operators import churn, explain, features, neighbors, profile, recommend, sampling, segments
 from retentia.schemas import MODEL_FEATURES
 from retentia.session import materialise
 from retentia.sources import adapters as A
@@ -329,20 +327,17 @@ def case_label() -> str:
 @query(_wide_sql())
 def explain_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     explained = _explained(spark, sf_dir)
-    wide = explained.select("ccod", *explain.wide_explanation(explained, NORMAL, CHURNED))
-    exact = [c for c in wide.columns if c.endswith(("_value", "_contrib"))]
-    full = explained.select("ccod", *_unrounded())
-    # Values at three decimals: the two engines sum in different orders.
-    shown = [rounded(c, 3) if c in exact else F.col(c) for c in wide.columns if c != "ccod"]
-    return wide.drop(*exact).join(full, "ccod").select("ccod", *shown)
-
-
-def _unrounded() -> list:
-    out = []
-    for n in range(10):
+    columns = explain.wide_explanation(explained, NORMAL, CHURNED)
+    shown = []
+    for n in range(explain.TOP):
+        label, _, normal, churned, _, impact = columns[6 * n : 6 * n + 6]
         t = F.get("top", F.lit(n))
-        out += [t["value"].alias(f"feature_{n + 1}_value"), t["contribution"].alias(f"feature_{n + 1}_contrib")]
-    return out
+        # Values at three decimals: the two engines sum in different orders.
+        shown += [
+            label, rounded(t["value"], 3, f"feature_{n + 1}_value"), normal, churned,
+            rounded(t["contribution"], 3, f"feature_{n + 1}_contrib"), impact,
+        ]
+    return explained.select("ccod", *shown)
 
 
 MEAN_FEATURES = ["work_last_30d", "cancellation_rate", "avg_csi_score", "voc_ratio", "activity_density"]
