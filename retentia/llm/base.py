@@ -53,6 +53,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), "")
 
 
+def dense_array(values: DataFrame, size: int, default: Column) -> Column:
+    """Values by ``key`` from 0 to ``size`` - 1 as one array, a scalar subquery.
+
+    ``values`` has a ``value`` for some of the keys; the others get ``default``.
+    The size is fixed, so the array fits wherever it is sent.
+    """
+    keys = values.sparkSession.range(size).select(F.col("id").alias("key"))
+    filled = keys.join(values, "key", "left").select("key", F.coalesce("value", default).alias("value"))
+    rows = filled.agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("rows"))
+    return rows.select(F.transform("rows", lambda x: x["value"])).scalar()
+
+
 def id_remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id's text modulo ``divisor``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % divisor, F.lit(-1))

@@ -11,10 +11,10 @@ the posting answer that without another join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.base import ascii_lower, let
+from retentia.llm.base import ascii_lower, dense_array, let
 from retentia.session import materialise
 
 WINDOW = 13
@@ -47,10 +47,9 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size
 def _bitmap(chosen: DataFrame) -> Column:
     """Bitmap of the hashes in ``term`` as an array of a fixed number of words."""
     words = chosen.select(F.pmod(F.shiftright("term", 6), F.lit(BITMAP)).alias("word"), F.pmod("term", F.lit(64)).alias("bit"))
-    full = words.distinct().groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("bits"))
-    held = full.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))  # at most BITMAP entries
-    places = F.sequence(F.lit(0).cast("long"), F.lit(BITMAP - 1).cast("long"))
-    return held.select(F.transform(places, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))).alias("b")).scalar()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))
+    full = words.distinct().groupBy(F.col("word").alias("key")).agg(F.bit_or(bit).alias("value"))
+    return dense_array(full, BITMAP, F.lit(0).cast("long"))
 
 
 def _in(bitmap: Column, term: Column) -> Column:

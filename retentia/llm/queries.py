@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import decontam, langid, mixing, packing, simhash
+from retentia.llm import context_mixing, decontam, langid, licenses, linededup, mixing, packing, quality_rules, rule_ensemble, simhash
 from retentia.llm.base import ASCII_LOWER, ASCII_UPPER, ORACLES, QUERIES, Query, id_remainder, query, table
 from retentia.session import scratch_dir
 
@@ -19,6 +19,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query()
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.assess(docs, trusted)
+
+
 @query()
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -75,6 +82,63 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(id_remainder("doc_id", 4) != 2)
+    scored = rule_ensemble.score(docs, rule_ensemble.fit(docs, labels))
+    return scored.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_remainder("doc_id", 7) != 2).alias("train"))
+    scored = context_mixing.score(docs, "train")
+    return scored.withColumn("held_out", ~F.col("train")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
+@query()
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of a tree: a folder per ten, in folders per thousand, by source.
+
+    The first document of each folder of ten is its licence file.
+    """
+    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    folder = [F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 10).cast("string")]
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", *folder, name).alias("path"), "text")
+    found = licenses.scan(files)
+    return licenses.inherit(files.drop("text"), found)
+
+
+TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINE_DEDUP_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (
+  SELECT r, doc_id, i, [trim(x, {TRIM}) FOR x IN l[i : i + 2]] AS win
+  FROM (SELECT r, doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+later AS (
+  SELECT r, i FROM (
+    SELECT r, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w
+    WHERE array_to_string(win, '') <> '') WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 3)) AS i FROM later),
+kept AS (
+  SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+  FROM (SELECT r, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(l) - coalesce(kept.n, 0), 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS text_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+@query(LINE_DEDUP_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
