@@ -45,7 +45,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+    """A-Z in lower case, other letters as they are; much faster for pure ASCII."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
+
+
+def count_of(text: Column, characters: str) -> Column:
+    """Characters of a regular expression's class in a text."""
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def words(text: Column) -> Column:
@@ -65,6 +72,15 @@ def dense_array(values: DataFrame, size: int, default: Column) -> Column:
     return rows.select(F.transform("rows", lambda x: x["value"])).scalar()
 
 
+def part_of(values: Column, start: Column, size: Column) -> Column:
+    """``size`` elements from ``start``, which counts from 0.
+
+    ``slice`` copies the whole array each time, so it is not for every element of a long one.
+    """
+    places = F.sequence(start, start + size - 1)
+    return F.when(size < 1, F.slice(values, 1, 0)).otherwise(F.transform(places, lambda i: F.get(values, i)))
+
+
 def id_remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id's text modulo ``divisor``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % divisor, F.lit(-1))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.base import ascii_lower, dense_array, let
+from retentia.llm.base import ascii_lower, dense_array, let, part_of
 from retentia.session import materialise
 
 WINDOW = 13
@@ -38,7 +38,7 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size
     cut = let(
         terms(F.col(text)),
         lambda t: F.when(F.size(t) == 0, none).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: F.slice(t, i, F.lit(size)))
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: part_of(t, i - 1, F.least(F.size(t), F.lit(size))))
         ),
     )
     return items.select(F.col(item_id).cast("string").alias("item"), F.explode(cut).alias("window")).distinct()
@@ -94,7 +94,7 @@ def build_index(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text
 
     def posting(t: Column, x: Column) -> Column:
         lead = F.least(x["pos"], F.lit(reach))
-        around = F.slice(t, x["pos"] - lead + 1, lead + reach + 1)
+        around = part_of(t, x["pos"] - lead, F.least(lead + reach + 1, F.size(t) - x["pos"] + lead))
         return F.struct(x["term"].alias("term"), x["pos"].alias("pos"), lead.alias("lead"), around.alias("around"))
 
     def row(t: Column) -> Column:

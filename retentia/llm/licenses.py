@@ -16,7 +16,6 @@ import json
 import math
 import re
 from collections import Counter
-from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,12 +97,12 @@ class Templates:
         kind = "array<struct<term:string,idf:double,parts:array<struct<template:int,license:string,weight:double>>>>"
         return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
-    def maybe(self, text: Column) -> Column:
-        """Whether a lower-case text contains the letters of a cue: cheap, for whole texts."""
-        return reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in self.cues])
+    def has_cue(self, text: Column) -> Column:
+        """Whether a lower-case text has a cue as a term, for whole texts."""
+        return F.arrays_overlap(F.split(text, "[^a-z0-9]+"), F.array(*[F.lit(c) for c in self.cues]))
 
     def cue(self, text: Column) -> Column:
-        """Whether a lower-case text has a cue as a term."""
+        """The same for short pieces of text."""
         return text.rlike(f"(?<![a-z0-9])(?:{'|'.join(self.cues)})(?![a-z0-9])")
 
 
@@ -115,16 +114,15 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: Te
     """
     templates = templates or Templates()
     rows = files.select(F.col(path).alias("path"), ascii_lower(F.col(text)).alias("_text")).dropna()
-    rows = rows.where(templates.maybe(F.col("_text")))
+    rows = rows.where(templates.has_cue(F.col("_text")))
 
     def units(lines: Column) -> Column:
-        n = F.size(lines)
-        runs = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LINES), n - i + 1)), lambda k: F.array_join(F.slice(lines, i, k), " ")),
-            )
-        )
+        # A run that would go beyond the last line equals a shorter one.
+        def run(i: Column, k: int) -> Column:
+            return F.concat_ws(" ", *[F.get(lines, i + j) for j in range(k)])
+
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        runs = F.concat(*[F.transform(places, lambda i, k=k: run(i, k)) for k in range(1, LINES + 1)])
         return F.filter(runs, templates.cue)
 
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array("_text")).otherwise(F.array().cast("array<string>"))

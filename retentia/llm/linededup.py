@@ -24,9 +24,11 @@ def _marked(lines: Column, size: int) -> Column:
     """Windows with a word, ordered by hash: ``h``, ``g``, ``pos`` and whether the text had it before."""
 
     def window(i: Column) -> Column:
-        part = F.slice(lines, i + 1, F.lit(size))
-        text = F.array_join(part, "")
-        return F.struct(F.xxhash64(part).alias("h"), F.xxhash64(F.lit(1), part).alias("g"), i.alias("pos"), (text != "").alias("word"))
+        part = [F.get(lines, i + k) for k in range(size)]
+        word = F.lit(False)
+        for line in part:
+            word = word | (line != "")
+        return F.struct(F.xxhash64(*part).alias("h"), F.xxhash64(F.lit(1), *part).alias("g"), i.alias("pos"), word.alias("word"))
 
     def again(rows: Column) -> Column:
         def mark(x: Column, j: Column) -> Column:

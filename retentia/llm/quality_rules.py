@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.base import bounded_sample, dense_array, let, words
+from retentia.llm.base import bounded_sample, count_of, dense_array, let, words
 from retentia.session import materialise
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
-THRESHOLD = -0.25
+THRESHOLD = -0.18
 SYMBOLS = "#*$%&|<>"
 REPEAT = 5
 
@@ -70,14 +70,10 @@ def _repeated(w: Column) -> Column:
         found = F.aggregate(F.array_sort(starts), start, add)["n"]
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(found)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - REPEAT + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(REPEAT))))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - REPEAT), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(REPEAT)]))
     return F.when(F.size(w) < REPEAT, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
-def _removed(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def score(docs: DataFrame, ratios: Column, text: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without ``text``, with the counts, ``base_failed``, ``llr`` and ``kept``.
 
@@ -103,8 +99,8 @@ def score(docs: DataFrame, ratios: Column, text: str = "text", buckets: int = BU
     made = rows.select(
         *others,
         let(words(F.col("_text")), row).alias("r"),
-        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        _removed(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.length("_text") - count_of(F.col("_text"), " \\t-\\r")).cast("long").alias("word_chars"),
+        count_of(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"),
     )
     found = made.select(*others, "r.n_words", "word_chars", "n_symbols", "n_dup_lines", "r.n_repeat_words", "r.llr")

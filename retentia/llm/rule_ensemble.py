@@ -16,23 +16,18 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.base import bounded_sample, let, words
+from retentia.llm.base import bounded_sample, count_of, let, words
 from retentia.session import materialise
 
 LABELLED = 20_000
 TREES, DEPTH = 20, 4
 PENALTY = 0.002
-SYMBOLS, ENDS = "#*$%&|<>", ".,;:!?"
-
-STATISTICS = [
-    "log_words", "word_length", "longest", "distinct", "symbols", "upper", "digits", "ends", "exclamations", "bars",
-    "other", "wide", "line_length", "repeated_lines", "follows",
-]
-
-
-def _share(text: Column, characters: str) -> Column:
-    size = F.length(text)
-    return (size - F.length(F.translate(text, characters, ""))) / F.greatest(size, F.lit(1))
+# Classes of characters by name, as in a regular expression.
+CLASSES = {
+    "symbols": "#*$%&|<>", "upper": "A-Z", "digits": "0-9", "ends": ".,;:!?", "exclamations": "!", "bars": "|",
+    "other": "()\\[\\]{}=_/\\\\@^~`\"'+-",
+}
+STATISTICS = ["log_words", "word_length", "longest", "distinct", "follows", "line_length", "repeated_lines", "wide", *CLASSES]
 
 
 def statistics(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -56,22 +51,21 @@ def statistics(rows: DataFrame, text: str = "text") -> DataFrame:
             F.log1p(F.length(t) / n).alias("line_length"), ((F.size(x) - F.size(F.array_distinct(x))) / n).alias("repeated_lines")
         )
 
-    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    def of_rest(r: Column) -> Column:
+        """Shares of characters, from what is left without a-z and blanks."""
+        size = F.greatest(F.length(t), F.lit(1))
+        return F.struct(*[(count_of(r, c) / size).alias(name) for name, c in CLASSES.items()])
+
     size = F.greatest(F.length(t), F.lit(1))
     made = rows.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text")).select(
         *others,
         let(words(t), of_words).alias("w"),
         let(F.split(t, "\n"), of_lines).alias("l"),
-        _share(t, SYMBOLS).alias("symbols"),
-        ((F.length(t) - F.length(F.translate(t, upper, ""))) / size).alias("upper"),
-        _share(t, digits).alias("digits"),
-        _share(t, ENDS).alias("ends"),
-        _share(t, "!").alias("exclamations"),
-        _share(t, "|").alias("bars"),
-        _share(t, "()[]{}=_/\\@^~`\"'+-").alias("other"),
+        let(F.regexp_replace(t, "[a-z \n]+", ""), of_rest).alias("c"),
         ((F.octet_length(t) - F.length(t)) / size).alias("wide"),
     )
     picked = {"log_words": "w", "word_length": "w", "longest": "w", "distinct": "w", "follows": "w", "line_length": "l", "repeated_lines": "l"}
+    picked |= dict.fromkeys(CLASSES, "c")
     return made.select(*others, *[F.col(f"{picked[c]}.{c}" if c in picked else c).cast("double").alias(c) for c in STATISTICS])
 
 
