@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.llm.base import pieces
@@ -55,18 +55,18 @@ def fit(
     found = sample.select("lang", F.explode(F.split(F.lower("text"), _SPARK_LETTERS)).alias("gram")).where("gram <> ''")
     counts = found.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     padded = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
-    cuts = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(padded) - size + 1, F.lit(1))),
-            lambda i, size=size: F.struct(F.lit(size).alias("size"), F.substring(padded, i, F.lit(size)).alias("gram")),
-        )
-        for size in range(1, order + 1)
-    ]
+
+    def cut(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(padded) - size + 1)
+        made = F.transform(places, lambda i: F.struct(F.lit(size).alias("size"), F.substring(padded, i, F.lit(size)).alias("gram")))
+        return F.when(F.length(padded) >= size, made).otherwise(F.slice(made, 1, 0))
+
+    cuts = [cut(size) for size in range(1, order + 1)]
     whole = F.array(F.struct(F.lit(0).alias("size"), F.col("gram").alias("gram")))
     entries = (
         counts.select("lang", "n", F.explode(F.concat(whole, *cuts)).alias("e"))
         .select("lang", "n", "e.size", "e.gram")
-        .where("size = 0 OR (length(gram) = size AND trim(gram) <> '')")
+        .where("trim(gram) <> ''")
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
     )

@@ -16,6 +16,7 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -118,11 +119,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: Te
 
     def units(lines: Column) -> Column:
         # A run that would go beyond the last line equals a shorter one.
-        def run(i: Column, k: int) -> Column:
-            return F.concat_ws(" ", *[F.get(lines, i + j) for j in range(k)])
+        def run(k: int) -> Callable[[Column], Column]:
+            return lambda i: F.concat_ws(" ", *[F.get(lines, i + j) for j in range(k)])
 
         places = F.sequence(F.lit(0), F.size(lines) - 1)
-        runs = F.concat(*[F.transform(places, lambda i, k=k: run(i, k)) for k in range(1, LINES + 1)])
+        runs = F.concat(*[F.transform(places, run(k)) for k in range(1, LINES + 1)])
         return F.filter(runs, templates.cue)
 
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array("_text")).otherwise(F.array().cast("array<string>"))
