@@ -24,7 +24,7 @@ UNKNOWN = "und"
 # Bounds of the model: documents fitted per language, entries kept per language
 # and length.  With L languages the model has at most L * (WORDS + GRAMS * ORDER)
 # entries.
-FIT_DOCUMENTS = 20_000
+FIT_DOCUMENTS = 5_000
 WORDS = 20_000
 GRAMS = 4_000
 ORDER = 5
