@@ -18,6 +18,7 @@ small Parquet table beside them.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,9 +33,9 @@ from retentia.llm.base import pieces
 
 MAGIC = b"TOKBITS1"
 BLOCK = 1 << 16
-CACHE = 300_000
+CACHE = 800_000
 _FOOTER = 6 * 8 + len(MAGIC)
-Encoder = Callable[[], Callable[[bytes], np.ndarray]]
+Encoder = Callable[[], Callable[[list[bytes]], list[np.ndarray]]]
 
 
 def width(vocabulary: int) -> int:
@@ -160,24 +161,26 @@ class Shard:
 def word_encoder(path: str, end: int | None = None) -> Encoder:
     """Encoder of UTF-8 texts by a tokenizer file whose tokens never span white space.
 
-    A text is cut at ASCII white space and each piece is encoded by the
+    Texts are cut at ASCII white space and each piece is encoded by the
     tokenizers library once per worker process; pieces seen before come from a
     bounded table.  A text with the string of a special token is encoded whole.
     ``end`` is appended to each text.
     """
 
-    def make() -> Callable[[bytes], np.ndarray]:
+    def make() -> Callable[[list[bytes]], list[np.ndarray]]:
         return _word_encoder(path, end)
 
     return make
 
 
-_MADE: dict[tuple[str, int | None], Callable[[bytes], np.ndarray]] = {}
+_MADE: dict[tuple[str, int | None], Callable[[list[bytes]], list[np.ndarray]]] = {}
 
 
-def _word_encoder(path: str, end: int | None) -> Callable[[bytes], np.ndarray]:
+def _word_encoder(path: str, end: int | None) -> Callable[[list[bytes]], list[np.ndarray]]:
     if (path, end) in _MADE:
         return _MADE[path, end]
+    # Spark gives each task its core; the library's own threads would only wait for one.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -185,22 +188,33 @@ def _word_encoder(path: str, end: int | None) -> Callable[[bytes], np.ndarray]:
     seen: dict[bytes, bytes] = {}
     tail = np.array([] if end is None else [end], "<u4").tobytes()
 
-    def whole(text: bytes) -> bytes:
-        ids = tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(text: bytes) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.frombuffer(whole(text) + tail, "<u4")
-        found = text.split()
+    def learn(new: list[bytes]) -> None:
+        """Encodes pieces as one text; a token belongs to the piece in which it begins."""
+        texts = [w.decode("utf-8", "replace") for w in new]
+        got = tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+        ids = np.array(got.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(starts, begins)).tolist()
+        for k, word in enumerate(new):
+            seen[word] = ids[cuts[k] : cuts[k + 1]]
+
+    def encode(texts: list[bytes]) -> list[np.ndarray]:
+        whole = [any(s in t for s in special) for t in texts]
+        split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
         if len(seen) >= CACHE:
             seen.clear()
-        fresh = [w for w in dict.fromkeys(found) if w not in seen]
-        if fresh:
-            texts = [w.decode("utf-8", "replace") for w in fresh]
-            for word, got in zip(fresh, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                seen[word] = np.array(got.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([seen[w] for w in found]) + tail, "<u4")
+        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in seen]
+        for at in range(0, len(new), 4096):
+            learn(new[at : at + 4096])
+        out = []
+        for text, alone, words in zip(texts, whole, split, strict=True):
+            if alone:
+                ids = np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                ids = b"".join([seen[w] for w in words])
+            out.append(np.frombuffer(ids + tail, "<u4"))
+        return out
 
     _MADE[path, end] = encode
     return encode
@@ -228,11 +242,11 @@ def write(
         out, part = None, -1
         for batch in batches:
             for rows in pieces(batch):
-                for key, doc, text_ in zip(rows["_part"], rows["_id"], rows["_text"], strict=True):
-                    if out is None:
-                        part = int(key)
-                        out = ShardWriter(f"{folder}/shards/{part:08d}.tok", bits, block)
-                    out.add(None if pd.isna(doc) else int(doc), encode(text_ or b""))
+                if out is None and len(rows):
+                    part = int(rows["_part"].iloc[0])
+                    out = ShardWriter(f"{folder}/shards/{part:08d}.tok", bits, block)
+                for doc, ids in zip(rows["_id"], encode([t or b"" for t in rows["_text"]]), strict=True):
+                    out.add(None if pd.isna(doc) else int(doc), ids)
         if out is not None:
             docs_in = len(out.docs)
             yield pd.DataFrame({"shard": [part], "ids": [out.close()], "documents": [docs_in]})
