@@ -538,7 +538,8 @@ def latest_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = A.load(spark, sf_dir, "events").schema
-    return ingest.read_files(spark, sf_dir, schema, "events.parquet")
+    # One file or a folder of part files: a glob path takes either.
+    return ingest.read_files(spark, f"{sf_dir}/events.parque[t]", schema)
 
 
 @query(

@@ -9,7 +9,6 @@ from retentia.functions.text import canonical_category
 from retentia.operators.groups import Children, if_small, is_small, nest
 
 OTHER = "기타"
-MAX_PROMPT_ENTRIES = 10_000
 
 
 def load_taxonomy(raw: DataFrame) -> DataFrame:
@@ -42,10 +41,9 @@ def taxonomy_tree(taxonomy: DataFrame, max_items: int = 100_000) -> DataFrame:
 def taxonomy_json(taxonomy: DataFrame) -> str:
     """The whole tree as the JSON text a prompt carries.
 
-    A prompt can only hold a dimension-sized taxonomy, so the size is checked.
+    It is one text, so it goes through one task and the driver; how long a
+    prompt may be is up to the scorer.
     """
-    if taxonomy.limit(MAX_PROMPT_ENTRIES + 1).count() > MAX_PROMPT_ENTRIES:
-        raise ValueError(f"a prompt taxonomy has at most {MAX_PROMPT_ENTRIES} entries")
     sub = F.struct("sub_code", "sub_name", F.col("details.name").alias("names"))
     mains = taxonomy_tree(taxonomy).groupBy("main_code", "main_name").agg(F.sort_array(F.collect_list(sub)).alias("subs"))
     whole = mains.agg(F.sort_array(F.collect_list(F.struct("main_code", "main_name", "subs"))).alias("mains"))
