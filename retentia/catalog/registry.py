@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.session import tune
+from retentia.session import size_shuffles, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,8 @@ ORACLES: dict[str, str] = {}
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(tune(spark), sf_dir)
+            size_shuffles(tune(spark), sf_dir)
+            return build(spark, sf_dir)
 
         QUERIES[build.__name__] = run
         if sql is not None:

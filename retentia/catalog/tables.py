@@ -196,8 +196,8 @@ def month_peer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = A.customer_clusters(spark, sf_dir).select("ccod", F.col("cluster").alias("user_cluster"))
     for month in (MONTH, date(2023, 12, 1)):
         stamped = clusters.withColumn("snapshot_month", F.lit(month))
-        sinks.write_months(stamped, f"{folder}/recommendation", key="ccod")
-    sinks.write_months(_snapshot(spark, sf_dir), f"{folder}/snapshot", key="ccod")
+        sinks.write_months(stamped, f"{folder}/recommendation")
+    sinks.write_months(_snapshot(spark, sf_dir), f"{folder}/snapshot")
     profiles = monthly.cluster_profiles(
         spark.read.parquet(f"{folder}/recommendation"), spark.read.parquet(f"{folder}/snapshot"), MONTH
     )
@@ -263,7 +263,7 @@ def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.reload(rows, f"{folder}/reload")
         for month in (MONTH, date(2024, 2, 1)):
             stamped = rows.withColumn("snapshot_month", F.lit(month))
-            sinks.write_months(stamped, f"{folder}/month", mode="overwrite", key="id")
+            sinks.write_months(stamped, f"{folder}/month", mode="overwrite")
     sinks.export_csv(rows, f"{folder}/csv")
     sinks.export_json_lines(rows, f"{folder}/json")
     ddl = "id bigint, c_name string"

@@ -549,7 +549,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "hourly")
     activity.store_hourly_counts(_event_stream(spark, sf_dir), "ts", "event_type", f"{folder}/counts", f"{folder}/checkpoint")
-    counts = activity.latest_counts(spark, f"{folder}/counts")
+    counts = activity.total_counts(spark, f"{folder}/counts")
     return counts.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "category", "n")
 
 
@@ -576,6 +576,6 @@ def stream_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(DISTINCT event_id // 3) AS receipts FROM events")
 def stream_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "receipts")
-    rows = ingest.event_time(A.messages_of(_event_stream(spark, sf_dir)), "created_at")
-    ingest.run_available(ingest.without_repeats(rows), f"{folder}/checkpoint", ingest.keep_batch(f"{folder}/receipts"))
+    rows = A.messages_of(_event_stream(spark, sf_dir))
+    ingest.store_first_arrivals(rows, f"{folder}/receipts", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/receipts").agg(F.count(F.lit(1)).alias("receipts"))

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from retentia.session import materialise
 
 MAX_ITEMS = 100_000
-# Most rows of a broadcast table, rows that make a key hot, and the number of
+# Bound on the number of hot keys, rows that make a key hot, and the number of
 # pieces a hot key is spread over.
-BROADCAST_ROWS = 200_000
+HOT_KEYS = 200_000
 HOT_ROWS = 10_000_000
 SALTS = 4_096
 
@@ -42,13 +42,13 @@ def join_back(rows: DataFrame, stats: DataFrame, keys: list[str], hot_rows: int
     ``stats`` is materialised and counts the key's rows in ``_rows``.  Without
     hot keys this is one join on the key, whose partitioning later groupings
     by the key reuse.  Hot keys are broadcast: a key is hot when it has more
-    than a fixed number of rows and more than 1 / BROADCAST_ROWS of them all,
-    so there are fewer than BROADCAST_ROWS.  Their rows are spread by hash
+    than a fixed number of rows and more than 1 / HOT_KEYS of them all, so
+    there are fewer than HOT_KEYS.  Their rows are spread by hash
     through the second join, where they find nothing.
     """
     values = [c for c in stats.columns if c not in (*keys, "_rows")]
     total = stats.agg(F.sum("_rows")).first()[0] or 0
-    hot = stats.where(F.col("_rows") > max(hot_rows or HOT_ROWS, total // BROADCAST_ROWS))
+    hot = stats.where(F.col("_rows") > max(hot_rows or HOT_ROWS, total // HOT_KEYS))
     if hot.isEmpty():
         return rows.join(stats.drop("_rows"), keys, "left")
     hot_side = hot.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_is_hot"))
@@ -94,19 +94,6 @@ def next_value(
     return joined.withColumn(into, F.when(F.col("_found"), follows)).drop("_last_tie", "_next", "_found")
 
 
-def is_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return table.limit(limit + 1).count() <= limit
-
-
-def if_small(table: DataFrame, checked: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast when ``checked`` has at most ``limit`` rows.
-
-    ``checked`` bounds the table's size; it is the table itself unless a
-    cheaper input bounds it.  A bigger table is joined by shuffle.
-    """
-    return F.broadcast(table) if is_small(table if checked is None else checked, limit) else table
-
-
 @dataclass(frozen=True)
 class Children:
     """Rows to become one array per parent: which columns, in which order.
@@ -137,9 +124,6 @@ def _hot_keys(children: list[Children], keys: list[str], max_items: int) -> Data
 
 def _with_parts(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """``_parts`` of the hot keys, joined without gathering a key's rows."""
-    listed = if_small(hot)
-    if listed is not hot:
-        return rows.join(listed, keys, "left")
     salted = rows.withColumn("_salt", F.pmod(_row_hash(rows.columns), F.lit(64)))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))
     copies = hot.withColumn("_salt", F.explode(every))
@@ -194,6 +178,26 @@ def nest(parent: DataFrame, keys: list[str], children: list[Children], max_items
     return rows
 
 
+def numbered_within(rows: DataFrame, group: str, order: str, into: str) -> DataFrame:
+    """Position of each row of its group in ascending order, from 0; ``order`` is unique in a group.
+
+    Rows are ranked inside range partitions, so a large group is ranked by many
+    tasks.  One row per group and partition is left to add up.
+    """
+    ranged = rows.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id())
+    # Written once, so that every later use sees the same partitions.
+    placed = materialise(ranged, "ranged")
+    sizes = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")
+    inside = Window.partitionBy(group, "_part").orderBy(order)
+    return (
+        placed.withColumn("_rank", F.row_number().over(inside))
+        .join(sizes.select(group, "_part", earlier.alias("_before")), [group, "_part"])
+        .withColumn(into, F.col("_before") + F.col("_rank") - 1)
+        .drop("_part", "_rank", "_before")
+    )
+
+
 def top_per_group(counts: DataFrame, keys: list[str], order: list[Column], k: int, into: str = "rank") -> DataFrame:
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return counts.withColumn(into, F.row_number().over(ranked)).where(F.col(into) <= k)

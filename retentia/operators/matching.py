@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.arrays import let
 from retentia.functions.text import WORD
-from retentia.operators.groups import if_small, join_back
+from retentia.operators.groups import join_back
 from retentia.session import materialise
 
 # Pests looked for when the model names none, in match order.
@@ -93,8 +93,8 @@ def best_term(messages: DataFrame, terms: DataFrame, threshold: float = MIN_SIMI
     message norm needs the other grams' counts only, and these are summed in
     the row.  Similarities are compared at nine decimals.
     """
-    # The dictionary bounds its grams; a term has few of them.
-    index = term_index(terms)
+    terms = materialise(terms, "terms")
+    index = materialise(term_index(terms), "index")
     n = terms.agg(F.count(F.lit(1)) + 1).scalar()
     vocabulary = index.select("gram", "idf_present").distinct()
     grams = messages.select("id", ngrams(F.col("text")).alias("grams")).select(
@@ -102,7 +102,7 @@ def best_term(messages: DataFrame, terms: DataFrame, threshold: float = MIN_SIMI
     )
     matched = (
         grams.select("id", "squares", F.explode("grams").alias("gram"))
-        .join(if_small(vocabulary, terms), "gram")
+        .join(vocabulary, "gram")
         .groupBy("id", "squares", "gram", "idf_present").agg(F.count(F.lit(1)).alias("c"))
     )
     c2 = F.col("c") * F.col("c")
@@ -117,7 +117,7 @@ def best_term(messages: DataFrame, terms: DataFrame, threshold: float = MIN_SIMI
         per_message.withColumn("norm2_message", F.col("known2") + unknown * rare * rare)
         .select("id", "squares", "norm2_message", F.explode("found").alias("f"))
         .select("id", "squares", "norm2_message", "f.gram", "f.c")
-        .join(if_small(index, terms), "gram")
+        .join(index, "gram")
     )
     present2 = F.col("idf_present") * F.col("idf_present")
     scored = hits.groupBy("id", "squares", "norm2_message", "ord", "term", "norm2").agg(
@@ -148,7 +148,6 @@ MIN_ENTRY, MIN_VALUE = 2, 4
 
 
 def _best_partial(values: DataFrame, entries: DataFrame) -> DataFrame:
-    entries = if_small(entries)
     lengths = sorted(r[0] for r in entries.select(F.length("entry")).distinct().collect() if r[0])
     hits = None
     usable = [n for n in lengths if n >= MIN_ENTRY]
@@ -181,7 +180,7 @@ def longest_match(rows: DataFrame, column: str, first: DataFrame, second: DataFr
     values, found = counted.select("value"), counted
     steps = [("e1", first), ("e2", second)]
     for name, d in steps:
-        found = found.join(if_small(d).select(F.col("entry").alias("value"), F.col("label").alias(name)), "value", "left")
+        found = found.join(d.select(F.col("entry").alias("value"), F.col("label").alias(name)), "value", "left")
     for name, d in [("p1", first), ("p2", second)]:
         found = found.join(_best_partial(values, d).withColumnRenamed("label", name), "value", "left")
     labels = found.select("value", F.coalesce("e1", "e2", "p1", "p2").alias(into), "_rows")

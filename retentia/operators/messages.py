@@ -110,10 +110,12 @@ def arrange_slots(slots: Column, other: str = OTHER, compact: bool = False) -> C
 def category_slots(answers: DataFrame, taxonomy: DataFrame, other: str = OTHER, compact: bool = False) -> DataFrame:
     """Resolved, ordered and deduplicated categories of every message.
 
-    ``answers``: msg_id, categories.  Every message has exactly five slots.
+    ``answers``: msg_id, categories.  Every message has exactly five slots;
+    only filled ones are looked up.
     """
-    padded = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.get(F.col("categories"), i))
-    slots = answers.select("msg_id", F.posexplode(padded).alias("pos", "c")).select("msg_id", "pos", "c.*")
+    filled = F.slice("categories", 1, SLOTS)
+    slots = answers.select("msg_id", F.posexplode_outer(filled).alias("pos", "c"))
+    slots = slots.select("msg_id", F.coalesce("pos", F.lit(0)).alias("pos"), "c.*")
     resolved = resolve_chain(slots, taxonomy, other).withColumns(
         {
             "main_name": F.coalesce("main.name", "major"),
@@ -122,11 +124,15 @@ def category_slots(answers: DataFrame, taxonomy: DataFrame, other: str = OTHER,
         }
     )
     item = F.struct("pos", "main", "main_name", "sub", "sub_name", "detail", "detail_name", "reason")
-    return (
-        resolved.groupBy("msg_id")
-        .agg(F.collect_list(item).alias("slots"))
-        .withColumn("slots", arrange_slots(F.col("slots"), other, compact))
-    )
+    grouped = resolved.groupBy("msg_id").agg(F.sort_array(F.collect_list(item)).alias("slots"))
+    fields = grouped.schema["slots"].dataType.elementType.fields
+
+    def slot(i: Column) -> Column:
+        unused = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name != "pos"]
+        return F.coalesce(F.get("slots", i), F.struct(i.alias("pos"), *unused))
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot)
+    return grouped.withColumn("slots", every).withColumn("slots", arrange_slots(F.col("slots"), other, compact))
 
 
 def wide_slots(slots: DataFrame) -> DataFrame:

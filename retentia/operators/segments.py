@@ -8,7 +8,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.numbers import (
@@ -20,7 +20,7 @@ from retentia.functions.numbers import (
     distance,
     lenient_double,
 )
-from retentia.operators.groups import one_row
+from retentia.operators.groups import numbered_within, one_row
 
 CLASS_COLUMNS = ["class_major", "class_mid", "class_minor", "class_detail"]
 LABEL_COLUMNS = [*CLASS_COLUMNS, "sido", "sigungu", "biz_type"]
@@ -29,25 +29,15 @@ UNKNOWN = "Unknown"
 UNSEEN_CODE = 0
 
 
-def label_codes(rows: DataFrame, columns: list[str], prefix: int = 2) -> DataFrame:
+def label_codes(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Code of every distinct label of the columns: column, label, code.
 
-    A code is the label's position in sorted order, from 0: the number of
-    labels with a smaller prefix plus the rank inside its own prefix, so that
-    no task ranks all labels of a column.
+    A code is the label's position in sorted order, from 0.  Labels are ranked
+    by range partitions, so no task ranks all labels of a column.
     """
     named = [F.struct(F.lit(c).alias("column"), F.coalesce(c, F.lit(UNKNOWN)).alias("label")) for c in columns]
     labels = rows.select(F.explode(F.array(*named)).alias("x")).select("x.*").distinct()
-    labels = labels.withColumn("_head", F.encode(F.substring("label", 1, prefix), "utf-8"))
-    sizes = labels.groupBy("column", "_head").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per distinct prefix is left to add up.
-    earlier = F.sum("_n").over(Window.partitionBy("column").orderBy("_head")) - F.col("_n")
-    inside = Window.partitionBy("column", "_head").orderBy(F.encode("label", "utf-8"))
-    return (
-        labels.withColumn("_rank", F.row_number().over(inside))
-        .join(sizes.select("column", "_head", earlier.alias("_before")), ["column", "_head"])
-        .select("column", "label", (F.col("_before") + F.col("_rank") - 1).cast("int").alias("code"))
-    )
+    return numbered_within(labels, "column", "label", "code").select("column", "label", F.col("code").cast("int"))
 
 
 def encode_labels(rows: DataFrame, codes: DataFrame, columns: list[str], unseen: int = UNSEEN_CODE) -> DataFrame:

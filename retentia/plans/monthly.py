@@ -123,5 +123,5 @@ def train(feature_rows: DataFrame, min_work: int = 5, rule: dict[str, int] | Non
 def store(predictions: DataFrame, properties: DataFrame, folder: str) -> None:
     """Writes both outputs of the scoring; they must cover the same customers."""
     keys.require_same_keys(predictions, properties)
-    sinks.write_months(predictions, f"{folder}/churn_prediction", key="ccod", mode="overwrite")
-    sinks.write_months(properties, f"{folder}/monthly_property", key="ccod", mode="overwrite")
+    sinks.write_months(predictions, f"{folder}/churn_prediction", mode="overwrite")
+    sinks.write_months(properties, f"{folder}/monthly_property", mode="overwrite")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -32,6 +33,11 @@ RUNTIME_CONF = {
 }
 
 
+# Stored input per shuffle partition.  Columns are pruned and packed, so what is
+# shuffled of it is a fraction; small partitions are merged at run time.
+INPUT_PER_PARTITION = 1 << 30
+
+
 def build(app: str = "retentia", master: str | None = None, cores: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -52,6 +58,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, folder: str) -> None:
+    """Lets shuffles start with enough partitions for what is stored below ``folder``.
+
+    Adaptive execution merges partitions but doesn't add any.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    stored = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(least, math.ceil(stored / INPUT_PER_PARTITION))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="retentia-")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONTH = "snapshot_month"
-FILES_PER_PARTITION = 64
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -21,16 +20,14 @@ def reload(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
-def write_months(rows: DataFrame, path: str, column: str = MONTH, mode: str = "append", key: str | None = None) -> None:
+def write_months(rows: DataFrame, path: str, column: str = MONTH, mode: str = "append") -> None:
     """Writes into month partitions, creating the ones that are new.
 
     ``overwrite`` replaces the months present in ``rows`` and leaves the
-    others.  With ``key``, rows are spread over tasks by month and key hash, so
-    a month's files are balanced even when all rows share one month.
+    others.  A month is written by as many tasks as its size asks for, also when
+    all rows share one month.
     """
-    if key is not None:
-        rows = rows.repartition(F.col(column), F.pmod(F.xxhash64(key), F.lit(FILES_PER_PARTITION)))
-    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    rows.hint("rebalance", F.col(column)).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
@@ -93,8 +90,7 @@ def upsert(
             rows = merged(current, updates, keys, now)
         else:
             rows = updates.withColumn("created_at", now).withColumn("updated_at", now)
-        # Few files per partition, also when all rows share one.
-        spread = F.pmod(F.xxhash64(*keys), F.lit(FILES_PER_PARTITION))
-        reload(rows.repartition(F.col(partition), spread), staging)
+        # As many files per partition as its size asks for, also when all rows share one.
+        reload(rows.hint("rebalance", F.col(partition)), staging)
     staged = spark.read.parquet(staging)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -20,10 +20,10 @@ from retentia.streaming.ingest import event_time, keep_batch, run_available
 Prepare = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def hourly_counts(rows: DataFrame, time: str, category: str, lateness: str = "2 hours") -> DataFrame:
-    """Messages per hour and category; hours close after the lateness bound."""
+def hourly_counts(rows: DataFrame, time: str, category: str) -> DataFrame:
+    """Messages per hour and category."""
     return (
-        event_time(rows, time, lateness)
+        rows.withColumn(time, F.col(time).cast("timestamp"))
         .groupBy(F.window(time, "1 hour"), F.col(category).alias("category"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("hour"), "category", "n")
@@ -31,13 +31,16 @@ def hourly_counts(rows: DataFrame, time: str, category: str, lateness: str = "2
 
 
 def store_hourly_counts(rows: DataFrame, time: str, category: str, path: str, checkpoint: str) -> None:
-    """Keeps every update of an hour; the latest one counts."""
-    run_available(hourly_counts(rows, time, category), checkpoint, keep_batch(path), "update")
+    """Keeps the counts of every batch; they add up, however late a row comes."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        keep_batch(path)(hourly_counts(batch, time, category), batch_id)
 
+    run_available(rows, checkpoint, handle)
 
-def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    updates = spark.read.parquet(path)
-    return updates.groupBy("hour", "category").agg(F.max_by("n", "batch_id").alias("n"))
+
+def total_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("hour", "category").agg(F.sum("n").alias("n"))
 
 
 def maintain_recontacts(
@@ -97,7 +100,10 @@ def collect_confidence(
 
 
 def windowed_confidence(rows: DataFrame, time: str, value: str, lateness: str = "2 hours") -> DataFrame:
-    """Confidence histogram per day as a pure streaming aggregate."""
+    """Confidence histogram per day as a pure streaming aggregate.
+
+    Rows later than ``lateness`` don't count; ``collect_confidence`` counts all.
+    """
     return (
         event_time(rows, time, lateness)
         .withColumn("bin", histogram_bin(F.col(value), health.BINS))

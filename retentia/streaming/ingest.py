@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LATENESS = "2 hours"
-
 
 def read_files(
     spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = None
@@ -21,16 +19,11 @@ def read_files(
     return reader.parquet(folder)
 
 
-def event_time(rows: DataFrame, column: str, lateness: str = LATENESS) -> DataFrame:
-    """The time column as a timestamp with a lateness bound."""
+def event_time(rows: DataFrame, column: str, lateness: str) -> DataFrame:
+    """The time column as a timestamp with a lateness bound, beyond which stateful operators drop rows."""
     return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
 
 
-def without_repeats(rows: DataFrame, key: str = "rcno") -> DataFrame:
-    """First arrival of every receipt within the lateness bound."""
-    return rows.dropDuplicatesWithinWatermark([key])
-
-
 def run_available(
     rows: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> None:
@@ -52,3 +45,27 @@ def keep_batch(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
 
     return store
+
+
+def store_first_arrivals(rows: DataFrame, path: str, checkpoint: str, key: str = "rcno") -> None:
+    """Stores the first arrival of every key, however late a repeat comes.
+
+    The stored table itself is the memory: a batch keeps what no earlier batch
+    has.  Of rows that share a key within a batch any one stays.
+    """
+    spark = rows.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates([key])
+        # A repeated batch must not meet its own first attempt.
+        known = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(path).where(F.col("batch_id") < batch_id)
+        earlier = known.select(F.col(key).alias("_key"))
+        keep_batch(path)(new.join(earlier, F.col(key).eqNullSafe(F.col("_key")), "left_anti"), batch_id)
+
+    make_folder(spark, path)
+    run_available(rows, checkpoint, handle)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)

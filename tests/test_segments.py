@@ -60,7 +60,7 @@ def test_nearest_skips_far_cells(spark):
 def test_codes_follow_sorted_order_and_unseen(spark):
     labels = ["b", "a", "c", "aa", "ab", "가", "나", None, "Zebra", "zebra", "a"]
     df = spark.createDataFrame([(x,) for x in labels], "x string")
-    codes = segments.label_codes(df, ["x"], prefix=1)
+    codes = segments.label_codes(df, ["x"])
     got = {r["label"]: r["code"] for r in codes.collect()}
     expected = sorted({x or "Unknown" for x in labels}, key=lambda s: s.encode())
     assert got == {label: i for i, label in enumerate(expected)}

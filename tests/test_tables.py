@@ -3,12 +3,13 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retentia import session
 from retentia.catalog import voc
-from retentia.operators import groups, keys, quality, recontact
-from retentia.operators.groups import Children, if_small, nest, pack, top_per_group, with_group_stats
+from retentia.operators import keys, quality, recontact
+from retentia.operators.groups import Children, nest, pack, top_per_group, with_group_stats
 from retentia.schemas import require_columns
 from retentia.sources import adapters as A
 from retentia.sources import jdbc, readers, sinks
@@ -42,12 +43,6 @@ def test_weight_decides_the_number_of_parts(spark):
     assert pack(Children(child, "m", ["v"], ["v"], F.col("w")), ["k"], 500).count() > 1
 
 
-def test_broadcast_depends_on_the_checked_size(spark):
-    small, big = spark.range(10), spark.range(50)
-    assert "ResolvedHint" in if_small(small, limit=20)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in if_small(big, limit=20)._jdf.queryExecution().analyzed().toString()
-
-
 def test_rank_filter_is_cut_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     top = top_per_group(df, ["k"], [F.desc("v")], 3)
@@ -55,8 +50,7 @@ def test_rank_filter_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
 
 
-def test_hot_parents_beyond_the_broadcast_limit(spark, monkeypatch):
-    monkeypatch.setattr(groups, "is_small", lambda table, limit=0: False)
+def test_hot_parents_are_salted(spark):
     child = spark.range(200).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     rows = pack(Children(child, "m", ["v"], ["v"]), ["k"], 10).collect()
     assert len(rows) > 10 and sorted(x["v"] for r in rows for x in r["m"]) == list(range(200))
@@ -89,7 +83,7 @@ def test_upsert_keeps_created_and_survives_a_repeat(spark, tmp_path):
 def test_month_partitions_are_pruned(spark, tmp_path):
     path = str(tmp_path / "m")
     for m in (1, 2):
-        sinks.write_months(spark.range(3).withColumn("snapshot_month", F.lit(date(2024, m, 1))), path, key="id")
+        sinks.write_months(spark.range(3).withColumn("snapshot_month", F.lit(date(2024, m, 1))), path)
     one = readers.month_partition(spark, path, date(2024, 2, 17))
     assert one.count() == 3 and "PartitionFilters: [isnotnull(snapshot_month" in one._jdf.queryExecution().toString()
 
@@ -206,6 +200,22 @@ def test_stream_confidence_equals_batch(spark, event_files, tmp_path):
     assert streamed == pytest.approx(batch, abs=1e-12)
 
 
+def test_late_files_and_late_repeats_count(spark, sf_dir, tmp_path):
+    events = A.load(spark, sf_dir, "events").withColumn("_p", F.ntile(4).over(Window.orderBy(F.desc("ts"))))
+    folder = str(tmp_path / "events")
+    for n in range(1, 5):  # newest first, one file per batch
+        events.where(F.col("_p") == n).drop("_p").coalesce(1).write.mode("append").parquet(folder)
+    rows = ingest.read_files(spark, folder, events.drop("_p").schema, files_per_batch=1)
+    activity.store_hourly_counts(rows, "ts", "event_type", str(tmp_path / "h"), str(tmp_path / "hc"))
+    got = activity.total_counts(spark, str(tmp_path / "h"))
+    expected = activity.hourly_counts(events.drop("_p"), "ts", "event_type")
+    assert got.count() == expected.count() and got.exceptAll(expected).count() == 0
+
+    ingest.store_first_arrivals(A.messages_of(rows), str(tmp_path / "r"), str(tmp_path / "rc"))
+    kept = spark.read.parquet(str(tmp_path / "r"))
+    assert kept.count() == A.messages_of(events).select("rcno").distinct().count()
+
+
 def test_windowed_confidence_counts_all(spark, event_files, tmp_path):
     folder, events = event_files
     rows = ingest.read_files(spark, folder, events.schema).withColumn("v", (F.col("value") % 100) / 100)
