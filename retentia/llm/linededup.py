@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     spans = later.unionByName(inside).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_starts"))
     spans = materialise(spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_starts"), "spans")
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    joined = docs.join(spans, same, "left")
+    # Texts move once at every size, whether or not the spans would fit a broadcast.
+    joined = docs.join(spans.hint("merge"), same, "left")
 
     def clean(lines: Column) -> Column:
         covered = F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + size - 1)))
