@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from retentia.llm import (
     components, context_mixing, decontam, langid, licenses, linededup, mixing, packing, quality_rules, queries,
-    rule_ensemble, simhash,
+    rule_ensemble, simhash, similar,
 )
 from retentia.session import scratch_dir
 
@@ -446,6 +446,53 @@ def test_pipeline_stages(spark, sf_dir, docs, none, table):
     assert sorted(clean) == sorted(i for i, (x,) in bad.items() if not x)
 
 
+def plain_shingles(text):
+    words = (text or "").encode().translate(LOWER).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_alike(sets):
+    """Smallest id of each group that pairs of Jaccard similarity 0.8 or more connect."""
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in sets}
+
+
+def test_pipeline_drops_all_similar_texts(spark, sf_dir, table, texts):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = sorted(r["doc_id"] for r in stage(spark, table, sf_dir).collect())
+    assert kept == sorted(set(plain_alike({i: plain_shingles(t) for i, t in texts.items()}).values()))
+
+
+def test_similar_families(spark):
+    # Edits leave pairs on both sides of 0.8; small cells make the large family a grid.
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = {}
+    for i in range(80):
+        words = list(base) if i < 50 else [f"v{i}x{k}" for k in range(int(rng.integers(1, 30)))]
+        for at in rng.choice(len(words), min(len(words) - 1, int(rng.integers(0, 6))), replace=False):
+            words[at] = f"e{i}x{at}"
+        rows[i] = " ".join(words)
+    wanted = plain_alike({i: plain_shingles(t) for i, t in rows.items()})
+    whole = spark.createDataFrame(list(rows.items()), "key long, _text string").withColumn("root", F.lit(0).cast("long"))
+    for bounds in ({}, {"cell": 10}, {"cell_bytes": 4000}):
+        top = {r["node"]: r["root"] for r in components.components(similar.links(whole, **bounds)).collect()}
+        assert {i: top.get(i, i) for i in rows} == wanted
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    best = similar.groups(docs, F.col("doc_id")).groupBy("root").agg(F.min("best.id").alias("i")).collect()
+    assert sorted(r["i"] for r in best) == sorted(set(wanted.values()))
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir).orderBy("start").collect()
     assert found and found[0]["start"] == 0
