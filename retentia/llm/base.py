@@ -129,3 +129,28 @@ def numbered(rows: DataFrame, order: list[str], into: str) -> DataFrame:
     within = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     ranked = placed.join(offsets, "_part").withColumn(into, F.row_number().over(within) - 1 + F.col("_start"))
     return ranked.drop("_part", "_start")
+
+
+# A key that holds more than this share of all rows is broadcast; there are fewer than one over it.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, stats: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` with the other columns of ``stats``, which has at most one row per key; null keys are equal.
+
+    ``stats`` is a written table in which ``count`` is the number of the key's
+    rows, null or more.  Rows of keys that hold over a thousandth of all rows, of
+    which there are fewer than a thousand, meet a broadcast of those; the
+    others are joined by key.  Rows are read twice and should be written too.
+    """
+    values = [c for c in stats.columns if c not in (*keys, count)]
+    total = stats.agg(F.sum(count)).first()[0] or 0
+    named = stats.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *values, count)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    is_hot = F.coalesce(F.col(count) > total * HOT_SHARE, F.lit(False))
+    hot = F.broadcast(named.where(is_hot))  # fewer than 1 / HOT_SHARE rows
+    spread = rows.join(hot, same).select(*rows.columns, *values)
+    rest = rows.join(hot, same, "left_anti").join(named.where(~is_hot), same, "left").select(*rows.columns, *values)
+    return spread.unionByName(rest)

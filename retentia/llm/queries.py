@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import context_mixing, decontam, langid, licenses, linededup, mixing, packing, quality_rules, rule_ensemble, simhash
+from retentia.llm import (
+    context_mixing, conversation_trie, decontam, langid, licenses, linededup, mixing, packing, quality_rules, rule_ensemble, simhash, vector_codes,
+)
 from retentia.llm.base import ASCII_LOWER, ASCII_UPPER, ORACLES, QUERIES, Query, id_remainder, query, table
 from retentia.session import scratch_dir
 
@@ -139,6 +141,83 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _vector_codes_sql() -> str:
+    """Squared distances of all parts to all entries, in each round and at the end."""
+    near = """
+a{n} AS MATERIALIZED (
+  SELECT r, pos, any_value(part) AS part, min(d) % 64 AS e, min(d) // 64 AS far
+  FROM (SELECT r, p.pos, p.part, 64 * list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.part, c.part)]) + e AS d
+        FROM p JOIN c{n} AS c ON p.pos = c.pos)
+  GROUP BY r, pos)"""
+    moved = """
+c{n} AS MATERIALIZED (
+  SELECT c.pos, c.e, coalesce(m.part, c.part) AS part FROM c{b} AS c LEFT JOIN (
+    SELECT pos, e, list(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) ORDER BY j) AS part
+    FROM (SELECT pos, e, j, sum(part[j]) AS total, count(*) AS n
+          FROM (SELECT pos, e, part, unnest(range(1, len(part) + 1)) AS j FROM a{b}) GROUP BY pos, e, j)
+    GROUP BY pos, e) AS m ON c.pos = m.pos AND c.e = m.e)"""
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r, vec_id, label, v
+  FROM (SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+        WHERE len(embedding) > 0 AND len(embedding) % 16 = 0
+          AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding))),
+w AS (SELECT len(v) // 16 AS w FROM k WHERE r = 0),
+p AS MATERIALIZED (
+  SELECT r, pos, v[pos * w + 1 : pos * w + w] AS part
+  FROM (SELECT r, v, w, unnest(range(16)) AS pos FROM k, w WHERE len(v) = 16 * w)),
+s AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS e FROM (SELECT DISTINCT r FROM p)),
+c0 AS MATERIALIZED (SELECT pos, e, part FROM p JOIN s USING (r) WHERE e < 64),{near.format(n=0)},{moved.format(n=1, b=0)},{near.format(n=1)},{moved.format(n=2, b=1)},{near.format(n=2)},
+o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN o USING (r), h
+"""
+
+
+@query(_vector_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: 16 parts, 64 entries each, two rounds."""
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.drop("label")
+
+
+# CRC-32 of the decimal digits of an id, a bit at a time.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST({id} AS VARCHAR), '')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list(t ORDER BY turn NULLS FIRST, md5(CAST(length(t.role) AS VARCHAR) || ':' || t.role || t.text)) AS l FROM t GROUP BY c),
+cut AS (SELECT c, l, CASE WHEN c % 5 = 0 THEN 0 ELSE {CRC_SQL.format(id='c')} % 9 END AS h FROM own),
+conv AS MATERIALIZED (
+  SELECT cut.c, list_concat(coalesce(b.l, [])[1 : h], cut.l[h + 1 :]) AS l FROM cut LEFT JOIN own AS b ON b.c = cut.c - cut.c % 5),
+member AS MATERIALIZED (SELECT c, l, l[1 : d] AS p, d FROM (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM conv)),
+node AS MATERIALIZED (
+  SELECT p, d, min(c) AS least, count(*) AS n, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE octet_length(encode(p[d].text)) END AS saved,
+         string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(l) = d) AS ends
+  FROM member GROUP BY p, d),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+every AS MATERIALIZED (
+  SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON node.p = kids.p AND node.d = len(kids.p)),
+sub AS (
+  SELECT p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT p[1 : u] AS p, leaf, saved FROM (
+    SELECT p, (n_children = 0)::INT AS leaf, saved, unnest(range(d + 1)) AS u FROM every)) GROUP BY p)
+SELECT e.least AS conv_id, CAST(e.d AS BIGINT) AS depth, f.least AS parent_conv_id, CAST(e.n AS BIGINT) AS n_convs,
+       CAST(e.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM every AS e JOIN sub ON e.p = sub.p LEFT JOIN every AS f ON e.d > 0 AND f.d = e.d - 1 AND f.p = e.p[1 : e.d - 1]
+"""
+
+
+@query(TRIE_SQL)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return conversation_trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
