@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.llm import (
-    context_mixing, conversation_trie, decontam, langid, licenses, linededup, mixing, packing, quality_rules, rule_ensemble, simhash, vector_codes,
+    context_mixing, conversation_trie, decontam, langid, licenses, linededup, mixing, packing, quality_rules, rule_ensemble, secrets, simhash,
+    vector_codes,
 )
 from retentia.llm.base import ASCII_LOWER, ASCII_UPPER, ORACLES, QUERIES, Query, id_remainder, query, table
 from retentia.session import scratch_dir
@@ -140,6 +141,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
+@query()
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: counts, and digests of the spans; ``n_novel`` counts those the compressor finds."""
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
 
 def _vector_codes_sql() -> str:
     """Squared distances of all parts to all entries, in each round and at the end."""
