@@ -18,6 +18,7 @@ small Parquet table beside them.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -29,9 +30,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm.base import pieces
+from retentia.llm.base import ASCII_LOWER, ASCII_UPPER, pieces
 
 MAGIC = b"TOKBITS1"
+_LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 BLOCK = 1 << 16
 CACHE = 800_000
 _FOOTER = 6 * 8 + len(MAGIC)
@@ -173,6 +175,15 @@ def word_encoder(path: str, end: int | None = None) -> Encoder:
     return make
 
 
+def _mark(tokenizer) -> tuple[str, int]:
+    """A rare character that is one token by itself, and its id."""
+    for mark in "\u00b6\u00a7\u00a4\u00ac#":
+        ids = tokenizer.encode(mark, add_special_tokens=False).ids
+        if len(ids) == 1:
+            return mark, ids[0]
+    return " ", -1  # none: pieces are told apart by their offsets
+
+
 _MADE: dict[tuple[str, int | None], Callable[[list[bytes]], list[np.ndarray]]] = {}
 
 
@@ -185,34 +196,48 @@ def _word_encoder(path: str, end: int | None) -> Callable[[list[bytes]], list[np
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    lowers = "Lowercase" in json.dumps(json.loads(tokenizer.to_str())["normalizer"])
     seen: dict[bytes, bytes] = {}
     tail = np.array([] if end is None else [end], "<u4").tobytes()
 
+    mark, mark_id = _mark(tokenizer)
+
     def learn(new: list[bytes]) -> None:
-        """Encodes pieces as one text; a token belongs to the piece in which it begins."""
+        """Encodes pieces as one text, with a mark between them whose id tells where each ends."""
         texts = [w.decode("utf-8", "replace") for w in new]
-        got = tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-        ids = np.array(got.ids, "<u4").tobytes()
-        cuts = (4 * np.searchsorted(starts, begins)).tolist()
-        for k, word in enumerate(new):
-            seen[word] = ids[cuts[k] : cuts[k + 1]]
+        ids = np.array(tokenizer.encode_batch_fast([f" {mark} ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == mark_id)
+        if len(ends) != len(new) - 1:
+            # A piece has the mark in it: a token belongs to the piece in which it begins.
+            got = tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+            ids, begins, ends = np.array(got.ids, "<u4"), cuts[:-1], cuts[1:]
+        else:
+            begins, ends = np.concatenate([[0], ends + 1]), np.append(ends, len(ids))
+        raw = ids.tobytes()
+        seen.update(zip(new, map(raw.__getitem__, map(slice, (4 * begins).tolist(), (4 * ends).tolist())), strict=True))
 
     def encode(texts: list[bytes]) -> list[np.ndarray]:
-        whole = [any(s in t for s in special) for t in texts]
-        split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
+        # Where the tokenizer lowers all letters, pieces that differ in A-Z alone are one.
+        folded = [t.translate(_LOWER) for t in texts] if lowers else texts
+        whole = [any(s in t or s in f for s in special) for t, f in zip(texts, folded, strict=True)]
+        split = [[] if w else f.split() for f, w in zip(folded, whole, strict=True)]
         if len(seen) >= CACHE:
             seen.clear()
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in seen]
-        for at in range(0, len(new), 4096):
-            learn(new[at : at + 4096])
         out = []
-        for text, alone, words in zip(texts, whole, split, strict=True):
+        for at, (text, alone, words) in enumerate(zip(texts, whole, split, strict=True)):
             if alone:
                 ids = np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                ids = b"".join([seen[w] for w in words])
+                try:
+                    ids = b"".join(map(seen.__getitem__, words))
+                except KeyError:
+                    # The unseen words of this and all later texts are encoded together.
+                    new = list(set().union(*split[at:]).difference(seen))
+                    for k in range(0, len(new), 4096):
+                        learn(new[k : k + 4096])
+                    ids = b"".join(map(seen.__getitem__, words))
             out.append(np.frombuffer(ids + tail, "<u4"))
         return out
 
