@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.llm.base import pieces
+from retentia.session import materialise
 
 KINDS = ("assign", "access", "hex", "novel")
 # Bound of the dictionary: the commonest identifiers, and bytes of them.
@@ -52,27 +53,37 @@ _CASES = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
 
 
 def identifiers(docs: DataFrame, text: str = "text", most: int = IDENTIFIERS) -> DataFrame:
-    """The ``most`` commonest runs of 3 to 32 letters and underscores, ``word`` and ``n``; ties by code point.
+    """The commonest runs of 3 to 32 letters and underscores, ``word`` and ``n``: at most ``most``.
 
-    All texts are counted, first per task, then by word.
+    A run with digits or key-like signs is none, nor are its parts: pieces of a
+    secret that is copied about must not make it look known.
+    All texts are counted, first per task, then by word.  Words of equal count
+    are in or out together: how many words have each count is counted first.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
 
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        def frames() -> Iterator[pd.DataFrame]:
+            found = [(w, n) for w, n in counts.items() if _IDENTIFIER.fullmatch(w)]
+            counts.clear()
+            if found:
+                yield pd.DataFrame(found, columns=["word", "n"])
 
         for batch in batches:
             for value in batch["text"]:
-                counts.update(_IDENTIFIER.findall(value or ""))
+                counts.update(_RUN.findall(value or ""))
                 if len(counts) > HELD:
-                    yield frame()
-                    counts.clear()
-        yield frame()
+                    yield from frames()
+        yield from frames()
 
     counted = docs.select(F.col(text).alias("text")).mapInPandas(run, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
+    counts = materialise(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Different counts are few: their sum is at most the number of all words.
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = sizes.withColumn("upto", F.sum("words").over(Window.orderBy(F.col("n").desc())))
+    cut = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return counts.where(F.col("n") >= cut) if cut else counts.limit(0)
 
 
 def dictionary(words: DataFrame, size: int = DICTIONARY) -> bytes:

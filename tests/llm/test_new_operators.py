@@ -82,7 +82,7 @@ def test_novel_strings_are_reported_and_known_ones_not(spark):
         by_id[doc].append(spans)
     assert by_id[1] == [[("novel", 12, 44)]]
     assert by_id[2] == by_id[3] == by_id[4] == by_id[5] == by_id[7] == by_id[8] == by_id[10] == [[]]
-    assert by_id[6] == [[("assign", 0, 42)]]
+    assert by_id[6] == [[("assign", 0, 41)]]
     assert by_id[None] == [[("novel", 14, 46)]] * 2
     assert by_id[9] == [[("novel", 1_000_011, 1_000_043)]]
 
@@ -92,8 +92,9 @@ def test_secrets_of_no_documents(spark):
 
 
 def test_identifiers_are_the_commonest(spark):
-    docs = spark.createDataFrame([("b_b b_b aaa",), ("aaa ccc c1",), (None,)], "text string")
-    assert [tuple(r) for r in secrets.identifiers(docs, most=2).collect()] == [("aaa", 2), ("b_b", 2)]
+    docs = spark.createDataFrame([("b_b b_b aaa",), ("aaa ccc abc1def ddd-1",), (None,)], "text string")
+    assert {tuple(r) for r in secrets.identifiers(docs, most=2).collect()} == {("aaa", 2), ("b_b", 2)}
+    assert secrets.identifiers(docs, most=1).count() == 0  # ties stay together
     assert secrets.dictionary(secrets.identifiers(docs)) == b"ccc\nb_b\naaa"
 
 
@@ -235,8 +236,8 @@ def talks():
             rows.append((conv, turn, chance.choice(["user", "user", "assistant", None]), chance.choice(["a", "bé", "", None])))
     rows += [(500 + i, t, "user", f"same {t}") for i in range(0, 60) for t in range(4)]  # copies
     rows += [(700, None, "user", "first"), (700, 0, None, "second"), (700, 0, "user", "tie"), (700, 0, "user", "tie")]
-    rows += [(None, 0, "user", "no conversation"), (803, 0, "user", "alone"), (900, t, "user", "x") if False else (900, 1, "ab", "c"), (905, 1, "a", "bc")]
-    rows += [(1000, t, "user", f"long {t % 7}") for t in range(300)] + [(1001, t, "user", f"long {t % 7}") for t in range(250)]
+    rows += [(None, 0, "user", "no conversation"), (803, 0, "user", "alone"), (900, 1, "ab", "c"), (905, 1, "a", "bc")]
+    rows += [(1000, t, "user", f"long {t % 7}") for t in range(45)] + [(1001, t, "user", f"long {t % 7}") for t in range(37)]
     return rows
 
 
@@ -245,7 +246,7 @@ def talk_frame(spark, talks):
     return spark.createDataFrame([(*r, 1, "z") for r in talks], TURNS).repartition(7)
 
 
-@pytest.mark.parametrize("block", [4096, 3, 8])
+@pytest.mark.parametrize("block", [4096, 9])
 def test_trie_of_awkward_conversations(talk_frame, talks, block):
     assert spark_trie(talk_frame, block=block) == plain_trie(talks)
 
@@ -255,7 +256,7 @@ def test_trie_over_many_partitions_and_short_runs(spark, talk_frame, talks, monk
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        assert spark_trie(talk_frame, block=5) == plain_trie(talks)
+        assert spark_trie(talk_frame, block=15) == plain_trie(talks)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", found)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
