@@ -35,6 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under numbered column names, which no operator uses itself, and the new name of each column.
+
+    An operator that passes columns through works on these, so that theirs
+    can be of any name.  ``returned`` goes back.
+    """
+    names = {c: f"column_{i}" for i, c in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), names
+
+
+def returned(names: dict[str, str], without: list[str] = (), made: list[str] = ()) -> list[Column]:
+    """Columns under their first names but for those left out, then what was made.
+
+    A column of the same name as one that was made gives way to it.
+    """
+    kept = [F.col(new).alias(old) for old, new in names.items() if old not in without and old not in made]
+    return [*kept, *[F.col(c) for c in made]]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

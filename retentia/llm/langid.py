@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.llm.base import pieces
+from retentia.llm.base import pieces, renamed, returned
 
 UNKNOWN = "und"
 # Bounds of the model: documents fitted per language, entries kept per language
@@ -137,9 +137,10 @@ def predict(rows: DataFrame, model: pd.DataFrame, text: str = "text", prefix: st
     A null text and a text without a letter get ``und`` and score 0, as does
     every text if the model has no language.  Equal scores: the first language
     by code point.  The whole text counts; batches are worked through a few
-    rows at a time.
+    rows at a time.  Other columns stay, but for those of the new names.
     """
-    kept = [c for c in rows.columns if c != text]
+    rows, names = renamed(rows)
+    kept = [c for old, c in names.items() if old != text]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     shared = rows.sparkSession.sparkContext.broadcast(Model(model))
 
@@ -151,8 +152,9 @@ def predict(rows: DataFrame, model: pd.DataFrame, text: str = "text", prefix: st
                 columns = {f"{prefix}_pred": [x[0] for x in found], "score": [x[1] for x in found]}
                 yield part[kept].assign(**columns)
 
-    picked = rows.select(*kept, F.col(text).alias("_text"))
-    return picked.mapInPandas(run, f"{schema + ', ' if schema else ''}{prefix}_pred string, score double")
+    picked = rows.select(*kept, F.col(names[text]).alias("_text"))
+    found = picked.mapInPandas(run, f"{schema + ', ' if schema else ''}{prefix}_pred string, score double")
+    return found.select(*returned(names, [text], [f"{prefix}_pred", "score"]))
 
 
 def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang", key: str = "text", **bounds: int) -> DataFrame:

@@ -22,7 +22,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentia.llm.base import ascii_lower, let
+from retentia.llm.base import ascii_lower, let, renamed, returned
 from retentia.session import materialise
 
 THRESHOLD = 0.7
@@ -156,8 +156,11 @@ def inherit(files: DataFrame, found: DataFrame, path: str = "path") -> DataFrame
     it that has a licence file; ``origin`` is that folder, or the file's path.
     Of several licence files in a folder the best score counts, ties by name.
     Folders are joined once each, however many files they hold; a path's
-    folders are as many as its slashes.  A null path gets nothing.
+    folders are as many as its slashes.  A null path gets nothing.  Other
+    columns stay, but for those of the new names.
     """
+    files, names = renamed(files)
+    path = names[path]
     found = materialise(found, "found")
     held = found.where(F.col("path").rlike(LICENSE_FILE)).withColumn("dir", folder(F.col("path")))
     best = Window.partitionBy("dir").orderBy(F.col("score").desc(), "license")
@@ -175,7 +178,8 @@ def inherit(files: DataFrame, found: DataFrame, path: str = "path") -> DataFrame
     rows = rows.join(own, F.col(path) == F.col("_path"), "left").join(
         nearest.withColumnRenamed("dir", "_above"), F.col("_dir") == F.col("_above"), "left"
     )
-    return rows.select(
+    made = rows.select(
         *files.columns, "own_license", "own_score", F.coalesce("own_license", "given").alias("license"),
         F.when(F.col("own_license").isNotNull(), F.col(path)).otherwise(F.col("from")).alias("origin"),
     )
+    return made.select(*returned(names, made=["own_license", "own_score", "license", "origin"]))

@@ -1,7 +1,7 @@
 """Line deduplication by overlapping windows of three lines.
 
 The lines of a text, without white space at their ends, are hashed in
-overlapping windows of three.  A window that occurs more than once in the
+overlapping windows of three; a shorter text is one window.  A window that occurs more than once in the
 corpus keeps its first occurrence; the lines that later ones cover go.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.base import SPACE, let
+from retentia.llm.base import SPACE, let, renamed, returned
 from retentia.session import materialise
 
 WINDOW = 3
@@ -26,8 +26,8 @@ def _marked(lines: Column, size: int) -> Column:
     def window(i: Column) -> Column:
         part = [F.get(lines, i + k) for k in range(size)]
         word = F.lit(False)
-        for line in part:
-            word = word | (line != "")
+        for line in part:  # a text of fewer lines has nulls for those it lacks
+            word = word | F.coalesce(line != "", F.lit(False))
         return F.struct(F.xxhash64(*part).alias("h"), F.xxhash64(F.lit(1), *part).alias("g"), i.alias("pos"), word.alias("word"))
 
     def again(rows: Column) -> Column:
@@ -38,10 +38,9 @@ def _marked(lines: Column, size: int) -> Column:
 
         return F.transform(rows, mark)
 
-    last = F.size(lines) - size
+    last = F.greatest(F.size(lines) - size, F.lit(0))
     made = F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda x: x["word"])
-    none = F.array().cast("array<struct<h:bigint,g:bigint,pos:int,again:boolean>>")
-    return F.when(last < 0, none).otherwise(let(F.array_sort(made), again))
+    return let(F.array_sort(made), again)
 
 
 def windows(docs: DataFrame, doc_id: str, text: str, size: int = WINDOW) -> DataFrame:
@@ -58,8 +57,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     Occurrences are ordered by document id, null last, then position.  All
     lines that any later occurrence covers are removed, overlapping covers
     merged; every removed line has an equal line before it that stays.  Windows
-    of blank lines don't count, and a text with fewer than ``size`` lines has no
-    window.  Rows that share an id count as one document: a window keeps all its
+    of blank lines don't count, and a text with fewer than ``size`` lines is one
+    window, which equals none of a longer text.  Rows that share an id count as one document: a window keeps all its
     first occurrences in them.  A null text stays null with no lines; an empty
     text is one line.  Other columns stay as they are.
 
@@ -67,6 +66,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     windows of two or more documents are joined back, from a written table, so
     that the skew rule can split a window that very many documents have.
     """
+    docs, names = renamed(docs)
+    doc_id, text_name, text = names[doc_id], text, names[text]
     found = windows(docs, doc_id, text, size)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     seen = found.where("NOT again").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
@@ -88,9 +89,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     cleaned = F.when(F.col("_starts").isNotNull() & F.col(text).isNotNull(), let(F.split(text, "\n"), clean))
     others = [c for c in docs.columns if c != text]
     rows = joined.select(*others, F.col(text).alias("_text"), cleaned.alias("_clean"))
-    return rows.select(
+    made = rows.select(
         *others,
         F.coalesce("_clean.text", "_text").alias(text),
         F.coalesce(F.size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("_clean.removed", F.lit(0)).cast("long").alias("n_removed"),
     )
+    return made.select(*returned(names, made=[c for c in ("n_lines", "n_removed") if c != text_name]))

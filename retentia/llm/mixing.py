@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentia.llm.base import numbered, words
+from retentia.llm.base import numbered, renamed, returned, words
 from retentia.session import materialise
 
 # Pieces of a source's documents whose sizes are summed before any is ranked.
@@ -113,7 +113,9 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 4, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, in their own columns."""
+    """The rows of ``docs``, each as often as the mix takes it, in their own columns, whatever their names."""
+    docs, names = renamed(docs)
+    doc_id, text, source = names[doc_id], names[text], names[source]
     taken = mix(docs, doc_id, text, source, seed=seed, **options)
     draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     # Rows that agree in id and text share a draw; their copies are summed and dealt evenly.
@@ -131,5 +133,5 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         single.unionByName(several)
         .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select(*docs.columns)
+        .select(*returned(names))
     )

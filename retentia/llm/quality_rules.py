@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.base import bounded_sample, count_of, dense_array, let, words
+from retentia.llm.base import count_of, dense_array, let, renamed, returned, words
 from retentia.session import materialise
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 THRESHOLD = -0.18
 SYMBOLS = "#*$%&|<>"
 REPEAT = 5
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
 
 
 def features(w: Column, buckets: int) -> Column:
@@ -31,15 +31,14 @@ def features(w: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, most: int = TRUSTED) -> Column:
+def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> Column:
     """Array of log ratios by bucket, as a scalar subquery of fixed size.
 
-    ``trusted`` holds ids; about ``most`` of them, chosen by a seeded hash, form
-    the trusted text.  All of ``docs`` form the raw one.  Counts start at one.
+    ``trusted`` holds ids; all their texts form the trusted text and all of
+    ``docs`` the raw one.  Counts start at one.
     """
     ids = trusted.select(F.col(doc_id).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    chosen = F.broadcast(bounded_sample(ids, ["_trusted"], most, seed=2))  # at most about `most` ids
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, F.col("_id") == F.col("_trusted"), "left")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(ids, F.col("_id") == F.col("_trusted"), "left")
     found = rows.select(F.col("_trusted").isNotNull().cast("long").alias("good"), F.explode(let(words(F.col("_text")), lambda w: features(w, buckets))).alias("bucket"))
     counts = found.groupBy("bucket").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("raw"))
     counts = materialise(counts, "buckets")
@@ -80,10 +79,12 @@ def score(docs: DataFrame, ratios: Column, text: str = "text", buckets: int = BU
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and
     ``n_repeat_words`` count whole texts; a null or empty text has zeros and an
     ``llr`` of 0.  ``kept`` is false where a base rule fails, else true if
-    ``llr`` is at least ``threshold``.  Repeated rows count each.
+    ``llr`` is at least ``threshold``.  Repeated rows count each; an empty table
+    gives no rows.  Other columns stay, but for those of the new names.
     """
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text"), ratios.alias("_ratios"))
+    docs, names = renamed(docs)
+    others = [c for old, c in names.items() if old != text]
+    rows = docs.select(*others, F.coalesce(F.col(names[text]), F.lit("")).alias("_text"), ratios.alias("_ratios"))
 
     def row(w: Column) -> Column:
         def total(f: Column) -> Column:
@@ -105,7 +106,8 @@ def score(docs: DataFrame, ratios: Column, text: str = "text", buckets: int = BU
     )
     found = made.select(*others, "r.n_words", "word_chars", "n_symbols", "n_dup_lines", "r.n_repeat_words", "r.llr")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    judged = found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return judged.select(*returned(names, [text], MADE))
 
 
 def assess(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

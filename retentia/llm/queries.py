@@ -120,7 +120,7 @@ LINE_DEDUP_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 w AS (
   SELECT r, doc_id, i, [trim(x, {TRIM}) FOR x IN l[i : i + 2]] AS win
-  FROM (SELECT r, doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+  FROM (SELECT r, doc_id, l, unnest(range(1, greatest(len(l) - 1, 2))) AS i FROM d)),
 later AS (
   SELECT r, i FROM (
     SELECT r, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.base import bounded_sample, count_of, let, words
+from retentia.llm.base import bounded_sample, count_of, let, renamed, returned, words
 from retentia.session import materialise
 
 LABELLED = 20_000
@@ -159,6 +159,8 @@ def score(docs: DataFrame, ensemble: Ensemble, text: str = "text", cut: float =
 
     The whole text counts; null and empty texts are scored by their zeros.
     """
-    others = [c for c in docs.columns if c != text]
-    rows = statistics(docs, text).select(*others, ensemble.column().alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    docs, names = renamed(docs)
+    rows = statistics(docs, names[text])
+    rows = rows.select(*[c for old, c in names.items() if old != text], ensemble.column().alias("score"))
+    judged = rows.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return judged.select(*returned(names, [text], ["score", "predicted"]))

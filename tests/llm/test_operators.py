@@ -16,18 +16,18 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from retentia.llm import (
-    components, context_mixing, decontam, langid, licenses, linededup, mixing, packing, quality_rules, queries,
-    rule_ensemble, simhash, similar,
+    base, components, context_mixing, decontam, langid, licenses, linededup, mixing, packing, quality_rules, queries,
+    rule_ensemble, simhash,
 )
 from retentia.session import scratch_dir
 
 LOWER = simhash._LOWER
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, draw int, start int, `window` string"
-BASE = "the quick brown fox jumps over the lazy dog near the old river bank while rain falls on quiet hills"
+SENTENCE = "the quick brown fox jumps over the lazy dog near the old river bank while rain falls on quiet hills"
 ROWS = [
-    (1, BASE, "en", "a", 3, 1, 2, "x"),
-    (1, BASE, "en", "a", 3, 1, 2, "x"),  # a repeated row
-    (2, BASE, "en", "a", 3, 1, 2, "x"),
+    (1, SENTENCE, "en", "a", 3, 1, 2, "x"),
+    (1, SENTENCE, "en", "a", 3, 1, 2, "x"),  # a repeated row
+    (2, SENTENCE, "en", "a", 3, 1, 2, "x"),
     (3, None, "en", "b", None, 1, 2, "x"),
     (4, "", None, None, 0, 1, 2, "x"),
     (None, "no id here but some words", "en", "b", 1, None, 2, None),
@@ -290,7 +290,7 @@ def test_packing_awkward(spark, docs, none):
 
 def test_decontamination_awkward(spark, docs, none):
     items = spark.createDataFrame(
-        [(1, BASE.upper()), (2, "Old-River bank"), (3, None), (4, "..."), (None, "l1 a"), (5, "absent words")], "item_id long, text string"
+        [(1, SENTENCE.upper()), (2, "Old-River bank"), (3, None), (4, "..."), (None, "l1 a"), (5, "absent words")], "item_id long, text string"
     )
     rows = decontam.contaminated(docs, items).collect()
     found = {r["doc_id"]: r for r in rows}
@@ -430,6 +430,19 @@ def test_line_dedup_merges_overlaps(spark):
     assert found == {1: ("a\nb",), 2: ("x\ny",), 3: ("\n\n\n\n",)}
 
 
+def test_line_dedup_of_short_texts(spark):
+    rows = spark.createDataFrame(
+        [(1, "one line"), (2, " one line"), (3, "one line\nand two"), (4, "one line\nand two"), (5, "one line\nand two\nthree"), (6, " "), (7, " "),
+         (8, "x\none line\ny")],
+        "doc_id long, text string",
+    )
+    found = keyed(linededup.dedup_lines(rows), "text", "n_removed")
+    assert found == {
+        1: ("one line", 0), 2: ("", 1), 3: ("one line\nand two", 0), 4: ("", 2), 5: ("one line\nand two\nthree", 0), 6: (" ", 0), 7: (" ", 0),
+        8: ("x\none line\ny", 0),
+    }
+
+
 # --- pipeline ----------------------------------------------------------------
 
 
@@ -446,55 +459,89 @@ def test_pipeline_stages(spark, sf_dir, docs, none, table):
     assert sorted(clean) == sorted(i for i, (x,) in bad.items() if not x)
 
 
-def plain_shingles(text):
-    words = (text or "").encode().translate(LOWER).split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def test_pipeline_runs_whole(spark, sf_dir):
+    found = corpus_pipeline.run(spark, sf_dir).orderBy("start").collect()
+    assert found and found[0]["start"] == 0
+    for a, b in zip(found, found[1:], strict=False):
+        assert b["start"] == a["start"] + a["n_tokens"] and b["doc_id"] >= a["doc_id"]
 
 
-def plain_alike(sets):
-    """Smallest id of each group that pairs of Jaccard similarity 0.8 or more connect."""
-    root = {i: i for i in sets}
+# --- columns of any name -----------------------------------------------------
 
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
 
-    for a in sets:
-        for b in sets:
-            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                root[max(top(a), top(b))] = min(top(a), top(b))
-    return {i: top(i) for i in sets}
-
-
-def test_pipeline_drops_all_similar_texts(spark, sf_dir, table, texts):
-    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
-    kept = sorted(r["doc_id"] for r in stage(spark, table, sf_dir).collect())
-    assert kept == sorted(set(plain_alike({i: plain_shingles(t) for i, t in texts.items()}).values()))
-
-
-def test_similar_families(spark):
-    # Edits leave pairs on both sides of 0.8; small cells make the large family a grid.
-    rng = np.random.default_rng(11)
-    base = [f"w{i}" for i in range(120)]
-    rows = {}
-    for i in range(80):
-        words = list(base) if i < 50 else [f"v{i}x{k}" for k in range(int(rng.integers(1, 30)))]
-        for at in rng.choice(len(words), min(len(words) - 1, int(rng.integers(0, 6))), replace=False):
-            words[at] = f"e{i}x{at}"
-        rows[i] = " ".join(words)
-    wanted = plain_alike({i: plain_shingles(t) for i, t in rows.items()})
-    whole = spark.createDataFrame(list(rows.items()), "key long, _text string").withColumn("root", F.lit(0).cast("long"))
-    for bounds in ({}, {"cell": 10}, {"cell_bytes": 4000}):
-        top = {r["node"]: r["root"] for r in components.components(similar.links(whole, **bounds)).collect()}
-        assert {i: top.get(i, i) for i in rows} == wanted
-    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    best = similar.groups(docs, F.col("doc_id")).groupBy("root").agg(F.min("best.id").alias("i")).collect()
-    assert sorted(r["i"] for r in best) == sorted(set(wanted.values()))
+def clashing(rows, *modules):
+    """The rows with a column, holding its own name, for every name that the modules' sources quote."""
+    import inspect
+    import re
 
+    quoted = {n for m in (*modules, base) for n in re.findall(r"[\"'`]([A-Za-z_]\w*)[\"'`]", inspect.getsource(m))}
+    have = {c.lower() for c in rows.columns}
+    new = {n.lower(): n for n in sorted(quoted) if n.lower() not in have}
+    return rows.select(*rows.columns, *[F.lit(n).alias(n) for n in new.values()]), list(new.values())
 
-def test_pipeline_runs_whole(spark, sf_dir):
-    found = corpus_pipeline.run(spark, sf_dir).orderBy("start").collect()
-    assert found and found[0]["start"] == 0
-    for a, b in zip(found, found[1:], strict=False):
-        assert b["start"] == a["start"] + a["n_tokens"] and b["doc_id"] >= a["doc_id"]
+
+STAGE_MODULES = {
+    "language_id": [langid], "near_duplicates": [simhash, components], "decontaminate": [decontam], "mix_sources": [mixing],
+}
+
+
+@pytest.mark.parametrize("name", list(STAGE_MODULES))
+def test_stage_keeps_columns_of_any_name(spark, sf_dir, docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows, extra = clashing(plain, corpus_pipeline, *STAGE_MODULES[name])
+    found = stage(spark, rows, sf_dir)
+    assert found.columns == rows.columns and len(extra) > 10
+    got = [r.asDict() for r in found.collect()]
+    assert all(r[c] == c for r in got for c in extra)
+
+    def keyed(rows):
+        return sorted(str([r[c] for c in plain.columns]) for r in rows)
+
+    assert keyed(got) == keyed(r.asDict() for r in stage(spark, plain, sf_dir).collect())
+
+
+def _assessed(rows):
+    return quality_rules.assess(rows, rows.select("doc_id").limit(3))
+
+
+def _licensed(rows):
+    files = rows.withColumnRenamed("doc_id", "path").withColumn("path", F.col("path").cast("string"))
+    return licenses.inherit(files, licenses.scan(files))
+
+
+def _predicted(rows):
+    import pandas as pd
+
+    model = pd.DataFrame({"lang": ["en", "fr"], "size": [0, 0], "gram": ["the", "mer"], "logp": [-1.0, -1.0]})
+    return langid.predict(rows, model)
+
+
+OPERATORS = {
+    "assess": (_assessed, quality_rules, quality_rules.MADE, ["text"]),
+    "predict": (_predicted, langid, ["lang_pred", "score"], ["text"]),
+    "dedup_lines": (linededup.dedup_lines, linededup, ["n_lines", "n_removed"], []),
+    "mixed_documents": (mixing.mixed_documents, mixing, [], []),
+    "inherit": (_licensed, licenses, ["own_license", "own_score", "license", "origin"], ["doc_id", "path"]),
+    "rules": (lambda rows: rule_ensemble.score(rows, rule_ensemble.Ensemble(0.5, {})), rule_ensemble, ["score", "predicted"], ["text"]),
+}
+
+
+@pytest.mark.parametrize("name", list(OPERATORS))
+def test_operator_keeps_columns_of_any_name(spark, docs, name):
+    run, module, made, gone = OPERATORS[name]
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows, extra = clashing(plain.withColumn("path", F.lit("x")) if name == "inherit" else plain, module)
+    if name == "inherit":
+        rows, extra = clashing(plain, module)
+        rows, extra = rows.drop("path"), [c for c in extra if c != "path"]
+    found, wanted = run(rows), run(plain)
+    assert len(found.columns) == len({c.lower() for c in found.columns})
+    kept = [c for c in extra if c not in made and c not in gone]
+    got = [r.asDict() for r in found.collect()]
+    assert kept and all(r[c] == c for r in got for c in kept)
+
+    def keyed(rows):
+        return sorted(str([r[c] for c in wanted.columns]) for r in rows)
+
+    assert keyed(got) == keyed(r.asDict() for r in wanted.collect())
