@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import decontam, langid, mixing, packing, simhash, similar
-from retentia.llm.base import id_remainder, table
+from retentia.llm import decontam, langid, mixing, packing, simhash
+from retentia.llm.base import id_remainder, renamed, returned, table
 from retentia.llm.queries import END_ID, TOKENIZER, VOCABULARY
 from retentia.session import materialise, scratch_dir
 
@@ -25,48 +25,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``lang`` is filled in where it is null.
     """
-    training = docs.where(id_remainder("doc_id", 5) != 0)
-    model = langid.fit(training, key="doc_id").toPandas()
-    columns = docs.withColumn("_text", F.col("text"))
+    rows, names = renamed(docs)
+    key, text, lang = (names[c] for c in ("doc_id", "text", "lang"))
+    training = rows.where(id_remainder(key, 5) != 0)
+    model = langid.fit(training, text=text, lang=lang, key=key).toPandas()
+    columns = rows.withColumn("_text", F.col(text))
     found = langid.predict(columns, model, "_text").where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.withColumn(lang, F.coalesce(lang, "lang_pred")).select(*returned(names))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked fingerprints.
 
-    This is the contract of ``op1_simhash`` as a filter; the pipeline runs ``similar_documents``.
-    Of rows that repeat that id one stays, the smallest by fingerprint and text
-    hash.  Groups without any id keep one row as well.
+    Fingerprints of three-word shingles that differ in at most three bits are
+    linked, as in ``op1_simhash``.  Of rows that repeat an id one stays, the
+    smallest by fingerprint and text hash.  Groups without any id keep one row
+    as well.
     """
-    place = F.xxhash64("doc_id", "text")
-    groups = simhash.near_duplicates(docs.select("doc_id", "text", place.alias("_place")), keep=["_place"])
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint", "_place")).alias("b"))
+    rows, names = renamed(docs)
+    key, text = names["doc_id"], names["text"]
+    place = F.xxhash64(key, text)
+    groups = simhash.near_duplicates(rows.select(key, text, place.alias("_place")), key, text, keep=["_place"])
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "fingerprint", "_place")).alias("b"))
     chosen = materialise(best.select(F.col("b._place").alias("_place")), "chosen")
-    kept = docs.withColumn("_place", place).join(chosen, "_place", "left_semi")
-    return kept.dropDuplicates(["_place"]).select(*docs.columns)
-
-
-def similar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of texts alike.
-
-    Alike are texts whose five-word shingles have a Jaccard similarity of 0.8 or
-    more, and all that such pairs connect.  Of rows that repeat an id one stays.
-    """
-    place = F.xxhash64("doc_id", "text")
-    groups = similar.groups(docs, place)
-    chosen = materialise(groups.groupBy("root").agg(F.min("best").alias("b")).select(F.col("b.place").alias("_place")), "chosen")
-    kept = docs.withColumn("_place", place).join(chosen, "_place", "left_semi")
-    return kept.dropDuplicates(["_place"]).select(*docs.columns)
+    kept = rows.withColumn("_place", place).join(chosen, "_place", "left_semi")
+    return kept.dropDuplicates(["_place"]).select(*returned(names))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which at least one word in twenty lies in a benchmark window."""
     found = decontam.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     bad = materialise(found.where("contaminated").select("doc_id", "text_hash").distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & F.col("_hash").eqNullSafe(F.col("_bad_hash"))
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"))
-    return docs.withColumn("_hash", F.xxhash64("text")).join(bad, same, "left_anti").select(*docs.columns)
+    rows, names = renamed(docs)
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("_bad_id")) & F.xxhash64(names["text"]).eqNullSafe(F.col("_bad_hash"))
+    return rows.join(bad, same, "left_anti").select(*returned(names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +75,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
-    ("near_duplicates", similar_documents),
+    ("near_duplicates", near_duplicates),
     ("decontaminate", decontaminate),
     ("mix_sources", mix_sources),
     ("pack_tokens", pack_tokens),
