@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from retentia.catalog import customers, segments, tables, voc  # noqa: F401
+from retentia.catalog import customers, recommendations, segments, tables, voc  # noqa: F401
 from retentia.catalog.registry import ORACLES, QUERIES, Query
 
 

@@ -373,20 +373,8 @@ WITH base AS (
 """
 
 
-def _segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with made-up places and classes derived from their columns."""
-    c = A.customers(spark, sf_dir)
-    return c.select(
-        "ccod", F.col("type_major").alias("class_major"), F.col("type_mid").alias("class_mid"),
-        F.col("biz_type").alias("class_minor"), F.when(F.col("number") % 7 != 0, F.col("name")).alias("class_detail"),
-        F.col("type_major").alias("sido"), F.col("type_mid").alias("sigungu"), "biz_type",
-        F.when(F.col("nation") != 3, 33 + F.col("nation") / 5).alias("lat"), (126 + F.col("nation") % 4).alias("lon"),
-        F.when(F.col("balance") > 0, F.col("balance")).alias("area"),
-    )
-
-
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segment_rows(spark, sf_dir)
+    rows = A.segment_customers(spark, sf_dir)
     codes = materialise(segments.label_codes(rows, segments.LABEL_COLUMNS), "codes")
     encoded = segments.encode_labels(rows, codes, segments.LABEL_COLUMNS)
     return materialise(segments.with_defaults(encoded), "encoded")
@@ -400,7 +388,7 @@ SELECT ccod, CAST(a.code AS BIGINT) AS class_mid_code, CAST(b.code AS BIGINT) AS
 FROM base JOIN a ON a.l = class_mid JOIN b ON b.l = class_detail"""
 )
 def label_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segment_rows(spark, sf_dir)
+    rows = A.segment_customers(spark, sf_dir)
     columns = ["class_mid", "class_detail"]
     rows = segments.encode_labels(rows, segments.label_codes(rows, columns), columns)
     return rows.select("ccod", *whole("class_mid_code", "class_detail_code"))
@@ -416,7 +404,7 @@ SELECT ccod, {', '.join(sql_round(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) O
 )
 def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["lat", "lon", "area_bucket"]
-    rows = segments.standardise(segments.with_defaults(_segment_rows(spark, sf_dir)), columns)
+    rows = segments.standardise(segments.with_defaults(A.segment_customers(spark, sf_dir)), columns)
     return rows.select("ccod", *[rounded(c) for c in columns])
 
 
@@ -437,7 +425,7 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segment_vectors(spark, sf_dir)
-    model = segments.fit_clusters(rows, k=10, restarts=2, iterations=20)
+    model = segments.fit_clusters(rows)
     longest = segments.longest_center_distance(rows, model)
     own = segments.center_distance(F.col("features"), F.col("cluster"), model)
     return model.transform(rows).select("ccod", "cluster", rounded(1 - own / longest, name="similarity"))
@@ -446,16 +434,13 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_count_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segment_vectors(spark, sf_dir)
-    _, scores = segments.choose_k(rows, range(2, 5), restarts=1)
+    _, scores = segments.choose_k(rows)
     values = [(s.k, s.cost, s.silhouette, s.davies_bouldin) for s in scores]
     return spark.createDataFrame(values, "k int, cost double, silhouette double, davies_bouldin double")
 
 
 # --- model -------------------------------------------------------------------
 
-SMALL = {"maxIter": 10, "maxDepth": 4}
-
-
 def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = features.training_rows(feature_table(spark, sf_dir), min_work=1, rule=LABEL_RULE)
     rows = materialise(rows, "training")
@@ -466,7 +451,7 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def churn_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit_on, _ = _training(spark, sf_dir)
-    model = churn.fit_churn(fit_on, **SMALL)
+    model = churn.fit_churn(fit_on)
     means = explain.mean_maps(explain.class_means(fit_on, "churn", MODEL_FEATURES), "churn", MODEL_FEATURES)
     rows = materialise(feature_table(spark, sf_dir), "features")
     predictions = churn.predict_churn(model, rows, F.lit(MONTH), means[0], means[1])
@@ -476,9 +461,24 @@ def churn_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def churn_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit_on, held_out = _training(spark, sf_dir)
-    scored = churn.score(churn.fit_churn(fit_on, **SMALL), held_out)
-    auc = churn.roc_auc(scored, "churn", "churn_prob")
-    return churn.class_report(scored, "churn", "churn_label").withColumn("roc_auc", F.lit(auc))
+    scored = materialise(churn.score(churn.fit_churn(fit_on), held_out), "scores")
+    auc = churn.roc_auc(scored, "churn", "churn_prob").select("roc_auc").scalar()
+    return churn.class_report(scored, "churn", "churn_label").withColumn("roc_auc", auc)
+
+
+@query(
+    f"""WITH s AS (SELECT quality AS label, n_chars AS score FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+    c AS (SELECT score, count_if(label = 1) AS ones, count_if(label <> 1) AS zeros FROM s GROUP BY score),
+    r AS (SELECT ones, zeros, coalesce(sum(zeros) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+    SELECT CAST(sum(ones) AS BIGINT) AS positives, CAST(sum(zeros) AS BIGINT) AS negatives,
+           {sql_round('sum(ones * (below + zeros / 2)) / (sum(ones) * sum(zeros))', 'roc_auc', 9)} FROM r"""
+)
+def roc_auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the length of a text tells its quality: the area under the curve by ranks."""
+    lengths = A.load(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    rows = A.load(spark, sf_dir, "labels").select("doc_id", "quality").join(lengths, "doc_id")
+    found = churn.roc_auc(rows, "quality", "n_chars")
+    return found.select(*whole("positives", "negatives"), rounded("roc_auc", 9))
 
 
 @query(

@@ -10,11 +10,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.operators.explain import scoring_variant, top_contributions, wide_explanation
+from retentia.operators.selection import PARALLEL
 from retentia.schemas import MODEL_FEATURES
+from retentia.session import materialise
 
 THRESHOLD = 0.5
 POSITIVE_WEIGHT = 3.0
@@ -60,25 +62,29 @@ def fit_churn(rows: DataFrame, label: str = "churn", features: list[str] = MODEL
 
 def search_churn(
     rows: DataFrame, label: str = "churn", features: list[str] = MODEL_FEATURES, seed: int = 42,
-    grid: dict[str, list] | None = None, weights: list[float] | None = None, folds: int = 3,
+    grid: dict[str, list] | None = None, weights: list[float] | None = None, folds: int = 3, key: str = "ccod",
+    parallel: int = PARALLEL,
 ) -> tuple[PipelineModel, float]:
-    """Best model of a cross-validated grid by area under the ROC curve."""
+    """Best model of a cross-validated grid by area under the ROC curve.
+
+    The rows are assembled and dealt to folds, by a hash of their key, once;
+    all settings of all folds are fitted over that table, ``parallel`` at a
+    time.  Of equal scores the first setting wins, lighter weights first.
+    """
     check_classes(rows, label)
-    best: tuple[PipelineModel, float] | None = None
-    for weight in weights or GRID_WEIGHTS:
-        assembler = VectorAssembler(inputCols=features, outputCol="_features")
-        model = _classifier(label, seed)
-        builder = ParamGridBuilder()
-        for name, values in (grid or GRID).items():
-            builder = builder.addGrid(model.getParam(name), values)
-        search = CrossValidator(
-            estimator=Pipeline(stages=[assembler, model]), estimatorParamMaps=builder.build(),
-            evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction"), numFolds=folds, seed=seed,
-        ).fit(weighted(rows, label, weight))
-        score = max(search.avgMetrics)
-        if best is None or score > best[1]:
-            best = (search.bestModel, score)
-    return best
+    assembler = VectorAssembler(inputCols=features, outputCol="_features")
+    weighed = {f"_weight_{i}": F.when(F.col(label) == 1, float(w)).otherwise(1.0) for i, w in enumerate(weights or GRID_WEIGHTS)}
+    fold = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")
+    dealt = assembler.transform(rows).select(label, "_features", *[c.alias(n) for n, c in weighed.items()], fold.alias("_fold"))
+    model = _classifier(label, seed)
+    builder = ParamGridBuilder().addGrid(model.weightCol, list(weighed))
+    for name, values in (grid or GRID).items():
+        builder = builder.addGrid(model.getParam(name), values)
+    search = CrossValidator(
+        estimator=model, estimatorParamMaps=builder.build(), numFolds=folds, foldCol="_fold", seed=seed, parallelism=parallel,
+        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction"),
+    ).fit(materialise(dealt, "folds"))
+    return PipelineModel([assembler, search.bestModel]), max(search.avgMetrics)
 
 
 def grid_size(grid: dict[str, list] | None = None, weights: list[float] | None = None) -> int:
@@ -149,10 +155,30 @@ def class_report(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     return both.withColumn("f1", f1).drop("hits")
 
 
-def roc_auc(scored: DataFrame, label: str, probability: str) -> float:
-    """Area under the ROC curve, from sorted score thresholds."""
-    rows = scored.select(F.col(label).cast("double").alias("label"), F.col(probability).alias("score"))
-    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score").evaluate(rows)
+def roc_auc(scored: DataFrame, label: str, probability: str) -> DataFrame:
+    """Exact area under the ROC curve with its counts: ``positives``, ``negatives``, ``roc_auc``; one row.
+
+    The share of pairs of a positive and a negative in which the positive
+    scores higher, half for ties.  Rows are counted per distinct score first;
+    scores are ranked inside range partitions and only the partitions' totals
+    are put in one order.  Null labels and scores are left out; without both
+    classes the area is null.
+    """
+    is_one = F.col(label) == 1
+    counts = scored.where(F.col(label).isNotNull() & F.col(probability).isNotNull()).groupBy(F.col(probability).alias("score")).agg(
+        F.count_if(is_one).alias("ones"), F.count_if(~is_one).alias("zeros")
+    )
+    placed = materialise(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
+    below = F.coalesce(F.sum("zeros").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = placed.withColumn("won", F.col("ones") * (below + F.col("zeros") / 2))
+    parts = inside.groupBy("part").agg(F.sum("won").alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    # One row per partition.
+    before = F.coalesce(F.sum("zeros").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = parts.withColumn("won", F.col("won") + F.col("ones") * before).agg(
+        F.sum("won").alias("won"), F.coalesce(F.sum("ones"), F.lit(0)).alias("positives"), F.coalesce(F.sum("zeros"), F.lit(0)).alias("negatives")
+    )
+    pairs = F.nullif(F.col("positives").cast("double") * F.col("negatives"), F.lit(0.0))
+    return total.select("positives", "negatives", (F.col("won") / pairs).alias("roc_auc"))
 
 
 def save_model(model: PipelineModel, means: DataFrame, path: str) -> None:

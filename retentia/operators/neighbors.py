@@ -1,37 +1,47 @@
-"""Exact nearest member of the same cluster, without comparing all pairs.
+"""Nearest member of the same cluster, without comparing all pairs.
 
-A pivot join after the published k-nearest-neighbour joins for map-reduce
-(Lu et al., VLDB 2012):
+The exact form is a pivot join in two phases, after the published k-nearest-neighbour
+joins for map-reduce (Lu et al., VLDB 2012):
 
 1. Equal vectors are one point; it keeps its two smallest ids.
-2. Every cluster gets a bounded number of pivots (members with the smallest
-   hash).  Points are assigned to the nearest pivot's cell.
-3. A query's distance to the nearest pivot bounds its answer, so a cell is
-   searched only if the triangle inequality leaves room for something closer.
-4. Cells are cut into blocks of bounded size on both sides; one task compares
+2. Every large cluster gets pivots (members with the smallest hash), in all a
+   bounded number.  Points and queries belong to the cell of their nearest pivot.
+3. A query is answered in its own cell first.
+4. The distance found decides which other cells may hold something closer: by
+   the nearest and farthest point of a cell from its pivot (triangle inequality)
+   and by the plane between both pivots, on whose far side the cell lies.  Only
+   those are searched.
+5. Cells are cut into blocks of bounded size on both sides; one task compares
    one block of queries with one block of points and returns one row per query.
+
+The approximate form hashes vectors by random projections and compares, exactly,
+only those that share a bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Accumulator
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.numbers import as_doubles
-from retentia.operators.groups import top_per_group
+from retentia.operators.groups import join_back, top_per_group
 from retentia.session import materialise
 
-# Points aimed at per cell, and the most pivots a cluster may have.  Pivots are
-# the only rows that reach the driver: at most clusters x MAX_PIVOTS.
+# Points aimed at per cell, and the bound on pivots.  They are all that reaches
+# the driver and the tasks: at most twice MAX_PIVOTS vectors, as a cluster gets
+# more than one only for every larger part of all points.
 CELL_POINTS = 20_000
-MAX_PIVOTS = 1_000
+MAX_PIVOTS = 10_000
 BLOCK = 20_000
 # Margin for the rounding of the fast distance form; a wider one only searches more.
 SLACK = 1e-6
+# Hash tables, projections per table, width of a bucket in typical nearest distances, queries that measure those.
+TABLES, PROJECTIONS, WIDTH, PROBES = 12, 4, 4.0, 200
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -44,18 +54,113 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
-def _pivots(spark: SparkSession, points: DataFrame, cell_points: int, max_pivots: int):
-    """Pivot vectors per cluster, as a broadcast variable of bounded size."""
-    sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.least(F.ceil(F.col("n") / cell_points), F.lit(max_pivots))
-    order = [F.xxhash64("id"), F.col("id")]
-    # Ranking one cluster is cut to max_pivots rows per task before the shuffle.
-    ranked = top_per_group(points.select("cluster", "id", "vec"), ["cluster"], order, max_pivots)
-    chosen = ranked.join(sizes.select("cluster", wanted.alias("wanted")), "cluster").where("rank <= wanted")
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "cluster", as_doubles(F.col("vec")).alias("vec"))
+
+
+def _points(members: DataFrame) -> DataFrame:
+    """Distinct vectors of a cluster with their two smallest ids.
+
+    The second one answers a query that is itself the first.  The rank filter
+    keeps two rows per task and vector, so many copies of one vector never
+    meet.  A vector one member has alone repeats its id.
+    """
+    lowest = top_per_group(members, ["cluster", "vec"], [F.col("id")], 2)
+    return lowest.groupBy("cluster", "vec").agg(F.min("id").alias("id"), F.max("id").alias("id2"))
+
+
+def _pivots(points: DataFrame, cell_points: int, max_pivots: int) -> dict:
+    """Pivot vectors of the clusters that need more than one cell."""
+    sizes = materialise(points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    cell = max(cell_points, total // max_pivots)
+    large = sizes.where(F.col("n") > cell).select("cluster", F.ceil(F.col("n") / cell).alias("wanted"))
+    mine = points.select("cluster", "id", "vec").join(large, "cluster")
+    # Ranking one cluster is cut to that many rows per task before the shuffle.
+    ranked = top_per_group(mine, ["cluster"], [F.xxhash64("id"), F.col("id")], 2 * max_pivots)
     table: dict = {}
-    for row in chosen.orderBy("cluster", "rank").collect():
+    for row in ranked.where("rank <= wanted").orderBy("cluster", "rank").collect():
         table.setdefault(row["cluster"], []).append(row["vec"])
-    return spark.sparkContext.broadcast({c: np.asarray(v, dtype="float64") for c, v in table.items()})
+    return {c: np.asarray(v, dtype="float64") for c, v in table.items()}
+
+
+def _search(exclude_self: bool, counter: Accumulator | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Nearest of a block of points for each of a block of queries, exact and with the smaller id on ties."""
+
+    def search(asking: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": [], "neighbor_id": [], "distance": []})
+        if asking.empty or known.empty:
+            return none
+        if counter is not None:
+            counter.add(len(asking) * len(known))
+        ids, seconds = known["id"].to_numpy(), known["id2"].to_numpy()
+        alone = seconds == ids
+        points, queries = _matrix(known["vec"]), _matrix(asking["vec"])
+        scale = 1.0 + (points * points).sum(1).max() + (queries * queries).sum(1).max()
+        own = asking["id"].to_numpy()
+        # Places of a point that is only the query itself, which cannot answer it.
+        place = {i: k for k, i in enumerate(ids) if alone[k]} if exclude_self else {}
+        found = []
+        step = max(1, 4_000_000 // len(ids))
+        for start in range(0, len(own), step):
+            mine, q = own[start : start + step], queries[start : start + step]
+            d2 = _distances(q, points)
+            if exclude_self:
+                for row, name in enumerate(mine):
+                    if name in place:
+                        d2[row, place[name]] = np.inf
+            best = d2.argmin(1)
+            least = d2[np.arange(len(q)), best]
+            names = ids[best].copy()
+            if exclude_self:
+                names = np.where(names == mine, seconds[best], names)
+            exact = np.sqrt(((points[best] - q) ** 2).sum(1))
+            # Rounding of the fast form is far below this margin; what lies within it is compared exactly.
+            close = d2 <= (least + 1e-9 * scale)[:, None]
+            for row in np.flatnonzero((close.sum(1) > 1) & np.isfinite(least)):
+                pick = np.flatnonzero(close[row])
+                apart = np.sqrt(((points[pick] - q[row]) ** 2).sum(1))
+                answers = [s if exclude_self and n == mine[row] else n for n, s in zip(ids[pick], seconds[pick], strict=True)]
+                exact[row], names[row] = min(zip(apart, answers, strict=True))
+            kept = np.isfinite(least)
+            found.append(pd.DataFrame({"id": mine[kept], "neighbor_id": names[kept], "distance": exact[kept]}))
+        return pd.concat(found) if found else none
+
+    return search
+
+
+def _searched(
+    asked: DataFrame, points: DataFrame, cells: list[str], exclude_self: bool, block: int, counter: Accumulator | None
+) -> DataFrame:
+    """One row per query and block of points: queries and points that share ``cells`` meet in blocks.
+
+    ``asked``: cells, id, vec; ``points``: cells, vec, id, id2.  Both are written tables.
+    """
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*cells).agg(F.count(F.lit(1)).alias(name))
+
+    sizes = count(asked, "q").join(count(points, "p"), cells)
+    blocks = [F.ceil(F.col(c) / block).cast("int").alias(f"{c}_blocks") for c in ("q", "p")]
+    sizes = materialise(sizes.select(*cells, *blocks, F.greatest("q", "p").alias("_rows")), "cuts")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        # Cells that only one side has find nothing here.
+        cuts = join_back(rows, sizes, cells).where("q_blocks IS NOT NULL")
+        mine = F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other)
+        return cuts.select(*rows.columns, mine, every)
+
+    keys = [*cells, "q", "p"]
+    id_type = asked.schema["id"].dataType.simpleString()
+    return (
+        dealt(asked, "q", "p").groupBy(*keys).cogroup(dealt(points, "p", "q").groupBy(*keys))
+        .applyInPandas(_search(exclude_self, counter), f"id {id_type}, neighbor_id {id_type}, distance double")
+    )
+
+
+def _nearest(found: DataFrame) -> DataFrame:
+    best = found.groupBy("id").agg(F.min(F.struct("distance", "neighbor_id")).alias("b"))
+    return best.select("id", "b.neighbor_id", "b.distance")
 
 
 def nearest_in_cluster(
@@ -66,129 +171,128 @@ def nearest_in_cluster(
     cell_points: int = CELL_POINTS,
     max_pivots: int = MAX_PIVOTS,
     block: int = BLOCK,
+    counter: Accumulator | None = None,
 ) -> DataFrame:
     """Nearest member in the query's cluster; the smaller id wins a tie.
 
-    Both sides: id (bigint), cluster, vec (array of numbers).  Result: id,
-    neighbor_id, distance.  A query without any member has no row.
+    Both sides: id (of one type, unique among the queries), cluster, vec (array
+    of numbers).  Result: id, neighbor_id, distance.  A query without any member
+    has no row.  ``counter`` adds up the pairs compared.
     """
     spark = queries.sparkSession
-    columns = ["id", "cluster", as_doubles(F.col("vec")).alias("vec")]
-    queries, members = queries.select(*columns), members.select(*columns)
-
-    # The two smallest ids of a vector: the second one answers a query that is
-    # itself the first.  The rank filter keeps two rows per task and vector, so
-    # many copies of one vector never meet.  A vector one member has alone
-    # repeats its id.
-    lowest = top_per_group(members, ["cluster", "vec"], [F.col("id")], 2)
-    points = lowest.groupBy("cluster", "vec").agg(F.min("id").alias("id"), F.max("id").alias("id2"))
-
-    pivots = _pivots(spark, points, cell_points, max_pivots)
+    queries, points = _typed(queries), materialise(_points(_typed(members)), "points")
+    pivots = spark.sparkContext.broadcast(_pivots(points, cell_points, max_pivots))
+    cluster_type = points.schema["cluster"].dataType.simpleString()
+    id_type = points.schema["id"].dataType.simpleString()
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for cluster, part in frame.groupby("cluster"):
+                if cluster not in pivots.value:
+                    yield part.assign(cell=0, reach=0.0, pivoted=False)
+                    continue
                 d2 = _distances(_matrix(part["vec"]), pivots.value[cluster])
                 cell = d2.argmin(1)
-                yield part.assign(cell=cell, reach=np.sqrt(d2[np.arange(len(part)), cell]))
+                yield part.assign(cell=cell, reach=np.sqrt(d2[np.arange(len(part)), cell]), pivoted=True)
 
-    cluster_type = points.schema["cluster"].dataType.simpleString()
-    placed = points.select("cluster", "vec", "id", "id2").mapInPandas(
-        assign, f"cluster {cluster_type}, vec array<double>, id bigint, id2 bigint, cell int, reach double"
+    placed = points.mapInPandas(
+        assign, f"cluster {cluster_type}, vec array<double>, id {id_type}, id2 {id_type}, cell int, reach double, pivoted boolean"
     )
-    placed = materialise(placed, "cells")  # Read three times below.
-    cells = placed.groupBy("cluster", "cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("points"))
-    # One row per pivot: as bounded as the pivots themselves.
-    shape = {(r["cluster"], r["cell"]): (r["radius"], r["points"]) for r in cells.collect()}
-    shapes = spark.sparkContext.broadcast(shape)
+    placed = materialise(placed, "cells")
+    homes = queries.mapInPandas(assign, f"id {id_type}, cluster {cluster_type}, vec array<double>, cell int, reach double, pivoted boolean")
+    homes = materialise(homes.select("cluster", "cell", "id", "vec"), "homes")
+    known = placed.select("cluster", "cell", "vec", "id", "id2")
+    found = materialise(_nearest(_searched(homes, known, ["cluster", "cell"], exclude_self, block, counter)), "found")
+    if not pivots.value:
+        return found
+
+    # One row per pivot: as bounded as the pivots themselves.  Clusters of one cell have no pivot.
+    ringed = placed.where("pivoted").groupBy("cluster", "cell").agg(F.min("reach").alias("near"), F.max("reach").alias("far"))
+    rings = {(r["cluster"], r["cell"]): (r["near"], r["far"]) for r in ringed.collect()}
+    shapes = spark.sparkContext.broadcast(rings)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The other cells in which a query may find something closer than it has."""
         for frame in frames:
             for cluster, part in frame.groupby("cluster"):
                 if cluster not in pivots.value:
                     continue
-                d = np.sqrt(_distances(_matrix(part["vec"]), pivots.value[cluster]))
-                radius = np.array([shapes.value.get((cluster, j), (-1.0, 0))[0] for j in range(d.shape[1])])
-                filled = radius >= 0
-                # A pivot may be the query itself, which does not bound the
-                # distance to another member; a farther pivot or the farthest
-                # point of a cell does.
-                scale = 1.0 + d.max()
-                bound = np.where(d > SLACK * scale, d, np.inf).min(1) if exclude_self else d.min(1)
-                slack = SLACK * scale
-                wanted = filled[None, :] & (d - radius[None, :] <= (bound + slack)[:, None])
-                rows, cols = np.nonzero(wanted)
-                yield part.iloc[rows].assign(cell=cols.astype("int32"))[["cluster", "vec", "id", "cell"]]
-
-    routed = materialise(
-        queries.mapInPandas(route, f"cluster {cluster_type}, vec array<double>, id bigint, cell int"), "routed"
-    )
+                centres = pivots.value[cluster]
+                ring = np.array([shapes.value.get((cluster, j), (np.inf, -np.inf)) for j in range(len(centres))])
+                between = np.sqrt(_distances(centres, centres))
+                step = max(1, 4_000_000 // len(centres))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at : at + step]
+                    d2 = _distances(_matrix(some["vec"]), centres)
+                    d, home = np.sqrt(d2), some["cell"].to_numpy()
+                    apart = np.maximum(between[home], 1e-300)
+                    plane = (d2 - d2[np.arange(len(some)), home][:, None]) / (2 * apart)
+                    least = np.maximum(np.maximum(d - ring[:, 1], ring[:, 0] - d), plane)
+                    have = some["distance"].fillna(np.inf).to_numpy() + SLACK * (1.0 + d.max())
+                    wanted = (ring[:, 1] >= 0) & (least <= have[:, None])
+                    wanted[np.arange(len(some)), home] = False
+                    rows, cols = np.nonzero(wanted)
+                    yield some.iloc[rows].assign(cell=cols.astype("int32"))[["cluster", "cell", "id", "vec"]]
 
-    # Blocks: a crowded cell is cut by hash on both sides.
-    asked = routed.groupBy("cluster", "cell").agg(F.count(F.lit(1)).alias("asked"))
-    # Again one row per pivot, which makes the broadcast safe.
-    cuts = F.broadcast(
-        cells.join(asked, ["cluster", "cell"]).select(
-            "cluster", "cell",
-            F.ceil(F.col("points") / block).cast("int").alias("p_blocks"),
-            F.ceil(F.col("asked") / block).cast("int").alias("q_blocks"),
-        )
-    )
-    placed_blocks = (
-        placed.join(cuts, ["cluster", "cell"])
-        .withColumn("p", F.pmod(F.xxhash64("id"), F.col("p_blocks")).cast("int"))
-        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("cluster", "cell", "p", "q", "id", "id2", "vec")
-    )
-    routed_blocks = (
-        routed.join(cuts, ["cluster", "cell"])
-        .withColumn("q", F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int"))
-        .withColumn("p", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)))
-        .select("cluster", "cell", "p", "q", "id", "vec")
-    )
+    open_ = homes.join(found.select("id", "distance"), "id", "left").select("cluster", "cell", "id", "vec", "distance")
+    routed = open_.mapInPandas(route, f"cluster {cluster_type}, cell int, id {id_type}, vec array<double>")
+    others = _searched(materialise(routed, "routed"), known, ["cluster", "cell"], exclude_self, block, counter)
+    return _nearest(found.unionByName(others))
 
-    def search(asking: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if asking.empty or known.empty:
-            return pd.DataFrame({"id": [], "neighbor_id": [], "distance": []})
-        known = known.sort_values("id", kind="stable")
-        ids = known["id"].to_numpy()
-        seconds = known["id2"].to_numpy()
-        points_m, queries_m = _matrix(known["vec"]), _matrix(asking["vec"])
-        scale = 1.0 + (points_m * points_m).sum(1).max() + (queries_m * queries_m).sum(1).max()
-        own = asking["id"].to_numpy()
-        out_id, out_n, out_d = [], [], []
-        step = max(1, 4_000_000 // max(1, len(ids)))
-        for start in range(0, len(own), step):
-            q = queries_m[start : start + step]
-            d2 = _distances(q, points_m)
-            if exclude_self:
-                # A point that is only the query itself cannot answer it.
-                alone = seconds == ids
-                mine = (ids[None, :] == own[start : start + step, None]) & alone[None, :]
-                d2[mine] = np.inf
-            least = d2.min(1)
-            # Rounding of the fast form is far below this margin.
-            near = d2 <= (least + 1e-9 * scale)[:, None]
-            for i in range(len(q)):
-                if not np.isfinite(least[i]):
-                    continue
-                pick = np.nonzero(near[i])[0]
-                exact = np.sqrt(((points_m[pick] - q[i]) ** 2).sum(1))
-                names = ids[pick].copy()
-                if exclude_self:
-                    same = names == own[start + i]
-                    names[same] = seconds[pick][same]
-                best = np.lexsort((names, exact))[0]
-                out_id.append(own[start + i])
-                out_n.append(names[best])
-                out_d.append(exact[best])
-        return pd.DataFrame({"id": out_id, "neighbor_id": out_n, "distance": out_d})
-
-    keys = ["cluster", "cell", "p", "q"]
-    found = (
-        routed_blocks.groupBy(*keys)
-        .cogroup(placed_blocks.groupBy(*keys))
-        .applyInPandas(search, "id bigint, neighbor_id bigint, distance double")
+
+def hashed_in_cluster(
+    queries: DataFrame,
+    members: DataFrame,
+    *,
+    exclude_self: bool = False,
+    tables: int = TABLES,
+    projections: int = PROJECTIONS,
+    width: float = WIDTH,
+    probes: int = PROBES,
+    block: int = BLOCK,
+    seed: int = 7,
+    counter: Accumulator | None = None,
+) -> DataFrame:
+    """As ``nearest_in_cluster``, but a member is found only if it shares a bucket with the query.
+
+    Each of the ``tables`` cuts ``projections`` random directions into buckets;
+    their width is ``width`` times the distance within which nine in ten of
+    ``probes`` queries have their nearest member, found exactly.  A nearest member at that
+    distance is missed by all tables with a probability of about one in five
+    hundred.  Candidates are compared exactly, buckets in blocks of bounded
+    size.  Vectors are of one length.  A query that meets no member has no row.
+    """
+    spark = queries.sparkSession
+    queries, points = materialise(_typed(queries), "queries"), materialise(_points(_typed(members)), "points")
+    first = points.select(F.size("vec")).first()
+    sample = queries.orderBy(F.xxhash64(F.lit(seed), "id")).limit(probes)
+    near = nearest_in_cluster(sample, members, exclude_self=exclude_self, block=block)
+    typical = near.where("distance > 0").agg(F.percentile("distance", 0.9)).first()[0] or 1.0
+    chance = np.random.default_rng(seed)
+    directions = chance.standard_normal((first[0] if first else 1, tables * projections))
+    offsets = chance.uniform(0.0, 1.0, tables * projections)
+    shared = spark.sparkContext.broadcast((directions / (width * typical), offsets))
+
+    def buckets(vectors: pd.Series) -> np.ndarray:
+        directions, offsets = shared.value
+        return np.floor(_matrix(vectors) @ directions + offsets).astype("int64").reshape(len(vectors), tables, projections)
+
+    def hashed(kept: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    found = buckets(frame["vec"])
+                    for t in range(tables):
+                        yield frame[kept].assign(table=t, bucket=list(found[:, t]))
+
+        return run
+
+    cluster_type = points.schema["cluster"].dataType.simpleString()
+    id_type = points.schema["id"].dataType.simpleString()
+    places = "`table` int, bucket array<long>"
+    asked = queries.mapInPandas(hashed(["id", "cluster", "vec"]), f"id {id_type}, cluster {cluster_type}, vec array<double>, {places}")
+    known = points.mapInPandas(
+        hashed(["cluster", "vec", "id", "id2"]), f"cluster {cluster_type}, vec array<double>, id {id_type}, id2 {id_type}, {places}"
     )
-    best = found.groupBy("id").agg(F.min(F.struct("distance", "neighbor_id")).alias("b"))
-    return best.select("id", "b.neighbor_id", "b.distance")
+    asked, known = (materialise(t.withColumn("bucket", F.xxhash64("table", "bucket")).drop("table"), "buckets") for t in (asked, known))
+    return _nearest(_searched(asked, known, ["cluster", "bucket"], exclude_self, block, counter))

@@ -21,6 +21,7 @@ from retentia.functions.numbers import (
     lenient_double,
 )
 from retentia.operators.groups import numbered_within, one_row
+from retentia.operators.selection import PARALLEL, concurrently, kept
 
 CLASS_COLUMNS = ["class_major", "class_mid", "class_minor", "class_detail"]
 LABEL_COLUMNS = [*CLASS_COLUMNS, "sido", "sigungu", "biz_type"]
@@ -105,18 +106,29 @@ def with_vector(rows: DataFrame, columns: list[str], into: str = "features") ->
     return VectorAssembler(inputCols=columns, outputCol=into).transform(rows)
 
 
-def fit_clusters(rows: DataFrame, k: int = 10, restarts: int = 10, iterations: int = 300, seed: int = 42) -> KMeansModel:
-    """K-means with the lowest cost of several starts.
+def _fit_all(rows: DataFrame, settings: list[tuple[int, int]], iterations: int, parallel: int) -> list[KMeansModel]:
+    """One model per number of clusters and seed, fitted as concurrent jobs."""
+    def task(k: int, seed: int):
+        return lambda: KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
+
+    return concurrently(rows.sparkSession, [task(*s) for s in settings], parallel)
+
+
+def _cheapest(models: list[KMeansModel]) -> KMeansModel:
+    """The lowest cost; the first of equal ones."""
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def fit_clusters(
+    rows: DataFrame, k: int = 10, restarts: int = 10, iterations: int = 300, seed: int = 42, parallel: int = PARALLEL
+) -> KMeansModel:
+    """K-means with the lowest cost of several starts, which run at the same time.
 
     ``rows`` holds the vector column ``features``; give a materialised table,
-    every pass of every start reads it.
+    which is kept on the executors meanwhile.
     """
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, maxIter=iterations, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    with kept(rows.select("features")) as vectors:
+        return _cheapest(_fit_all(vectors, [(k, seed + i) for i in range(restarts)], iterations, parallel))
 
 
 @dataclass(frozen=True)
@@ -157,10 +169,18 @@ def cluster_quality(rows: DataFrame, model: KMeansModel) -> ClusterQuality:
     )
 
 
-def choose_k(rows: DataFrame, ks: range = range(2, 21), restarts: int = 10) -> tuple[KMeansModel, list[ClusterQuality]]:
-    """The model with the best silhouette, and the scores of all."""
-    models = [fit_clusters(rows, k, restarts) for k in ks]
-    scores = [cluster_quality(rows, m) for m in models]
+def choose_k(
+    rows: DataFrame, ks: range = range(2, 21), restarts: int = 10, iterations: int = 300, seed: int = 42, parallel: int = PARALLEL
+) -> tuple[KMeansModel, list[ClusterQuality]]:
+    """The model with the best silhouette, and the scores of all.
+
+    All starts of all numbers of clusters run side by side over one kept
+    table; the winner is that of fitting them one after the other.
+    """
+    with kept(rows.select("features")) as vectors:
+        fitted = _fit_all(vectors, [(k, seed + i) for k in ks for i in range(restarts)], iterations, parallel)
+        models = [_cheapest(fitted[at : at + restarts]) for at in range(0, len(fitted), restarts)]
+        scores = concurrently(rows.sparkSession, [lambda m=m: cluster_quality(vectors, m) for m in models], parallel)
     best = max(range(len(scores)), key=lambda i: scores[i].silhouette)
     return models[best], scores
 

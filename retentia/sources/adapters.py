@@ -129,8 +129,12 @@ def message_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_category_of(events: DataFrame) -> DataFrame:
     """Events as classified messages with up to five category codes."""
+    return events.select(*_category_columns())
+
+
+def _category_columns() -> list[Column]:
     k = event_number()
-    return events.select(
+    return [
         F.col("event_id").alias("msg_id"),
         (F.col("value") >= 20).cast("int").alias("is_claim"),
         F.col("event_type").alias("detail_category_1_code"),
@@ -142,7 +146,12 @@ def message_category_of(events: DataFrame) -> DataFrame:
         ((F.col("value") % 100) / 100).alias("model_confidence"),
         F.col("ts").alias("created_at"),
         F.when(k % 10 == 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("ts")).alias("updated_at"),
-    )
+    ]
+
+
+def customer_categories_of(events: DataFrame) -> DataFrame:
+    """Events as classified messages with their customer."""
+    return events.select(*_category_columns(), F.col("user_id").cast("string").alias("ccod"))
 
 
 def code_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,3 +236,45 @@ def customer_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(
         _code("c_custkey").alias("ccod"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("cluster")
     )
+
+
+def segment_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with places and classes derived from their columns; some details and numbers are missing."""
+    c = customers(spark, sf_dir)
+    return c.select(
+        "ccod", "name", F.col("type_major").alias("class_major"), F.col("type_mid").alias("class_mid"),
+        F.col("biz_type").alias("class_minor"), F.when(F.col("number") % 7 != 0, F.col("name")).alias("class_detail"),
+        F.col("type_major").alias("sido"), F.col("type_mid").alias("sigungu"), "biz_type",
+        F.when(F.col("nation") != 3, 33 + F.col("nation") / 5).alias("lat"), (126 + F.col("nation") % 4).alias("lon"),
+        F.when(F.col("balance") > 0, F.col("balance")).alias("area"),
+        F.when(F.col("number") % 3 == 0, F.col("number").cast("string")).alias("biz_no"),
+    )
+
+
+def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as industry codes, with their classes."""
+    n = load(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey")
+    return n.join(load(spark, sf_dir, "region"), "r_regionkey").select(
+        F.concat(F.lit("I"), "n_nationkey").alias("code"), F.concat(F.lit("industry "), "n_name").alias("name"),
+        F.col("r_name").alias("class_major"), F.col("n_name").alias("class_mid"),
+        F.lit(None).cast("string").alias("class_minor"), F.lit(None).cast("string").alias("class_detail"),
+    )
+
+
+def prospect_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sites of prospective customers, registered over two months; some fields are missing."""
+    s = load(spark, sf_dir, "supplier")
+    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
+    r = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    key = F.col("s_suppkey")
+    return s.join(n, "s_nationkey").join(r, "n_regionkey").select(
+        _code("s_suppkey").alias("kedcd"), F.lit("1").alias("bzpl_cd"), (key % 2).cast("string").alias("bzpl_seq"),
+        # Two sites share a business number.
+        (key - key % 2).cast("string").alias("bzno"), F.when(key % 10 != 4, F.col("s_name")).alias("enp_nm"),
+        F.col("r_name").alias("sido"), F.col("n_name").alias("sigungu"),
+        (33 + F.col("s_nationkey") / 5).alias("lat"), F.when(key % 9 != 0, 126 + F.col("s_nationkey") % 4).alias("lot"),
+        F.col("s_name").alias("bzpl_nm"), F.concat(F.lit("I"), "s_nationkey").alias("bf_bzc_cd"),
+        F.lit(None).cast("double").alias("bsze_metr"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("lsze_metr"),
+        F.concat_ws(" ", "r_name", "n_name").alias("rdnm_addr"),
+        F.date_add(F.lit("2023-11-15").cast("date"), (key % 60).cast("int")).alias("registered_at"),
+    )

@@ -57,6 +57,52 @@ def test_nearest_skips_far_cells(spark):
     assert (row["neighbor_id"], round(row["distance"], 6)) == (2, 0.2)
 
 
+def groups_of_points(n, groups, dims, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims)) * 50
+    points = centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dims))
+    return [(f"m{i:05d}", 1, [float(x) for x in p]) for i, p in enumerate(points)]
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_nearest_compares_few_pairs_of_grouped_points(spark, exclude_self):
+    """Ids are texts; with the distance found at home few other cells stay open."""
+    rows = groups_of_points(4000, 40, 16)
+    df = spark.createDataFrame(rows, "id string, cluster int, vec array<double>")
+    counter = spark.sparkContext.accumulator(0)
+    found = neighbors.nearest_in_cluster(df, df, exclude_self=exclude_self, cell_points=50, counter=counter)
+    got = {r["id"]: (r["neighbor_id"], r["distance"]) for r in found.collect()}
+    points = np.array([v for _, _, v in rows])
+    d = np.sqrt(((points[:, None, :] - points[None, ::1, :]) ** 2).sum(-1))
+    if exclude_self:
+        np.fill_diagonal(d, np.inf)
+    for i, (name, _, _) in enumerate(rows):
+        assert got[name][0] == rows[int(d[i].argmin())][0] and got[name][1] == pytest.approx(d[i].min(), abs=1e-7)
+    assert 0 < counter.value < 0.1 * 4000 * 4000
+
+
+def test_pivots_have_a_bound(spark):
+    rows = groups_of_points(3000, 10, 4)
+    points = spark.createDataFrame(rows, "id string, cluster int, vec array<double>")
+    pivots = neighbors._pivots(points, cell_points=1, max_pivots=20)
+    assert 10 < len(pivots[1]) <= 40
+    many = points.withColumn("cluster", F.col("id"))
+    assert neighbors._pivots(many, cell_points=1, max_pivots=20) == {}
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_hashed_search_finds_nine_in_ten(spark, exclude_self):
+    rows = groups_of_points(3000, 30, 16, seed=6)
+    rows += [(f"c{i:03d}", 1, rows[0][2]) for i in range(300)]  # copies
+    df = spark.createDataFrame(rows, "id string, cluster int, vec array<double>")
+    counter = spark.sparkContext.accumulator(0)
+    exact = {r["id"]: r["distance"] for r in neighbors.nearest_in_cluster(df, df, exclude_self=exclude_self).collect()}
+    found = {r["id"]: r["distance"] for r in neighbors.hashed_in_cluster(df, df, exclude_self=exclude_self, counter=counter, block=500).collect()}
+    assert all(d >= exact[i] - 1e-9 for i, d in found.items())
+    assert sum(abs(found.get(i, np.inf) - d) < 1e-9 for i, d in exact.items()) >= 0.9 * len(exact)
+    assert counter.value < 12 * 3000 * 3000 / 5
+
+
 def test_codes_follow_sorted_order_and_unseen(spark):
     labels = ["b", "a", "c", "aa", "ab", "가", "나", None, "Zebra", "zebra", "a"]
     df = spark.createDataFrame([(x,) for x in labels], "x string")
@@ -84,6 +130,32 @@ def test_clusters_and_quality(spark):
     assert segments.longest_center_distance(df, model) == pytest.approx(((20.15) ** 2 + 400) ** 0.5, rel=1e-6)
 
 
+def test_fits_side_by_side_choose_as_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [([float(x) for x in p],) for p in rng.normal(size=(90, 2)) + rng.integers(0, 4, size=(90, 1)) * 8.0]
+    df = segments.with_vector(
+        spark.createDataFrame(rows, "v array<double>").select(F.col("v")[0].alias("a"), F.col("v")[1].alias("b")), ["a", "b"]
+    ).repartition(3).cache()
+    one, scores = segments.choose_k(df, range(2, 6), restarts=3, parallel=1)
+    many, again = segments.choose_k(df, range(2, 6), restarts=3, parallel=6)
+    assert [s.k for s in scores] == [s.k for s in again] and len(one.clusterCenters()) == len(many.clusterCenters())
+    assert np.allclose([s.silhouette for s in scores], [s.silhouette for s in again])
+    assert np.allclose(sorted(map(tuple, one.clusterCenters())), sorted(map(tuple, many.clusterCenters())))
+
+
+def test_area_under_the_curve_counts_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(y), float(s)) for y, s in zip(rng.integers(0, 2, 400), rng.integers(0, 40, 400))]
+    ones, zeros = ([s for y, s in rows if y == k] for k in (1, 0))
+    won = sum((a > b) + (a == b) / 2 for a in ones for b in zeros)
+    df = spark.createDataFrame([*rows, (None, 3.0), (1, None)], "y int, s double").repartition(9)
+    found = churn.roc_auc(df, "y", "s").first()
+    assert (found["positives"], found["negatives"]) == (len(ones), len(zeros))
+    assert found["roc_auc"] == pytest.approx(won / len(ones) / len(zeros), abs=1e-12)
+    assert churn.roc_auc(df.where("y = 1"), "y", "s").first()["roc_auc"] is None
+    assert churn.roc_auc(df.limit(0), "y", "s").first()["roc_auc"] is None
+
+
 def test_pca_is_centred(spark):
     columns = ", ".join(f"{c}_code int" for c in segments.CLASS_COLUMNS)
     df = spark.createDataFrame([(1, 0, 0, 0), (2, 1, 0, 0), (6, 5, 0, 0)], columns)
@@ -146,7 +218,7 @@ def test_model_round_trip(spark, tmp_path):
     churn.save_model(model, means, str(tmp_path / "m"))
     loaded, back = churn.load_model(spark, str(tmp_path / "m"))
     scored = churn.score(loaded, df)
-    assert churn.roc_auc(scored, "churn", "churn_prob") == 1.0
+    assert churn.roc_auc(scored, "churn", "churn_prob").first()["roc_auc"] == 1.0
     assert scored.where("churn <> churn_label").count() == 0 and back.count() == 2
     assert churn.importances(loaded, ["a", "b"])[1] == 0.0
     assert churn.grid_size() == 324
@@ -155,9 +227,12 @@ def test_model_round_trip(spark, tmp_path):
 
 
 def test_search_picks_a_model(spark):
-    df = spark.range(120).select((F.col("id") % 2).cast("int").alias("churn"), (F.col("id") % 2 + F.rand(1)).alias("a"))
-    model, score = churn.search_churn(df, features=["a"], grid={"maxDepth": [1, 2], "maxIter": [2]}, weights=[1.0], folds=2)
+    df = spark.range(120).select("id", (F.col("id") % 2).cast("int").alias("churn"), (F.col("id") % 2 + F.rand(1)).alias("a"))
+    options = {"features": ["a"], "grid": {"maxDepth": [1, 2], "maxIter": [2]}, "weights": [1.0, 3.0], "folds": 2, "key": "id"}
+    model, score = churn.search_churn(df, **options)
     assert 0.5 < score <= 1.0 and churn.score(model, df).count() == 120
+    again, serial = churn.search_churn(df, **options, parallel=1)
+    assert serial == score and again.stages[-1].getMaxDepth() == model.stages[-1].getMaxDepth()
 
 
 def test_importance_rank(spark):
