@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from retentia.catalog.registry import day_text, query, rounded, sql_day, sql_int, sql_round, whole
 from retentia.operators import contracts as C
 from retentia.operators import features as X
-from retentia.operators import keys, quality, sampling
+from retentia.operators import history, keys, quality, sampling
 from retentia.schemas import (
     COUNT_FEATURES,
     CSI_FEATURES,
@@ -20,6 +20,7 @@ from retentia.schemas import (
     WINDOWS,
     WORK_FEATURES,
 )
+from retentia.session import scratch_dir
 from retentia.sources import adapters as A
 
 AS_OF, CUTOFF = date(2001, 1, 1), date(1998, 1, 1)
@@ -289,6 +290,38 @@ def monthly_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.monthly_property(feature_table(spark, sf_dir)).select("ccod", *spark_features(MODEL_FEATURES))
 
 
+# Ends of the parts in which the history below arrives; the rows of every ninth day come a part late.
+PARTS = [date(1994, 1, 1), date(1997, 6, 1), date(2100, 1, 1)]
+
+
+def incremental_features(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The feature table from stored states, each made of the one before and the rows that are new."""
+    months = [date(2024, n, 1) for n in range(1, len(PARTS) + 1)]
+    for name, rows, at, measures, moments in (
+        ("work", A.work_orders(spark, sf_dir), "work_at", X.WORK, X.work_moments),
+        ("voc", A.interactions(spark, sf_dir), "event_at", X.INTERACTIONS, X.interaction_moments),
+    ):
+        due = F.lit(len(PARTS) - 1)
+        for n in reversed(range(len(PARTS))):
+            due = F.when(F.col(at) < F.lit(PARTS[n]), n).otherwise(due)
+        late = F.least(due + (F.dayofmonth(at) % 9 == 0).cast("int"), F.lit(len(PARTS) - 1))
+        for n, month in enumerate(months):
+            new = moments(rows.where(F.coalesce(late, F.lit(0)) == n))
+            history.advance_month(spark, f"{path}/{name}", months[n - 1] if n else None, month, new, measures)
+    work, voc = (history.State.load(spark, f"{path}/{name}", months[-1]) for name in ("work", "voc"))
+    base = A.load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ccod"))
+    return X.customer_features(
+        base, X.work_features_of(work.by_kind(X.WORK)), X.voc_features_of(voc.by_kind(X.INTERACTIONS))
+    )
+
+
+@query(f"{BASE_SQL} SELECT ccod, {sql_features(MODEL_FEATURES)} FROM features")
+def monthly_property_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored features when the history arrives in three parts, some rows late, and each run reads only its part."""
+    rows = incremental_features(spark, sf_dir, scratch_dir(spark, "history"))
+    return X.monthly_property(rows).select("ccod", *spark_features(MODEL_FEATURES))
+
+
 HEADER_SQL = """
 SELECT CAST(o_orderkey AS VARCHAR) AS work_no, CAST(o_custkey AS VARCHAR) AS ccod, count(l_orderkey) AS n_services,
        CAST(coalesce(sum(CASE WHEN l_returnflag = 'R' AND CAST(l_quantity AS INTEGER) % 10 <> 0 THEN l_quantity END), 0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.dates import parse_date, whole_days
 from retentia.functions.numbers import lenient_double, ratio, smooth_ratio
-from retentia.operators.groups import with_group_stats
+from retentia.operators import history
 from retentia.schemas import (
     COUNT_FEATURES,
     CSI_FEATURES,
@@ -25,6 +25,7 @@ from retentia.schemas import (
     WINDOWS,
     WORK_FEATURES,
 )
+from retentia.session import materialise
 
 
 def attach_children(works: DataFrame, services: DataFrame, surveys: DataFrame) -> DataFrame:
@@ -42,59 +43,49 @@ def attach_children(works: DataFrame, services: DataFrame, surveys: DataFrame) -
     )
 
 
-def work_history_totals(works: DataFrame) -> DataFrame:
-    """One row per customer with all window totals, before the rates.
+# What is summed of works and of interactions; scores of a work without a date don't count.
+WORK = history.Measures(
+    {
+        "work": "1", "confirmed": "CAST(confirmed AS INT)", "cancelled": "CAST(cancelled AS INT)",
+        "services": "n_services", "csi_sum": "csi_sum", "csi_count": "csi_count",
+    },
+    dated=("csi_sum", "csi_count"),
+)
+INTERACTIONS = history.Measures({"interactions": "1"})
+
+
+def work_moments(works: DataFrame) -> DataFrame:
+    """``works``: ccod, work_at, work_type, confirmed, cancelled, n_services, csi_sum, csi_count."""
+    return WORK.moments(works, F.col("work_type"), "work_at")
+
+
+def interaction_moments(interactions: DataFrame) -> DataFrame:
+    """``interactions``: ccod, event_type, event_at."""
+    return INTERACTIONS.moments(interactions, F.coalesce(F.col("event_type") == "VOC", F.lit(False)), "event_at")
 
-    ``works``: ccod, work_at, work_type, confirmed, cancelled, n_services,
-    csi_sum, csi_count.
-    """
-    dated = with_group_stats(
-        works, ["ccod"], _last=F.max("work_at")
-    ).withColumn("_age", whole_days(F.col("_last"), F.col("work_at")))
-
-    per_type = [
-        "count(1) AS work_count",
-        "count_if(confirmed) AS confirmed_work",
-        "count_if(cancelled) AS cancelled_work",
-        "sum(n_services) AS services",
-        "min(work_at) AS first_at",
-        "max(work_at) AS last_at",
-        "coalesce(sum(csi_sum) FILTER (WHERE work_at IS NOT NULL), 0) AS csi_sum",
-        "coalesce(sum(csi_count) FILTER (WHERE work_at IS NOT NULL), 0) AS csi_count",
-    ]
-    for d in WINDOWS:
-        # A row without a date has no age and is in no window.
-        inside = f"_age <= {d}"
-        per_type += [
-            f"count_if({inside}) AS work_last_{d}d",
-            f"count_if({inside} AND confirmed) AS confirmed_{d}d",
-            f"count_if({inside} AND cancelled) AS cancelled_{d}d",
-            f"coalesce(sum(n_services) FILTER (WHERE {inside}), 0) AS services_{d}d",
-            f"coalesce(sum(csi_sum) FILTER (WHERE {inside}), 0) AS csi_sum_{d}d",
-            f"coalesce(sum(csi_count) FILTER (WHERE {inside}), 0) AS csi_survey_count_{d}d",
-        ]
-    by_type = dated.groupBy("ccod", "work_type").agg(*[F.expr(e) for e in per_type])
 
+def work_totals(by_kind: DataFrame) -> DataFrame:
+    """One row per customer with all window totals, before the rates, from the rows per work type."""
     # One row per type is left, so a distinct count is a count of rows.
-    summed = [
-        "work_count", "confirmed_work", "cancelled_work", "services", "csi_sum", "csi_count",
-    ] + [
-        f"{stem}_{d}d"
-        for d in WINDOWS
-        for stem in ("work_last", "confirmed", "cancelled", "services", "csi_sum", "csi_survey_count")
-    ]
-    totals = [f"sum({c}) AS {c}" for c in summed] + [
-        "min(first_at) AS first_at",
-        "max(last_at) AS last_at",
-        "count_if(work_type <> '') AS unique_work_types",
-        *[f"count_if(work_type <> '' AND work_last_{d}d > 0) AS work_types_{d}d" for d in WINDOWS],
-    ]
-    return by_type.groupBy("ccod").agg(*[F.expr(e) for e in totals])
+    renamed = {"work": "work_count", "confirmed": "confirmed_work", "cancelled": "cancelled_work"}
+    renamed |= {f"work_{d}d": f"work_last_{d}d" for d in WINDOWS} | {f"csi_count_{d}d": f"csi_survey_count_{d}d" for d in WINDOWS}
+    sums = [c for n in WORK.sums for c in (n, *[f"{n}_{d}d" for d in WINDOWS])]
+    named = F.col("kind") != ""
+    return by_kind.groupBy("ccod").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(renamed.get(c, c)) for c in sums],
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.count_if(named).alias("unique_work_types"),
+        *[F.count_if(named & (F.col(f"work_{d}d") > 0)).alias(f"work_types_{d}d") for d in WINDOWS],
+    )
 
 
 def work_features(works: DataFrame) -> DataFrame:
-    """Work and survey features, 37 of them, one row per customer."""
-    t = work_history_totals(works)
+    """Work and survey features, 37 of them, one row per customer; the works are read once."""
+    return work_features_of(history.by_kind(materialise(work_moments(works), "works"), WORK))
+
+
+def work_features_of(by_kind: DataFrame) -> DataFrame:
+    """The work features from totals and windows per customer and work type."""
+    t = work_totals(by_kind)
     columns = {
         "work_span_days": F.coalesce(whole_days(F.col("last_at"), F.col("first_at")), F.lit(0)),
         "cancellation_rate": ratio(F.col("cancelled_work"), F.col("work_count")),
@@ -130,20 +121,19 @@ def interaction_date(*columns: str) -> Column:
 
 
 def voc_features(interactions: DataFrame) -> DataFrame:
-    """Interaction features, 16 of them, one row per customer.
+    """Interaction features, 16 of them, one row per customer; the interactions are read once."""
+    return voc_features_of(history.by_kind(materialise(interaction_moments(interactions), "interactions"), INTERACTIONS))
 
-    ``interactions``: ccod, event_type, event_at.
-    """
-    aged = with_group_stats(interactions, ["ccod"], _last=F.max("event_at")).withColumn(
-        "_age", whole_days(F.col("_last"), F.col("event_at"))
-    )
-    totals = ["count(1) AS num_interactions", "count_if(event_type = 'VOC') AS voc_count"]
+
+def voc_features_of(by_kind: DataFrame) -> DataFrame:
+    """The interaction features from totals and windows per customer and kind, which is whether it is a claim."""
+    def both(name: str, into: str, claims: str) -> list[Column]:
+        return [F.sum(name).alias(into), F.coalesce(F.sum(F.when(F.col("kind"), F.col(name))), F.lit(0)).alias(claims)]
+
+    counts = both("interactions", "num_interactions", "voc_count")
     for d in WINDOWS:
-        totals += [
-            f"count_if(_age <= {d}) AS interactions_{d}d",
-            f"count_if(_age <= {d} AND event_type = 'VOC') AS voc_{d}d",
-        ]
-    counted = aged.groupBy("ccod").agg(*[F.expr(e) for e in totals])
+        counts += both(f"interactions_{d}d", f"interactions_{d}d", f"voc_{d}d")
+    counted = by_kind.groupBy("ccod").agg(*counts)
     columns = {
         "non_voc_count": F.col("num_interactions") - F.col("voc_count"),
         "voc_ratio": ratio(F.col("voc_count"), F.col("num_interactions")),

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,7 +104,7 @@ def test_hot_customer_is_spread(spark, monkeypatch):
         F.lit(0).alias("csi_count"),
     )
     plain = X.work_features(rows).orderBy("ccod").collect()
-    monkeypatch.setattr(groups, "HOT_ROWS", 1000)
+    monkeypatch.setattr(groups, "HOT_ROWS", 100)
     split = X.work_features(rows)
     assert split.orderBy("ccod").collect() == plain
     assert "_salt" in split._jdf.queryExecution().toString()
@@ -145,3 +145,44 @@ def test_diverse_variant_and_weights(spark):
     assert explain.scoring_variant(df, "capped").select("confirmed_90d").agg(F.max("confirmed_90d")).first()[0] == 10
     with pytest.raises(ValueError):
         explain.scoring_variant(df, "other")
+
+
+def test_features_from_increments_equal_those_from_scratch(spark, tmp_path):
+    """Rows in any order of arrival, without dates, late within and beyond the windows."""
+    import random
+
+    from retentia.operators import history
+
+    chance = random.Random(9)
+    rows = []
+    for i in range(900):
+        at = None if i % 40 == 0 else LAST - timedelta(hours=chance.randint(0, 24 * 400))
+        rows.append(
+            (f"c{chance.randint(0, 25)}", at, chance.choice(["a", "b", "", None]), chance.random() < 0.5, chance.random() < 0.2,
+             chance.randint(0, 3), float(chance.randint(0, 9)), chance.randint(0, 1))
+        )
+    schema = "ccod string, work_at timestamp, work_type string, confirmed boolean, cancelled boolean, n_services long, csi_sum double, csi_count int"
+    whole = X.work_features(spark.createDataFrame(rows, schema)).orderBy("ccod").collect()
+    parts = [rows[i::4] for i in range(4)]
+    parts.sort(key=lambda p: min(str(r[1]) for r in p))
+    months = [date(2024, m, 1) for m in range(1, 5)]
+    for n, part in enumerate(parts):
+        for _ in range(2):  # a repeated run changes nothing
+            moments = X.work_moments(spark.createDataFrame(part, schema))
+            state = history.advance_month(spark, str(tmp_path), months[n - 1] if n else None, months[n], moments, X.WORK)
+    found = X.work_features_of(state.by_kind(X.WORK)).orderBy("ccod").collect()
+    assert len(found) == len(whole)
+    for a, b in zip(found, whole, strict=True):
+        assert a.ccod == b.ccod and all(x == pytest.approx(y, abs=1e-9) for x, y in zip(a[1:], b[1:], strict=True))
+    # Old moments are gone from what the next month reads.
+    assert state.recent.agg(F.min("at")).first()[0] >= LAST - timedelta(days=400 + 91)
+    assert 0 < state.recent.count() < len(rows)
+
+
+def test_history_is_scanned_once(spark, sf_dir):
+    from retentia.catalog.customers import feature_table
+    from retentia.sources import adapters as A
+
+    plan = X.work_moments(A.work_orders(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+    assert "lineitem.parquet" not in feature_table(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
