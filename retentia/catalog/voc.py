@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -555,12 +555,9 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_recontact_sql("rows"))
 def stream_recontact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def prepare(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return A.messages_of(batch), A.message_category_of(batch)
-
-    table = activity.maintain_recontacts(
-        _event_stream(spark, sf_dir), prepare, A.code_names(spark, sf_dir), scratch_dir(spark, "recontact"), TODAY,
-        F.lit(SECOND_LOAD).cast("timestamp"),
+    table, _ = activity.maintain_recontacts(
+        _event_stream(spark, sf_dir), A.customer_categories_of, A.code_names(spark, sf_dir), scratch_dir(spark, "recontact"),
+        F.lit(SECOND_LOAD).cast("timestamp"), since=TODAY - timedelta(days=recontact.LOOKBACK_DAYS),
     )
     return _shown(spark.read.parquet(table))
 

@@ -33,6 +33,18 @@ def claim_codes(messages: DataFrame, classified: DataFrame, since: date | None =
     )
 
 
+def claim_days(classified: DataFrame, since: date | None = None) -> DataFrame:
+    """One row per category code of a claim: ``ccod``, ``category_code``, ``aggregate_date``.
+
+    ``classified`` holds the customer and the codes in one row, so streams can use it too.
+    """
+    codes = F.filter(F.array(*CODE_COLUMNS), lambda c: c.isNotNull())
+    claims = classified.where("is_claim = 1")
+    if since is not None:
+        claims = claims.where(F.col("created_at") >= F.lit(since))
+    return claims.select("ccod", F.to_date("created_at").alias("aggregate_date"), F.explode(codes).alias("category_code"))
+
+
 def daily_counts(codes: DataFrame) -> DataFrame:
     return codes.groupBy("aggregate_date", "ccod", "category_code").agg(F.count(F.lit(1)).alias("daily"))
 

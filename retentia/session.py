@@ -28,6 +28,9 @@ RUNTIME_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Expression call sites cost a round trip per column of a wide table.
     "spark.sql.dataFrameQueryContext.enabled": "false",
+    # Keyed state of streams lives on disk, and a batch touches its own keys only.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # A pandas batch stays small even when rows carry vectors or long texts.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
 }

@@ -64,7 +64,7 @@ def merged(current: DataFrame, updates: DataFrame, keys: list[str], now: Column)
     )
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
+def exists(spark: SparkSession, pattern: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(system.globStatus(path))
@@ -76,14 +76,16 @@ def upsert(
     """Keyed merge into a table partitioned by a key column.
 
     Only the partitions present in ``updates`` are read and replaced.  The
-    merged partitions are first written to ``staging``, a folder of this batch
-    alone; the table is then overwritten from there, so a lost executor or a
-    repeated batch cannot leave a half-merged partition behind: a second run
-    finds the staged result and only repeats the last step.
+    updates are evaluated once, into ``staging``, a folder of this batch alone,
+    and so are the merged partitions; the table is then overwritten from there,
+    so a lost executor or a repeated batch cannot leave a half-merged partition
+    behind: a second run finds the staged result and only repeats the last step.
     """
-    spark = updates.sparkSession
-    if not _exists(spark, f"{staging}/_SUCCESS"):
-        if _exists(spark, f"{path}/{partition}=*"):
+    spark, merging = updates.sparkSession, f"{staging}/merged"
+    if not exists(spark, f"{merging}/_SUCCESS"):
+        reload(updates, f"{staging}/updates")
+        updates = spark.read.schema(updates.schema).parquet(f"{staging}/updates")
+        if exists(spark, f"{path}/{partition}=*"):
             # One value per touched partition, so the others are not even listed.
             touched = [r[0] for r in updates.select(partition).distinct().collect()]
             current = spark.read.parquet(path).where(F.col(partition).isin(touched))
@@ -91,6 +93,6 @@ def upsert(
         else:
             rows = updates.withColumn("created_at", now).withColumn("updated_at", now)
         # As many files per partition as its size asks for, also when all rows share one.
-        reload(rows.hint("rebalance", F.col(partition)), staging)
-    staged = spark.read.parquet(staging)
+        reload(rows.hint("rebalance", F.col(partition)), merging)
+    staged = spark.read.parquet(merging)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -6,18 +6,22 @@ whose batches replace themselves when they are repeated.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from retentia.functions.numbers import histogram_bin
 from retentia.operators import health, recontact
 from retentia.sources import sinks
 from retentia.streaming.ingest import event_time, keep_batch, run_available
 
-Prepare = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+EPOCH = date(1970, 1, 1)
 
 
 def hourly_counts(rows: DataFrame, time: str, category: str) -> DataFrame:
@@ -43,44 +47,92 @@ def total_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("hour", "category").agg(F.sum("n").alias("n"))
 
 
+def _partial_days(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts per key and day of each batch of rows, so that a very common key brings few rows to its task."""
+    keys = ["ccod", "category_code", "aggregate_date"]
+    for frame in frames:
+        yield frame.groupby(keys, dropna=False, as_index=False).size().rename(columns={"size": "n"})
+
+
+def recount(days: dict[int, int], touched: list[int], frame: str, lookback: int) -> list[tuple[int, ...]]:
+    """Measures of the days that a change to the ``touched`` ones can alter.
+
+    ``days`` are the active days of a key, as numbers, with their counts.  A day
+    counts itself and earlier active days within ``lookback``.
+    """
+    order = sorted(days)
+    upto = [0, *accumulate(days[d] for d in order)]
+    rows = []
+    for at in range(bisect_left(order, min(touched)), bisect_right(order, max(touched) + lookback)):
+        day = order[at]
+        oldest = bisect_left(order, day - lookback)
+        if frame == "rows":
+            firsts = [max(oldest, at - n) for n in recontact.FRAMES.values()]
+        else:
+            firsts = [max(oldest, bisect_left(order, day - n)) for n in recontact.FRAMES.values()]
+        rows.append((day, days[day] - 1, *[upto[at + 1] - upto[first] - 1 for first in firsts]))
+    return rows
+
+
+def _recounted(frame: str, lookback: int) -> Callable:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        days = dict(zip(*state.get, strict=True)) if state.exists else {}
+        touched = set()
+        for batch in frames:
+            for day, n in zip(batch["aggregate_date"], batch["n"], strict=True):
+                number = (day - EPOCH).days
+                touched.add(number)
+                days[number] = days.get(number, 0) + int(n)
+        if not touched:
+            return
+        order = sorted(days)
+        state.update((order, [days[d] for d in order]))
+        found = recount(days, sorted(touched), frame, lookback)
+        rows = pd.DataFrame(found, columns=["aggregate_date", *recontact.MEASURES])
+        rows["aggregate_date"] = [EPOCH + timedelta(days=int(d)) for d in rows["aggregate_date"]]
+        rows.insert(1, "ccod", key[0])
+        rows.insert(2, "category_code", key[1])
+        yield rows
+
+    return run
+
+
 def maintain_recontacts(
     rows: DataFrame,
-    prepare: Prepare,
+    prepare: Callable[[DataFrame], DataFrame],
     taxonomy: DataFrame,
     folder: str,
-    as_of: date,
     now: Column,
     frame: str = "rows",
     lookback: int = recontact.LOOKBACK_DAYS,
-) -> str:
-    """Keeps the re-contact table up to date and returns its path.
-
-    Every batch stores its claim codes, then recomputes the keys it touched
-    over the lookback and merges them.  Recomputing, rather than adding to
-    counters, gives the batch result whatever the order of arrival.
+    since: date | None = None,
+) -> tuple[str, list[dict]]:
+    """Keeps the re-contact table up to date; returns its path and the progress of the last batches.
+
+    ``prepare`` makes classified messages with their customer of the stream.
+    The state store holds the active days of every key; a batch reads the state
+    of its own keys, recounts the days it can alter and merges those.  The
+    lookback ends at each day, so it moves with the data.  Rows count however
+    late they come.  ``since`` leaves out older rows.
     """
-    spark = rows.sparkSession
-    codes_path, table = f"{folder}/codes", f"{folder}/activity"
-    since = as_of - timedelta(days=lookback)
+    if frame not in ("rows", "calendar"):
+        raise ValueError(f"frame must be 'rows' or 'calendar', not {frame!r}")
+    days = recontact.claim_days(prepare(rows), since).where("aggregate_date IS NOT NULL").select("ccod", "category_code", "aggregate_date")
+    keyed = days.mapInPandas(_partial_days, "ccod string, category_code string, aggregate_date date, n long")
+    measures = ", ".join(f"{m} long" for m in recontact.MEASURES)
+    changed = keyed.groupBy("ccod", "category_code").applyInPandasWithState(
+        _recounted(frame, lookback), f"aggregate_date date, ccod string, category_code string, {measures}",
+        "days array<int>, counts array<long>", "update", GroupStateTimeout.NoTimeout,
+    )
+    table = f"{folder}/activity"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        messages, classified = prepare(batch)
-        codes = recontact.claim_codes(messages, classified, since)
-        keep_batch(codes_path)(codes, batch_id)
-        # Later batches of an earlier, failed attempt must not be counted yet.
-        stored = spark.read.parquet(codes_path).where(
-            (F.col("batch_id") <= batch_id) & (F.col("aggregate_date") >= F.lit(since))
-        )
-        touched = stored.where(F.col("batch_id") == batch_id).select("ccod", "category_code").distinct()
-        mine = stored.join(touched, ["ccod", "category_code"], "left_semi")
-        counts = recontact.rolling_counts(recontact.daily_counts(mine), frame)
-        named = recontact.with_category_name(counts, taxonomy)
+        named = recontact.with_category_name(batch, taxonomy)
         sinks.upsert(
             named, table, f"{folder}/staging/{batch_id}", ["aggregate_date", "ccod", "category_code"], "aggregate_date", now
         )
 
-    run_available(rows, f"{folder}/checkpoint", handle)
-    return table
+    return table, run_available(changed, f"{folder}/checkpoint", handle, "update")
 
 
 def collect_confidence(

@@ -26,8 +26,8 @@ def event_time(rows: DataFrame, column: str, lateness: str) -> DataFrame:
 
 def run_available(
     rows: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
-) -> None:
-    """Processes everything there is, batch by batch, and returns."""
+) -> list[dict]:
+    """Processes everything there is, batch by batch, and returns the progress of the last batches."""
     running = (
         rows.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -36,6 +36,7 @@ def run_available(
         .start()
     )
     running.awaitTermination()
+    return [p for p in running.recentProgress if p["numInputRows"]]
 
 
 def keep_batch(path: str) -> Callable[[DataFrame, int], None]:
@@ -47,25 +48,11 @@ def keep_batch(path: str) -> Callable[[DataFrame, int], None]:
     return store
 
 
-def store_first_arrivals(rows: DataFrame, path: str, checkpoint: str, key: str = "rcno") -> None:
+def store_first_arrivals(rows: DataFrame, path: str, checkpoint: str, key: str = "rcno") -> list[dict]:
     """Stores the first arrival of every key, however late a repeat comes.
 
-    The stored table itself is the memory: a batch keeps what no earlier batch
-    has.  Of rows that share a key within a batch any one stays.
+    The keys seen are kept in the state store, which a batch asks for its own
+    keys; nothing stored is read again.  Of rows that share a key within a
+    batch any one stays.  Null is a key of its own.
     """
-    spark = rows.sparkSession
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates([key])
-        # A repeated batch must not meet its own first attempt.
-        known = spark.read.schema(batch.schema.add("batch_id", "long")).parquet(path).where(F.col("batch_id") < batch_id)
-        earlier = known.select(F.col(key).alias("_key"))
-        keep_batch(path)(new.join(earlier, F.col(key).eqNullSafe(F.col("_key")), "left_anti"), batch_id)
-
-    make_folder(spark, path)
-    run_available(rows, checkpoint, handle)
-
-
-def make_folder(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return run_available(rows.dropDuplicates([key]), checkpoint, keep_batch(path))

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import Window
@@ -178,10 +178,17 @@ def event_files(spark, sf_dir, tmp_path):
 def test_stream_recontact_equals_batch(spark, sf_dir, event_files, tmp_path):
     folder, events = event_files
     rows = ingest.read_files(spark, folder, events.schema, files_per_batch=1)
-    table = activity.maintain_recontacts(
-        rows, lambda b: (A.messages_of(b), A.message_category_of(b)), A.code_names(spark, sf_dir), str(tmp_path / "s"),
-        voc.TODAY, F.lit(datetime(2024, 2, 1)),
+    since = voc.TODAY - timedelta(days=recontact.LOOKBACK_DAYS)
+    table, progress = activity.maintain_recontacts(
+        rows, A.customer_categories_of, A.code_names(spark, sf_dir), str(tmp_path / "s"), F.lit(datetime(2024, 2, 1)), since=since
     )
+    # A batch touches the state of its own keys only.
+    files = sorted(progress, key=lambda p: p["batchId"])
+    keys = A.customer_categories_of(events)
+    all_keys = recontact.claim_days(keys, since).select("ccod", "category_code").distinct().count()
+    state = [p["stateOperators"][0] for p in files]
+    assert len(state) == 3 and all(0 < s["numRowsUpdated"] <= all_keys for s in state)
+    assert state[0]["numRowsUpdated"] == state[0]["numRowsTotal"] <= state[2]["numRowsTotal"] == all_keys
     expected = recontact.recontacts(
         A.messages(spark, sf_dir), A.message_category(spark, sf_dir), A.code_names(spark, sf_dir), voc.TODAY
     )
@@ -229,3 +236,48 @@ def test_restarted_stream_reads_nothing_twice(spark, event_files, tmp_path):
         rows = ingest.read_files(spark, folder, events.schema)
         ingest.run_available(rows.select("event_id"), str(tmp_path / "ck"), ingest.keep_batch(str(tmp_path / "o")))
     assert spark.read.parquet(str(tmp_path / "o")).count() == events.count()
+
+
+@pytest.mark.parametrize("frame", ["rows", "calendar"])
+def test_recount_equals_a_plain_version(frame):
+    import random
+
+    chance = random.Random(4)
+    for _ in range(300):
+        days = {d: chance.randint(1, 4) for d in chance.sample(range(120), chance.randint(1, 60))}
+        touched = chance.sample(sorted(days), chance.randint(1, min(3, len(days))))
+        found = {r[0]: r[1:] for r in activity.recount(days, touched, frame, 35)}
+        for day in days:
+            near = [d for d in sorted(days) if day - 35 <= d <= day]
+            spans = [near[-n - 1 :] if frame == "rows" else [d for d in near if d >= day - n] for n in recontact.FRAMES.values()]
+            wanted = (days[day] - 1, *[sum(days[d] for d in s) - 1 for s in spans])
+            if min(touched) <= day <= max(touched) + 35:
+                assert found[day] == wanted
+            else:
+                assert day not in found
+
+
+def test_state_batches_touch_their_keys_and_late_rows_count(spark, tmp_path):
+    """Three batches: most keys, then two late rows of one key, then a repeat of old receipts."""
+    schema = "ccod string, created_at timestamp, is_claim int, rcno string, " + ", ".join(f"{c} string" for c in recontact.CODE_COLUMNS)
+
+    def rows(pairs):
+        return spark.createDataFrame([(c, datetime(2024, 1, d), 1, f"{c}-{d}", "E", None, None, None, None) for c, d in pairs], schema)
+
+    batches = [[(f"c{i}", 20) for i in range(50)], [("c1", 1), ("c1", 19)], [("c1", 20), ("c2", 20), (None, 3)]]
+    folder = str(tmp_path / "in")
+    for batch in batches:
+        rows(batch).coalesce(1).write.mode("append").parquet(folder)
+    stream = ingest.read_files(spark, folder, rows(batches[0]).schema, files_per_batch=1)
+    names = spark.createDataFrame([("E", "error")], "voc_id string, name string")
+    table, progress = activity.maintain_recontacts(stream, lambda r: r, names, str(tmp_path / "s"), F.lit(datetime(2024, 2, 1)))
+    assert sorted(p["stateOperators"][0]["numRowsUpdated"] for p in progress) == [1, 3, 50]
+    everything = [x for b in batches for x in b]
+    days = recontact.claim_days(rows(everything))
+    wanted = recontact.rolling_counts(recontact.daily_counts(days))
+    columns = ["aggregate_date", "ccod", "category_code", *recontact.MEASURES]
+    got = spark.read.parquet(table).select(*columns)
+    assert got.count() == wanted.count() and got.exceptAll(wanted.select(*columns)).isEmpty()
+    seen = ingest.store_first_arrivals(stream, str(tmp_path / "r"), str(tmp_path / "rc"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == len(set(everything))
+    assert sorted(p["stateOperators"][0]["numRowsUpdated"] for p in seen) == [1, 2, 50]
