@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +12,13 @@ from retentia.functions import places
 from retentia.functions import text as T
 from retentia.functions.numbers import area_bucket
 from retentia.operators import health, matching, messages, quality, recontact, taxonomy
-from retentia.session import scratch_dir
+from retentia.operators.groups import numbered_within
+from retentia.plans import hourly
+from retentia.session import materialise, scratch_dir
 from retentia.sources import adapters as A
 from retentia.sources import sinks
+from retentia.sources.ledger import BatchLedger
+from retentia.sources.readers import between
 from retentia.streaming import activity, ingest
 
 TODAY = date(2024, 1, 30)
@@ -406,12 +410,12 @@ def area_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MATCH_SQL = """
-WITH vals AS (SELECT DISTINCT trim(p_name) AS v FROM part),
-d1 AS (SELECT entry, row_number() OVER (ORDER BY entry) AS ord, 'A:' || entry AS label FROM (
-         SELECT DISTINCT p_name || ' ' || p_type AS entry FROM part WHERE p_size = 1 AND p_type = 'PROMO'
-         UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE p_name LIKE 'r%')),
+WITH named AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' ' || p_brand END AS v FROM part),
+vals AS (SELECT DISTINCT v FROM named),
+d1 AS (SELECT entry, row_number() OVER (ORDER BY entry) AS ord, 'A:' || entry AS label FROM (SELECT DISTINCT p_name || ' ' || p_type AS entry FROM part)),
 d2 AS (SELECT entry, row_number() OVER (ORDER BY entry) AS ord, 'B:' || entry AS label FROM (
-         SELECT DISTINCT split_part(p_name, ' ', 1) AS entry FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size = 50)),
+         SELECT split_part(p_name, ' ', 1) AS entry FROM part UNION SELECT split_part(p_name, ' ', 2) FROM part UNION SELECT p_brand FROM part
+         UNION SELECT p_name || ' ' || p_brand FROM part WHERE p_partkey % 10 = 1)),
 s1 AS (SELECT v, label, ord, CASE WHEN contains(v, entry) AND length(entry) >= 2 THEN length(entry)
               WHEN length(v) >= 4 AND contains(entry, v) THEN length(v) END AS score FROM vals, d1),
 s2 AS (SELECT v, label, ord, CASE WHEN contains(v, entry) AND length(entry) >= 2 THEN length(entry)
@@ -419,31 +423,28 @@ s2 AS (SELECT v, label, ord, CASE WHEN contains(v, entry) AND length(entry) >= 2
 b1 AS (SELECT v, label FROM s1 WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY v ORDER BY score DESC, ord) = 1),
 b2 AS (SELECT v, label FROM s2 WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY v ORDER BY score DESC, ord) = 1)
 SELECT p_partkey, coalesce(e1.label, e2.label, b1.label, b2.label) AS label
-FROM part LEFT JOIN d1 e1 ON e1.entry = trim(p_name) LEFT JOIN d2 e2 ON e2.entry = trim(p_name)
-     LEFT JOIN b1 ON b1.v = trim(p_name) LEFT JOIN b2 ON b2.v = trim(p_name)
+FROM named LEFT JOIN d1 e1 ON e1.entry = v LEFT JOIN d2 e2 ON e2.entry = v LEFT JOIN b1 USING (v) LEFT JOIN b2 USING (v)
 """
 
 
 def _dictionary(entries: DataFrame, mark: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # A dictionary of names: small enough to be numbered in one task.
-    return entries.distinct().select(
-        F.row_number().over(Window.orderBy("entry")).alias("ord"), "entry", F.concat(F.lit(mark), "entry").alias("label")
-    )
+    """Entries numbered in their order, by many tasks."""
+    numbered = numbered_within(entries.distinct().withColumn("all", F.lit(1)), "all", "entry", "ord")
+    return numbered.select("ord", "entry", F.concat(F.lit(mark), "entry").alias("label"))
 
 
 @query(MATCH_SQL)
 def longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all parts, every other one with its brand, against all names with types, then all words, brands and some whole names."""
     part = A.load(spark, sf_dir, "part")
+    branded = F.concat_ws(" ", "p_name", "p_brand")
     word = [F.split("p_name", " ")[i].alias("entry") for i in (0, 1)]
-    first = part.where("p_size = 1 AND p_type = 'PROMO'").select(F.concat_ws(" ", "p_name", "p_type").alias("entry")).unionByName(
-        part.where("p_name LIKE 'r%'").select(word[1])
-    )
-    second = part.select(word[0]).unionByName(part.where("p_size = 50").select(F.col("p_name").alias("entry")))
-    matched = matching.longest_match(
-        part.select("p_partkey", "p_name"), "p_name", _dictionary(first, "A:"), _dictionary(second, "B:")
-    )
+    second = part.select(word[0]).unionByName(part.select(word[1])).unionByName(part.select(F.col("p_brand").alias("entry")))
+    # Exact matches of the second dictionary come before partial ones of the first.
+    second = second.unionByName(part.where("p_partkey % 10 = 1").select(branded.alias("entry")))
+    names = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(branded).alias("name"))
+    first = part.select(F.concat_ws(" ", "p_name", "p_type").alias("entry"))
+    matched = matching.longest_match(names, "name", _dictionary(first, "A:"), _dictionary(second, "B:"))
     return matched.select("p_partkey", "label")
 
 
@@ -533,6 +534,45 @@ def latest_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.latest_health(daily).select(day_text("checked_at"), "rate")
 
 
+# --- the hourly run ----------------------------------------------------------
+
+RUN_DAYS = [date(2024, 1, 10), date(2024, 1, 20), date(2024, 1, 30)]
+
+
+def hourly_batches(spark: SparkSession, sf_dir: str, folder: str) -> BatchLedger:
+    """The events in three batches, each up to the end of a day; the first is run twice."""
+    ledger, events = BatchLedger(spark, folder), A.load(spark, sf_dir, "events")
+    names = materialise(A.code_names(spark, sf_dir), "names")
+    starts = [datetime(2000, 1, 1), *[datetime.combine(d + timedelta(days=1), time()) for d in RUN_DAYS]]
+
+    def classifier(messages: DataFrame) -> DataFrame:
+        mine = events.join(messages.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+        return A.message_category_of(mine)
+
+    for batch in (0, 0, 1, 2):
+        received = A.messages_of(events.where(between("ts", starts[batch], starts[batch + 1])))
+        hourly.run(ledger, batch, received, classifier, names, starts[batch + 1] - timedelta(seconds=1))
+    return ledger
+
+
+@query(_recontact_sql("rows", "WHERE aggregate_date IN (DATE '2024-01-10', DATE '2024-01-20', DATE '2024-01-30')"))
+def hourly_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest, classification and refresh as committed batches: the activity table afterwards."""
+    ledger = hourly_batches(spark, sf_dir, scratch_dir(spark, "hourly-run"))
+    return _shown(ledger.latest(hourly.ACTIVITY, ["aggregate_date", "ccod", "category_code"]))
+
+
+@query(
+    """WITH e AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch
+       FROM events WHERE ts < TIMESTAMP '2024-01-31')
+    SELECT CAST(batch AS BIGINT) AS batch, count(*) AS rows, count(*) AS classified, count_if(value >= 20) AS claims FROM e GROUP BY batch"""
+)
+def hourly_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch counted while it wrote."""
+    runs = hourly_batches(spark, sf_dir, scratch_dir(spark, "hourly-run")).read(hourly.RUNS)
+    return runs.select(*whole("batch", "rows", "classified", "claims"))
+
+
 # --- streams -----------------------------------------------------------------
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.numbers import round_even
-from retentia.functions.text import lookup
 from retentia.operators.groups import one_row
 from retentia.schemas import GRANULAR_FEATURES, MODEL_FEATURES, WINDOWS
 
@@ -172,23 +171,25 @@ def impact_label(contribution: Column) -> Column:
 def wide_explanation(
     explained: DataFrame, normal_means: dict[str, float], churn_means: dict[str, float], k: int = TOP
 ) -> list[Column]:
-    """Six columns per explained feature."""
+    """Six columns per explained feature; each table of names or means is one literal, built once."""
 
-    def mean_of(means: dict[str, float], feature: Column) -> Column:
-        known = {f: m for f, m in means.items() if m is not None}
-        if not known:
-            return F.lit(0.0)
-        pairs = [F.lit(x) for item in known.items() for x in item]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), feature), F.lit(0.0))
+    def table(values: dict[str, float | None]) -> Column | None:
+        known = [f"'{f}', {float(m)!r}D" for f, m in values.items() if m is not None]
+        return F.expr(f"map({', '.join(known)})") if known else None
 
+    def mean_of(means: Column | None, feature: Column) -> Column:
+        return F.lit(0.0) if means is None else F.coalesce(F.try_element_at(means, feature), F.lit(0.0))
+
+    names = F.expr("map(" + ", ".join(f"'{f}', '{n}'" for f, n in DISPLAY_NAMES.items()) + ")")
+    normal, churned = table(normal_means), table(churn_means)
     columns = []
     for n in range(1, k + 1):
         t = F.get("top", F.lit(n - 1))
         columns += [
-            F.coalesce(lookup(DISPLAY_NAMES, t["feature"]), t["feature"]).alias(f"feature_{n}_kor"),
+            F.coalesce(F.try_element_at(names, t["feature"]), t["feature"]).alias(f"feature_{n}_kor"),
             round_even(t["value"], 4).alias(f"feature_{n}_value"),
-            round_even(mean_of(normal_means, t["feature"]), 4).alias(f"feature_{n}_normal_average"),
-            round_even(mean_of(churn_means, t["feature"]), 4).alias(f"feature_{n}_churn_average"),
+            round_even(mean_of(normal, t["feature"]), 4).alias(f"feature_{n}_normal_average"),
+            round_even(mean_of(churned, t["feature"]), 4).alias(f"feature_{n}_churn_average"),
             round_even(t["contribution"], 4).alias(f"feature_{n}_contrib"),
             F.when(t["feature"].isNotNull(), impact_label(t["contribution"])).alias(f"feature_{n}_contrib_label"),
         ]

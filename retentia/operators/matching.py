@@ -135,35 +135,48 @@ def best_term(messages: DataFrame, terms: DataFrame, threshold: float = MIN_SIMI
     return messages.select("id").join(best, "id", "left")
 
 
-def pieces(text: Column, lengths: list[int]) -> Column:
-    """Distinct substrings of the given lengths."""
-    def of_length(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+def pieces(text: Column, length: int) -> Column:
+    """Distinct substrings of one length; as many as the text has characters at most."""
+    starts = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(length))))
 
-    return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))
+
+def contained(needles: DataFrame, texts: DataFrame, least: int, seed: int) -> DataFrame:
+    """All pairs ``needle``, ``text`` of which the first, of ``least`` characters or more, is a substring of the second.
+
+    Search by seed and verify: of the pieces of ``seed`` characters of a needle
+    the one that the fewest texts have is its seed (a shorter needle is its own).
+    Texts are cut into pieces, one per character and length, and meet the
+    needles with an equal seed; ``contains`` decides.  A needle with a piece
+    that no text has meets none.  Both sides are distinct.
+    """
+    sizes = range(min(least, seed), seed + 1)
+    cut = texts.select("text", F.explode(F.concat(*[pieces(F.col("text"), n) for n in sizes])).alias("piece"))
+    long = F.length("needle") >= seed
+    own = needles.where(F.length("needle") >= least).select(
+        "needle", F.explode(F.when(long, pieces(F.col("needle"), seed)).otherwise(F.array("needle"))).alias("piece")
+    )
+    had = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    counted = own.join(had, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    seeds = counted.groupBy("needle").agg(F.min("n").alias("n"), F.min_by("piece", F.struct("n", "piece")).alias("piece")).where("n > 0")
+    met = cut.join(materialise(seeds.select("needle", "piece"), "seeds"), "piece")
+    return met.where(F.contains("text", F.col("needle"))).select("needle", "text")
 
 
 MIN_ENTRY, MIN_VALUE = 2, 4
+SEED = 4
 
 
 def _best_partial(values: DataFrame, entries: DataFrame) -> DataFrame:
-    lengths = sorted(r[0] for r in entries.select(F.length("entry")).distinct().collect() if r[0])
-    hits = None
-    usable = [n for n in lengths if n >= MIN_ENTRY]
-    if usable:
-        inside = values.select("value", F.explode(pieces(F.col("value"), usable)).alias("entry"))
-        hits = inside.join(entries, "entry").select("value", F.length("entry").alias("score"), "ord", "label")
-    if lengths and lengths[-1] >= MIN_VALUE:
-        spans = list(range(MIN_VALUE, lengths[-1] + 1))
-        around = entries.where(F.length("entry") >= MIN_VALUE).select(
-            F.explode(pieces(F.col("entry"), spans)).alias("value"), "ord", "label"
-        )
-        outside = values.join(around, "value").select("value", F.length("value").alias("score"), "ord", "label")
-        hits = outside if hits is None else hits.unionByName(outside)
-    if hits is None:
-        return values.limit(0).select("value", F.lit(None).cast("string").alias("label"))
-    return hits.groupBy("value").agg(F.max_by("label", F.struct("score", -F.col("ord"))).alias("label"))
+    distinct = entries.select("entry").where(F.col("entry").isNotNull()).distinct()
+    inside = contained(distinct.select(F.col("entry").alias("needle")), values.select(F.col("value").alias("text")), MIN_ENTRY, SEED)
+    around = contained(values.select(F.col("value").alias("needle")), distinct.select(F.col("entry").alias("text")), MIN_VALUE, SEED)
+    hits = inside.select(F.col("text").alias("value"), F.col("needle").alias("entry")).unionByName(
+        around.select(F.col("needle").alias("value"), F.col("text").alias("entry"))
+    )
+    # The shorter of the two is inside the other.
+    scored = hits.join(entries, "entry").withColumn("score", F.least(F.length("entry"), F.length("value")))
+    return scored.groupBy("value").agg(F.max_by("label", F.struct("score", -F.col("ord"))).alias("label"))
 
 
 def longest_match(rows: DataFrame, column: str, first: DataFrame, second: DataFrame, into: str = "label") -> DataFrame:

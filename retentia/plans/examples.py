@@ -21,9 +21,11 @@ def training_examples(rows: DataFrame, instruction: str, held_out: float = 0.1,
     rendered = rows.select(
         prompt(F.col("input_text"), F.col("category_dict"), instruction, F.col("response"), training=True).alias("text")
     )
-    distinct = rendered.groupBy("text").agg(F.count(F.lit(1)).alias("_rows")).withColumn("all", F.lit(0))
-    marked = stratified_split(distinct, "text", "all", held_out, seed).drop("all")
-    return join_back(rendered, materialise(marked, "split"), ["text"])
+    # Prompts are long; a digest of 256 bits stands for them wherever rows are grouped or joined.
+    keyed = rendered.withColumn("_key", F.sha2("text", 256))
+    distinct = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).withColumn("all", F.lit(0))
+    marked = stratified_split(distinct, "_key", "all", held_out, seed).drop("all")
+    return join_back(keyed, materialise(marked, "split"), ["_key"]).drop("_key")
 
 
 def write_examples(examples: DataFrame, folder: str) -> None:

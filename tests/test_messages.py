@@ -264,3 +264,27 @@ def test_rates_and_health_row(spark):
     assert (row["unknown_rate"], row["correction_rate"], row["confidence_drift"]) == (0.25, 0.25, 0.0)
     empty = health.answer_rates(df.limit(0), datetime(2024, 3, 1)).first()
     assert tuple(empty) == (0.0, 0.0)
+
+
+def test_contained_finds_all_pairs_and_stays_small(spark):
+    import random
+
+    chance = random.Random(2)
+    texts = sorted({"".join(chance.choices("abcd ", k=chance.randint(1, 30))) for _ in range(150)} | {"한식당 가나다", "가나", "", "x" * 5000})
+    needles = sorted({t[a : a + n] for t in texts[:80] for a in (0, 1, 3) for n in (1, 2, 3, 5, 9)} | {"zz", "가나", "xxxx"})
+    rows = matching.contained(
+        spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(t,) for t in texts], "text string"), 2, 4
+    )
+    found = sorted((r["needle"], r["text"]) for r in rows.collect())
+    assert found == sorted((n, t) for n in needles for t in texts if len(n) >= 2 and n in t)
+    # A long entry is cut into as many pieces as it has characters, not into all its substrings.
+    long = "".join(chance.choices("abcdefgh", k=3000))
+    assert spark.range(1).select(F.size(matching.pieces(F.lit(long), 4))).first()[0] <= 3000
+
+
+def test_longest_match_of_long_entries(spark):
+    first = spark.createDataFrame([(1, "alpha beta gamma " * 40, "long"), (2, "beta", "short")], "ord int, entry string, label string")
+    second = spark.createDataFrame([(1, "delta", "d"), (2, "elt", "e")], "ord int, entry string, label string")
+    rows = spark.createDataFrame([("gamma alpha",), ("a delta",), ("beta x",), ("zzz",), ("",), (None,)], "v string")
+    got = {r["v"]: r["label"] for r in matching.longest_match(rows, "v", first, second).collect()}
+    assert got == {"gamma alpha": "long", "a delta": "d", "beta x": "short", "zzz": None, "": None, None: None}
