@@ -143,11 +143,11 @@ pfeat AS (
 def recommend_prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prospects of the month, ingested twice: the second run adds none; complete ones that aren't customers are scored."""
     version, path = published_model(spark, sf_dir), scratch_dir(spark, "prospects")
+    scan = A.prospect_scan(spark, sf_dir)
     for _ in range(2):
-        run.ingest_prospects(A.prospect_scan(spark, sf_dir), path, MONTH, SINCE)
-    rows = run.recommend_prospects(
-        version, spark.read.parquet(path), A.segment_customers(spark, sf_dir).select("biz_no"), A.industries(spark, sf_dir), MONTH
-    )
+        run.ingest_prospects(scan, path, MONTH, SINCE)
+    stored, customers = run.stored_prospects(scan, path), A.segment_customers(spark, sf_dir).select("biz_no")
+    rows = run.recommend_prospects(version, stored, customers, A.industries(spark, sf_dir), MONTH)
     return _shown(rows, ["bzno", "enp_nm", "kedcd", "bzpl_cd", "bzpl_seq"])
 
 

@@ -156,6 +156,14 @@ def ingest_prospects(scan: DataFrame, path: str, month: date, since: date) -> in
     return count
 
 
+def stored_prospects(scan: DataFrame, path: str) -> DataFrame:
+    """The stored table; one without rows if nothing was stored yet.  ``scan`` has its columns."""
+    spark = scan.sparkSession
+    if sinks.exists(spark, path):
+        return spark.read.parquet(path)
+    return scan.limit(0).withColumn("snapshot_month", F.lit(None).cast("date")).select(*PROSPECT_COLUMNS)
+
+
 def recommend_prospects(version: Version, prospects: DataFrame, customers: DataFrame, industries: DataFrame, month: date) -> DataFrame:
     """Recommendations of complete prospects that aren't customers, by business number.
 

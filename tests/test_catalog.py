@@ -9,7 +9,10 @@ import __spark_entry__ as entry
 from retentia import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
-NO_SQL = {"pca_2d", "kmeans_segments", "cluster_count_choice", "churn_gbt", "churn_eval", "classified_messages"}
+NO_SQL = {
+    "pca_2d", "kmeans_segments", "cluster_count_choice", "churn_gbt", "churn_eval", "classified_messages", "segment_model_fit",
+    "nearest_by_hash",
+}
 
 
 def test_catalogue_is_consistent(spark):
@@ -36,3 +39,7 @@ def test_query_without_sql_gives_rows(spark, sf_dir, name):
         assert frame["churn_prob"].between(0, 1).all() and len(frame) == 150
     if "similarity" in frame:
         assert frame["similarity"].between(0, 1).all()
+    if name == "nearest_by_hash":
+        exact = QUERIES["nearest_in_cluster"](spark, sf_dir).toPandas().set_index("id")["distance"]
+        found = frame.set_index("id")["distance"].reindex(exact.index)
+        assert (found.fillna(9.9) >= exact - 1e-6).all() and ((found - exact).abs() < 1e-6).mean() >= 0.9
