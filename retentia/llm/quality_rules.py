@@ -38,7 +38,8 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
     ``docs`` the raw one.  Counts start at one.
     """
     ids = trusted.select(F.col(doc_id).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(ids, F.col("_id") == F.col("_trusted"), "left")
+    # Texts move once at every size, whether or not the ids would fit a broadcast.
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(ids.hint("merge"), F.col("_id") == F.col("_trusted"), "left")
     found = rows.select(F.col("_trusted").isNotNull().cast("long").alias("good"), F.explode(let(words(F.col("_text")), lambda w: features(w, buckets))).alias("bucket"))
     counts = found.groupBy("bucket").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("raw"))
     counts = materialise(counts, "buckets")
