@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +21,7 @@ from retentia.functions.numbers import (
     lenient_double,
 )
 from retentia.operators.groups import numbered_within, one_row
+from retentia.operators.kmeans import Clusters, fit_all
 from retentia.operators.selection import PARALLEL, concurrently, kept
 
 CLASS_COLUMNS = ["class_major", "class_mid", "class_minor", "class_detail"]
@@ -106,29 +107,19 @@ def with_vector(rows: DataFrame, columns: list[str], into: str = "features") ->
     return VectorAssembler(inputCols=columns, outputCol=into).transform(rows)
 
 
-def _fit_all(rows: DataFrame, settings: list[tuple[int, int]], iterations: int, parallel: int) -> list[KMeansModel]:
-    """One model per number of clusters and seed, fitted as concurrent jobs."""
-    def task(k: int, seed: int):
-        return lambda: KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-
-    return concurrently(rows.sparkSession, [task(*s) for s in settings], parallel)
-
-
-def _cheapest(models: list[KMeansModel]) -> KMeansModel:
+def _cheapest(models: list[Clusters]) -> Clusters:
     """The lowest cost; the first of equal ones."""
-    return min(models, key=lambda m: m.summary.trainingCost)
+    return min(models, key=lambda m: m.cost)
 
 
 def fit_clusters(
-    rows: DataFrame, k: int = 10, restarts: int = 10, iterations: int = 300, seed: int = 42, parallel: int = PARALLEL
-) -> KMeansModel:
-    """K-means with the lowest cost of several starts, which run at the same time.
+    rows: DataFrame, k: int = 10, restarts: int = 10, iterations: int = 300, seed: int = 42
+) -> Clusters:
+    """K-means with the lowest cost of several starts, which take their steps together.
 
-    ``rows`` holds the vector column ``features``; give a materialised table,
-    which is kept on the executors meanwhile.
+    ``rows`` holds the vector column ``features``; give a materialised table.
     """
-    with kept(rows.select("features")) as vectors:
-        return _cheapest(_fit_all(vectors, [(k, seed + i) for i in range(restarts)], iterations, parallel))
+    return _cheapest(fit_all(rows, [(k, seed + i) for i in range(restarts)], iterations))
 
 
 @dataclass(frozen=True)
@@ -139,13 +130,11 @@ class ClusterQuality:
     davies_bouldin: float
 
 
-def davies_bouldin(assigned: DataFrame, model: KMeansModel) -> float:
+def davies_bouldin(assigned: DataFrame, model: Clusters) -> float:
     """Mean over clusters of the worst (spread_i + spread_j) / centre distance.
 
     Spread comes from one grouped pass; the rest is k x k arithmetic.
     """
-    import numpy as np
-
     centers = np.array([c.tolist() for c in model.clusterCenters()])
     spread_rows = (
         assigned.select("cluster", center_distance(F.col("features"), F.col("cluster"), model).alias("d"))
@@ -161,39 +150,39 @@ def davies_bouldin(assigned: DataFrame, model: KMeansModel) -> float:
     return float(np.mean(worst))
 
 
-def cluster_quality(rows: DataFrame, model: KMeansModel) -> ClusterQuality:
+def cluster_quality(rows: DataFrame, model: Clusters) -> ClusterQuality:
     assigned = model.transform(rows)
     silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
     return ClusterQuality(
-        len(model.clusterCenters()), model.summary.trainingCost, silhouette, davies_bouldin(assigned, model)
+        len(model.clusterCenters()), model.cost, silhouette, davies_bouldin(assigned, model)
     )
 
 
 def choose_k(
     rows: DataFrame, ks: range = range(2, 21), restarts: int = 10, iterations: int = 300, seed: int = 42, parallel: int = PARALLEL
-) -> tuple[KMeansModel, list[ClusterQuality]]:
+) -> tuple[Clusters, list[ClusterQuality]]:
     """The model with the best silhouette, and the scores of all.
 
-    All starts of all numbers of clusters run side by side over one kept
-    table; the winner is that of fitting them one after the other.
+    All starts of all numbers of clusters take their steps together over one
+    kept table; the winner is that of fitting them one after the other.
     """
-    with kept(rows.select("features")) as vectors:
-        fitted = _fit_all(vectors, [(k, seed + i) for k in ks for i in range(restarts)], iterations, parallel)
+    with kept(rows.select("features").repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)) as vectors:
+        fitted = fit_all(vectors, [(k, seed + i) for k in ks for i in range(restarts)], iterations)
         models = [_cheapest(fitted[at : at + restarts]) for at in range(0, len(fitted), restarts)]
         scores = concurrently(rows.sparkSession, [lambda m=m: cluster_quality(vectors, m) for m in models], parallel)
     best = max(range(len(scores)), key=lambda i: scores[i].silhouette)
     return models[best], scores
 
 
-def _centers(model: KMeansModel) -> Column:
+def _centers(model: Clusters) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
 
 
-def center_distance(features: Column, cluster: Column, model: KMeansModel) -> Column:
+def center_distance(features: Column, cluster: Column, model: Clusters) -> Column:
     return distance(vector_to_array(features), F.get(_centers(model), cluster))
 
 
-def longest_center_distance(rows: DataFrame, model: KMeansModel) -> float:
+def longest_center_distance(rows: DataFrame, model: Clusters) -> float:
     """Largest distance between any training row and any centre."""
     vector = vector_to_array(F.col("features"))
     farthest = F.array_max(F.transform(_centers(model), lambda c: distance(vector, c)))

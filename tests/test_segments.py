@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from retentia.operators import churn, neighbors, profile, recommend, sampling, segments
+from retentia.operators import churn, kmeans, neighbors, profile, recommend, sampling, segments
 
 
 def brute(queries, members, exclude_self):
@@ -258,3 +258,29 @@ def test_monthly_run_end_to_end(spark, sf_dir, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/churn_prediction").count() == rows.count()
     with pytest.raises(ValueError):
         keys.require_same_keys(predictions, rows.limit(3))
+
+
+def test_many_fits_share_their_passes(spark):
+    """Jobs are as many as the slowest fit's steps, not the sum over the fits; every fit is at a fixed point of Lloyd."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(300, 3)) + rng.integers(0, 5, size=(300, 1)) * 4.0
+    df = segments.with_vector(spark.createDataFrame(points.tolist(), "a double, b double, c double"), ["a", "b", "c"])
+    settings = [(k, seed) for k in (2, 3, 5) for seed in range(10)]
+    sc = spark.sparkContext
+    sc.setJobGroup("fits", "k-means fits")
+    models = kmeans.fit_all(df, settings, 100)
+    sc.setJobGroup("rest", "")
+    assert len(sc.statusTracker().getJobIdsForGroup("fits")) < 200
+    for (k, _), model in zip(settings, models, strict=True):
+        centers = np.array(model.clusterCenters())
+        apart = ((points[:, None] - centers) ** 2).sum(-1)
+        label = apart.argmin(1)
+        assert len(centers) == k and model.cost == pytest.approx(apart.min(1).sum(), rel=1e-3)
+        assert np.allclose(centers, [points[label == j].mean(0) for j in range(k)], atol=1e-3)
+        assert [r["cluster"] for r in model.transform(df).collect()] == label.tolist()
+
+
+def test_fits_of_few_distinct_rows(spark):
+    df = segments.with_vector(spark.createDataFrame([(1.0, 2.0)] * 5 + [(3.0, 4.0)] * 5, "a double, b double"), ["a", "b"])
+    model = segments.fit_clusters(df, k=4, restarts=2)
+    assert sorted(map(tuple, model.clusterCenters())) == [(1.0, 2.0), (3.0, 4.0)] and model.cost == pytest.approx(0.0, abs=1e-9)
