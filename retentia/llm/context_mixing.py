@@ -8,9 +8,12 @@ mixed probability by node and size from what really followed.  Bits add up to
 the text's total, and to bits per byte.  (Mahoney's "lpaq" family, with the
 tables fixed while scoring, so that texts are independent of each other.)
 
-Counts cover every training text.  Only the few thousand weights and the
-refining table are learnt on a bounded sample of passages; there each passage's
-own counts are taken out first.
+Counts, weights and the refining table cover every training text.  The first
+pass also writes the distinct runs of six bytes and how often they came; two
+short passes over those learn the weights, each task online through its own
+runs, and count what followed each mixed prediction.  Weights of the tasks are
+averaged by the evidence they had at each node.  A run's own occurrence is
+taken out of the counts that predict it.
 
 What a byte costs depends on itself and the five before it.  Texts repeat such
 runs all the time, so a task sorts and counts runs before it touches tables,
@@ -41,7 +44,9 @@ PAD = len(SLOTS)
 BLOCK = 1 << 18
 CHUNK = 1 << 19
 COSTS = 1 << 19  # runs whose cost a worker keeps
-PASSAGES, PASSAGE = 200, 4096
+RUNS = 1 << 17  # distinct runs that are learnt from at once
+HELD = 1 << 19  # distinct runs that a task holds before it sends them
+FIXED = 1 << 16  # steps of one in a sum of weights, which is exact in any order
 PRIOR = 0.4
 SCALE = 900  # steps of one unit of log odds; five contexts of +-6500 fit 16 bits
 MOST = 6500
@@ -185,72 +190,135 @@ def _chunks(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def count_into(table: np.ndarray, texts: list[bytes]) -> None:
-    """Adds what follows each context of the texts to the flat table of all contexts."""
+def distinct_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that end at the coded bytes of the texts, in order, and how often each comes."""
     data, starts, ends = joined(texts)
     run = np.sort(runs(data).take(_coded(starts, ends)))
     first = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
-    times, run = np.diff(np.append(first, len(run))).astype(table.dtype), run.take(first)
-    symbol = (run & np.uint64(255)).astype(np.int64)
+    return run.take(first), np.diff(np.append(first, len(run)))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of several groups, and how often they come in all."""
+    run, times = (np.concatenate(side) for side in zip(*parts, strict=True))
+    order = np.argsort(run, kind="stable")
+    run = run.take(order)
+    first = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
+    return run.take(first), np.add.reduceat(times.take(order), first)
+
+
+def count_runs(table: np.ndarray, run: np.ndarray, times: np.ndarray) -> None:
+    """Adds what follows each context of distinct runs to the flat table of all contexts."""
+    symbol, times = (run & np.uint64(255)).astype(np.int64), times.astype(table.dtype)
     for base, offset in zip(contexts(run), _offsets(), strict=False):
         np.add.at(table, base + (symbol + offset), times)
 
 
+def count_into(table: np.ndarray, texts: list[bytes]) -> None:
+    """Adds what follows each context of the texts to the flat table of all contexts."""
+    count_runs(table, *distinct_runs(texts))
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_mixer(counts: np.ndarray, passages: list[bytes], rate: float = 0.02, batch: int = 4096) -> Mixer:
-    """Learns the weights online over the passages, then the refining table.
+def _short(counts: np.ndarray) -> np.ndarray:
+    """Counts as the upper half of a float: exact up to 256, within a half per cent beyond."""
+    return ((counts.astype(np.float32).view(np.uint32) + np.uint32(0x7FFF)) >> np.uint32(16)).astype(np.uint16)
 
-    ``counts`` covers all training texts, the passages among them.
-    """
+
+def _long(short: np.ndarray) -> np.ndarray:
+    return (short.astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
+def _by_context(counts: np.ndarray) -> list[np.ndarray]:
     offsets = _offsets()
-    tables = [counts[a:b].reshape(-1, 256) for a, b in zip(offsets, offsets[1:], strict=False)]
-    tree = Tree.of(tables[0].sum(axis=0, dtype=np.float64))
-    weights = np.full((len(tables), 256), 1.0 / len(tables) + 0.1, np.float32)
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for texts in _chunks(iter(passages)):
-        data, starts, ends = joined(texts)
-        run = runs(data).take(_coded(starts, ends))
+    return [counts[a:b].reshape(-1, 256) for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def tree_of(counts: np.ndarray) -> Tree:
+    return Tree.of(_by_context(counts)[0].sum(axis=0, dtype=np.float64))
+
+
+@dataclass
+class Counts:
+    """Per context, flat by slot and node: how often a bit was one and zero, in short form."""
+
+    tree: Tree
+    ones: list[np.ndarray]
+    zeros: list[np.ndarray]
+
+    @staticmethod
+    def of(counts: np.ndarray, tree: Tree) -> Counts:
+        ones, zeros = [], []
+        for table in _by_context(counts):
+            for out, side in ((ones, tree.right), (zeros, tree.left)):
+                short = np.zeros((len(table), 256), np.uint16)
+                for at in range(0, len(table), 4096):
+                    short[at : at + 4096, :255] = _short(table[at : at + 4096].astype(np.float32) @ side)
+                out.append(short.ravel())
+        return Counts(tree, ones, zeros)
+
+    def events(self, run: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every coded bit of the runs: node, bit, how often, and what each context predicts without it."""
         symbol, bases = (run & np.uint64(255)).astype(np.int64), contexts(run)
-        seen = [np.unique(base >> 8, return_inverse=True) for base in bases]
-        zeros = [table[slots].astype(np.float32) @ tree.left for table, (slots, _) in zip(tables, seen, strict=True)]
-        ones = [table[slots].astype(np.float32) @ tree.right for table, (slots, _) in zip(tables, seen, strict=True)]
-        for d in range(len(tree.node)):
-            at = np.flatnonzero(tree.length[symbol] > d)
-            if not len(at):
+        length = self.tree.length[symbol]
+        found = []
+        for d in range(len(self.tree.node)):
+            on = np.flatnonzero(length > d)
+            if not len(on):
                 break
-            node, bit = tree.node[d][symbol[at]], tree.bit[d][symbol[at]]
-            x = np.empty((len(tables), len(at)), np.float32)
-            for k, (_, where) in enumerate(seen):
-                one, zero = (np.maximum(t[k][where[at], node] - b, 0) for t, b in ((ones, bit), (zeros, 1 - bit)))
-                x[k] = _logit((one + PRIOR) / (one + zero + 2 * PRIOR))
-            rows.append((node, bit, x))
-    if rows:
-        node, bit = (np.concatenate([r[i] for r in rows]) for i in range(2))
-        x = np.concatenate([r[2] for r in rows], axis=1)
-        rows.clear()
-        order = np.random.default_rng(8).permutation(len(node))
-        for at in range(0, len(node), batch):
-            here = order[at : at + batch]
-            n, part = node[here], x[:, here]
-            error = bit[here] - 1 / (1 + np.exp(-(weights[:, n] * part).sum(axis=0)))
-            seen = np.maximum(np.bincount(n, minlength=256), 1)
-            for k in range(len(tables)):
-                weights[k] += rate * np.bincount(n, error * part[k], 256) / np.sqrt(seen)
-        mixed = sum(_steps(weights[k][node] * x[k]) for k in range(len(tables)))
-        place = node.astype(np.int64) * BUCKETS + ((mixed >> SHIFT) + BUCKETS // 2)
-        seen = np.bincount(place + bit.astype(np.int64) * 256 * BUCKETS, minlength=512 * BUCKETS).reshape(2, 256, BUCKETS)
-    else:
-        seen = np.zeros((2, 256, BUCKETS))
+            node, bit = self.tree.node[d][symbol[on]], self.tree.bit[d][symbol[on]]
+            x = np.empty((len(bases), len(on)), np.float32)
+            for k, base in enumerate(bases):
+                place = base.take(on) + node
+                one, zero = (np.maximum(_long(t[k].take(place)) - b, 0) for t, b in ((self.ones, bit), (self.zeros, 1 - bit)))
+                x[k] = np.log((one + PRIOR) / (zero + PRIOR))
+            found.append((node, bit, times.take(on), x))
+        return tuple(np.concatenate([f[i] for f in found], axis=-1) for i in range(4))
+
+
+def first_weights() -> np.ndarray:
+    return np.full((len(SLOTS), 256), 1.0 / len(SLOTS) + 0.1, np.float32)
+
+
+def learn(
+    weights: np.ndarray, node: np.ndarray, bit: np.ndarray, times: np.ndarray, x: np.ndarray, rate: float = 0.02, batch: int = 4096
+) -> None:
+    """Moves the weights online over the events, in a fixed random order.
+
+    A batch moves a node by its mean error, events counted as often as they
+    come, times the root of the node's events: a common one makes no larger step.
+    """
+    order = np.random.default_rng(8).permutation(len(node))
+    node, bit, often, x = node[order].astype(np.int64), bit[order].astype(np.float32), times[order].astype(np.float32), x.take(order, axis=1)
+    flat, lines = weights.reshape(-1), 256 * np.arange(len(weights))[:, None]
+    for at in range(0, len(node), batch):
+        n, part, w = node[at : at + batch], x[:, at : at + batch], often[at : at + batch]
+        place = n + lines
+        error = (bit[at : at + batch] - 1 / (1 + np.exp(-(flat.take(place) * part).sum(axis=0)))) * w
+        step = rate * np.sqrt(np.bincount(n, minlength=256)) / np.maximum(np.bincount(n, w, 256), 1)
+        weights += step * np.bincount(place.ravel(), (error * part).ravel(), weights.size).reshape(weights.shape)
+
+
+def refine(weights: np.ndarray, node: np.ndarray, bit: np.ndarray, times: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How often each bit followed, by bit, node and bucket of the mixed prediction; flat."""
+    mixed = sum(_steps(weights[k][node] * x[k]) for k in range(len(weights)))
+    place = (bit.astype(np.int64) * 256 + node) * BUCKETS + ((mixed >> SHIFT) + BUCKETS // 2)
+    return np.bincount(place, times, 512 * BUCKETS).astype(np.int64)
+
+
+def mixer_of(counts: np.ndarray, tree: Tree, weights: np.ndarray, seen: np.ndarray) -> Mixer:
+    """Folds the weights into the predictions of all contexts, and what was seen into costs."""
+    seen = seen.reshape(2, 256, BUCKETS)
     # Before anything is seen a bucket has the probability it stands for.
     middle = (np.arange(BUCKETS) - BUCKETS // 2 + 0.5) * (1 << SHIFT) / SCALE
     expected = 1 / (1 + np.exp(-middle))
     one = (seen[1] + 8 * expected) / (seen.sum(axis=0) + 8)
     cost = -np.log2(np.clip(np.stack([1 - one, one]), 1e-6, 1)).astype(np.float32)
     folded = []
-    for k, table in enumerate(tables):
+    for k, table in enumerate(_by_context(counts)):
         odds = np.zeros((len(table), 256), np.int16)
         for at in range(0, len(table), 4096):
             part = table[at : at + 4096].astype(np.float32)
@@ -260,6 +328,15 @@ def fit_mixer(counts: np.ndarray, passages: list[bytes], rate: float = 0.02, bat
     return Mixer(tree, folded, cost.ravel())
 
 
+def fit_mixer(counts: np.ndarray, passages: list[bytes]) -> Mixer:
+    """The mixer learnt in one place from passages; ``counts`` covers them."""
+    tree, weights, packed = tree_of(counts), first_weights(), list(_packed(*distinct_runs(passages)))
+    shared = Counts.of(counts, tree)
+    for data in packed:
+        learn(weights, *shared.events(*_unpacked(data)))
+    return mixer_of(counts, tree, weights, sum(refine(weights, *shared.events(*_unpacked(data))) for data in packed))
+
+
 def _steps(odds: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(odds * SCALE), -MOST, MOST).astype(np.int16)
 
@@ -281,11 +358,47 @@ def common_tokens(training: DataFrame, text: str) -> list[bytes]:
     return [r[0].encode() for r in counts.orderBy(F.col("n").desc(), "token").limit(COMMON).select("token").collect()]
 
 
-def _count(training: DataFrame, common: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Context counts, counts of the common tokens and number of texts, over all training texts.
+def _packed(run: np.ndarray, times: np.ndarray) -> Iterator[bytes]:
+    """Runs in blocks of at most ``RUNS``, each spread over all of them."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    blocks = max(1, -(-len(run) // RUNS))
+    for k in range(blocks):
+        part = np.diff(run[k::blocks], prepend=np.uint64(0))
+        yield press(part.tobytes() + times[k::blocks].astype(np.uint32).tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, np.uint64, n), dtype=np.uint64), np.frombuffer(raw, np.uint32, n, 8 * n).astype(np.int64)
+
+
+def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums blocks of the same number; they come together."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch["block"], batch["data"], strict=True):
+            got = np.frombuffer(open_(data), np.int64)
+            sums[k] = sums[k] + got if k in sums else got
+    press = zstandard.ZstdCompressor(level=1).compress
+    for k, block in sums.items():
+        yield pd.DataFrame({"block": [k], "data": [press(block.tobytes())]})
+
+
+def _summed(parts: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Sums of the tasks' blocks, by number; their sizes and number are fixed."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for row in parts.repartition("block").mapInPandas(_add, "block int, data binary").collect():  # tables of a fixed size
+        yield row["block"], np.frombuffer(open_(bytes(row["data"])), np.int64)
+
+
+def _count(training: DataFrame, common: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, DataFrame]:
+    """Context counts, counts of the common tokens and number of texts, over all training texts; their distinct runs.
 
     Each task sums its own tables and sends what isn't zero, compressed, by
-    block; blocks are summed where they meet, one at a time.
+    block; blocks are summed where they meet, one at a time.  Runs stay where
+    they are written, packed.
     """
     spark = training.sparkSession
     size, place = _offsets()[-1], spark.sparkContext.broadcast({t: i for i, t in enumerate(common)})
@@ -293,14 +406,29 @@ def _count(training: DataFrame, common: list[bytes]) -> tuple[np.ndarray, np.nda
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, tokens, of = np.zeros(-(-size // BLOCK) * BLOCK, np.int32), np.zeros(known, np.int64), place.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def send() -> Iterator[pd.DataFrame]:
+            run, times = held.pop()
+            count_runs(table, run, times)
+            for data in _packed(run, times):
+                yield pd.DataFrame({"block": [-2], "data": [data]})
+
         for batch in batches:
             for texts in _chunks(_clean(t) for t in batch["_text"]):
-                count_into(table, texts)
+                held.append(distinct_runs(texts))
+                if sum(len(run) for run, _ in held) > 2 * HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD:
+                        yield from send()
                 for token, n in Counter(b" ".join(texts).split()).items():
                     at = of.get(token)
                     if at is not None:
                         tokens[at] += n
                 tokens[-1] += len(texts)
+        if held:
+            held = [merged(held)]
+            yield from send()
         press = zstandard.ZstdCompressor(level=1).compress
         for k, block in enumerate(table.reshape(-1, BLOCK)):
             if block.any():
@@ -308,36 +436,59 @@ def _count(training: DataFrame, common: list[bytes]) -> tuple[np.ndarray, np.nda
         if tokens.any():
             yield pd.DataFrame({"block": [-1], "data": [press(tokens.tobytes())]})
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = zstandard.ZstdDecompressor().decompress
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, data in zip(batch["block"], batch["data"], strict=True):
-                got = np.frombuffer(open_(data), np.int64)
-                sums[k] = sums[k] + got if k in sums else got
-        press = zstandard.ZstdCompressor(level=1).compress
-        for k, block in sums.items():
-            yield pd.DataFrame({"block": [k], "data": [press(block.tobytes())]})
-
-    parts = training.mapInPandas(count, "block int, data binary").repartition("block")
-    open_ = zstandard.ZstdDecompressor().decompress
+    parts = materialise(training.mapInPandas(count, "block int, data binary"), "counted")
     table, tokens = np.zeros(-(-size // BLOCK) * BLOCK, np.float32), np.zeros(known, np.int64)
-    for row in parts.mapInPandas(add, "block int, data binary").collect():  # tables of a fixed size
-        got = np.frombuffer(open_(bytes(row["data"])), np.int64)
-        if row["block"] < 0:
+    for k, got in _summed(parts.where("block > -2")):
+        if k < 0:
             tokens += got
         else:
-            table[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = got
-    return table[:size], tokens[:-1], int(tokens[-1])
+            table[k * BLOCK : (k + 1) * BLOCK] = got
+    return table[:size], tokens[:-1], int(tokens[-1]), parts.where("block = -2").select("data")
+
+
+def _learnt(packed: DataFrame, counts: np.ndarray) -> Mixer:
+    """The mixer of all training texts, from their distinct runs.
 
+    Tasks learn online from the first weights on, and their weights are
+    averaged by node; what follows the predictions is then counted with those.
+    """
+    spark, tree = packed.sparkSession, tree_of(counts)
+    shared = spark.sparkContext.broadcast(Counts.of(counts, tree))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        weights, evidence = first_weights(), np.zeros(256, np.int64)
+        for batch in batches:
+            for data in batch["data"]:
+                events = shared.value.events(*_unpacked(data))
+                learn(weights, *events)
+                evidence += np.bincount(events[0], events[2], 256).astype(np.int64)
+        if evidence.any():
+            sums = np.rint(weights.astype(np.float64) * evidence * FIXED).astype(np.int64)
+            yield pd.DataFrame({"block": [0], "data": [press(np.vstack([sums, evidence]).tobytes())]})
+
+    weights = first_weights()
+    for _, got in _summed(packed.mapInPandas(weigh, "block int, data binary")):
+        *sums, evidence = got.reshape(-1, 256)
+        on = evidence > 0
+        for k, total in enumerate(sums):
+            weights[k, on] = total[on] / evidence[on] / FIXED
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        seen = np.zeros(512 * BUCKETS, np.int64)
+        for batch in batches:
+            for data in batch["data"]:
+                seen += refine(weights, *shared.value.events(*_unpacked(data)))
+        for k, block in enumerate(seen.reshape(16, -1)):
+            if block.any():
+                yield pd.DataFrame({"block": [k], "data": [press(block.tobytes())]})
 
-def _passages(training: DataFrame) -> list[bytes]:
-    """A bounded sample of passages; where each begins follows from a hash of its text."""
-    sample = bounded_sample(training, ["_text"], PASSAGES, seed=9)
-    room = F.greatest(F.length("_text") - PASSAGE + 1, F.lit(1))
-    start = F.pmod(F.xxhash64(F.lit(9), "_text"), room).cast("int") + 1
-    rows = sample.where("_text IS NOT NULL").select(F.substring("_text", start, F.lit(PASSAGE)).alias("p"))
-    return sorted(_clean(bytes(r[0])) for r in rows.limit(2 * PASSAGES).collect())
+    seen = np.zeros((16, 32 * BUCKETS), np.int64)
+    for k, got in _summed(packed.mapInPandas(follow, "block int, data binary")):
+        seen[k] = got
+    shared.unpersist()
+    return mixer_of(counts, tree, weights, seen)
 
 
 def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,8 +510,8 @@ def score(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text
     )
     training = rows.where("_train")
     common = common_tokens(training, "_words")
-    contexts_, counted, texts = _count(training.select("_text"), common)
-    mixer = fit_mixer(contexts_, _passages(training.select("_text")))
+    contexts_, counted, texts, packed = _count(training.select("_text"), common)
+    mixer = _learnt(packed, contexts_)
     logs = np.log10(counted + 1.0)
     shared = spark.sparkContext.broadcast((mixer, {t: i for i, t in enumerate(common)}, logs, counted > 0))
     end = math.log10(texts + 1)

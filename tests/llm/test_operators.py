@@ -367,6 +367,31 @@ def test_context_mixing_is_a_distribution():
     assert mixer.bits([b"", b"a cat", b"zz"]).tolist() == pytest.approx(alone) and alone[1] < alone[2] * 2
 
 
+def test_context_mixing_learns_from_all_texts(table, texts):
+    whole = {i: t.encode().translate(LOWER) for i, t in texts.items()}
+    assert max(map(len, whole.values())) > 4096
+    counts = np.zeros(context_mixing._offsets()[-1], np.float32)
+    context_mixing.count_into(counts, list(whole.values()))
+    mixer = context_mixing.fit_mixer(counts, list(whole.values()))
+    rows = table.select("doc_id", "text", F.lit(True).alias("train")).coalesce(1)
+    found = {r["doc_id"]: r["score"] for r in context_mixing.score(rows, "train").collect()}
+    expected = dict(zip(whole, mixer.bits(list(whole.values())) * -math.log10(2), strict=True))
+    assert found == pytest.approx(expected, rel=1e-4)
+
+
+def test_context_mixing_sums_over_tasks(table, texts):
+    """Runs of all tasks arrive, counted as often as they come."""
+    rows = table.select(F.col("text").cast("binary").alias("_text")).repartition(5)
+    counts, _, n, packed = context_mixing._count(rows, [])
+    unpacked = [context_mixing._unpacked(r["data"]) for r in packed.collect()]
+    run, times = context_mixing.merged(unpacked)
+    expected = context_mixing.distinct_runs([t.encode().translate(LOWER) for t in texts.values()])
+    assert n == len(texts) and np.array_equal(run, expected[0]) and np.array_equal(times, expected[1])
+    again = np.zeros_like(counts)
+    context_mixing.count_runs(again, run, times)
+    assert np.array_equal(counts, again)
+
+
 def test_context_mixing_awkward(docs, none):
     rows = docs.withColumn("train", F.col("doc_id") != 2)
     found = context_mixing.score(rows, "train").collect()
