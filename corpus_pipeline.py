@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from retentia.llm import decontam, langid, mixing, packing, simhash
 from retentia.llm.base import id_remainder, renamed, returned, table
 from retentia.llm.queries import END_ID, TOKENIZER, VOCABULARY
-from retentia.session import materialise, scratch_dir
+from retentia.session import bound_batches, materialise, scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``lang`` is filled in where it is null.
     """
+    bound_batches(spark)
     rows, names = renamed(docs)
     key, text, lang = (names[c] for c in ("doc_id", "text", "lang"))
     training = rows.where(id_remainder(key, 5) != 0)
@@ -42,14 +43,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest by fingerprint and text hash.  Groups without any id keep one row
     as well.
     """
+    bound_batches(spark)
     rows, names = renamed(docs)
     key, text = names["doc_id"], names["text"]
     place = F.xxhash64(key, text)
     groups = simhash.near_duplicates(rows.select(key, text, place.alias("_place")), key, text, keep=["_place"])
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "fingerprint", "_place")).alias("b"))
-    chosen = materialise(best.select(F.col("b._place").alias("_place")), "chosen")
-    kept = rows.withColumn("_place", place).join(chosen, "_place", "left_semi")
-    return kept.dropDuplicates(["_place"]).select(*returned(names))
+    places = groups.groupBy("root", "_place").agg(
+        F.min(F.struct(F.col(key).isNull(), key, "fingerprint")).alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    best = places.groupBy("root").agg(F.min(F.struct("b", "_place", "n")).alias("c"))
+    chosen = materialise(best.groupBy(F.col("c._place").alias("_place")).agg(F.sum("c.n").alias("_rows")), "chosen")
+    # The texts are hashed past the chosen places, a number each, and not sorted; only repeated rows are.
+    kept = rows.withColumn("_place", place).join(chosen.hint("shuffle_hash"), "_place")
+    single, several = kept.where("_rows = 1"), kept.where("_rows > 1").dropDuplicates(["_place"])
+    return single.unionByName(several).select(*returned(names))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,6 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of all documents, read back."""
+    bound_batches(spark)
     encoder = packing.word_encoder(public_tokenizers.path(TOKENIZER), END_ID)
     return packing.read(packing.write(docs.select("doc_id", "text"), scratch_dir(spark, "tokens"), encoder, VOCABULARY))
 

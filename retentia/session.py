@@ -61,6 +61,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Lets a pandas batch end at this size, however long its texts are; a worker holds it several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def size_shuffles(spark: SparkSession, folder: str) -> None:
     """Lets shuffles start with enough partitions for what is stored below ``folder``.
 

@@ -484,6 +484,15 @@ def test_pipeline_stages(spark, sf_dir, docs, none, table):
     assert sorted(clean) == sorted(i for i, (x,) in bad.items() if not x)
 
 
+def test_near_duplicates_sorts_repeated_rows_only(spark, sf_dir, table):
+    once = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, sf_dir).collect())
+    found = corpus_pipeline.near_duplicates(spark, table.union(table.where("doc_id % 3 = 0")), sf_dir)
+    assert sorted(r["doc_id"] for r in found.collect()) == once
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir).orderBy("start").collect()
     assert found and found[0]["start"] == 0
