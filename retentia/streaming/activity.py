@@ -8,20 +8,20 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from retentia.functions.numbers import histogram_bin
 from retentia.operators import health, recontact
 from retentia.sources import sinks
 from retentia.streaming.ingest import event_time, keep_batch, run_available
 
-EPOCH = date(1970, 1, 1)
+# Rows of a result that a task holds at once, besides those of one key.
+ROWS_AT_ONCE = 50_000
 
 
 def hourly_counts(rows: DataFrame, time: str, category: str) -> DataFrame:
@@ -49,7 +49,7 @@ def total_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def _partial_days(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts per key and day of each batch of rows, so that a very common key brings few rows to its task."""
-    keys = ["ccod", "category_code", "aggregate_date"]
+    keys = ["ccod", "category_code", "day"]
     for frame in frames:
         yield frame.groupby(keys, dropna=False, as_index=False).size().rename(columns={"size": "n"})
 
@@ -74,25 +74,22 @@ def recount(days: dict[int, int], touched: list[int], frame: str, lookback: int)
     return rows
 
 
-def _recounted(frame: str, lookback: int) -> Callable:
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        days = dict(zip(*state.get, strict=True)) if state.exists else {}
-        touched = set()
+def _recounted(frame: str, lookback: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The days to store of many keys at once: a row holds a key's days with counts, and which of them are ``fresh``."""
+    columns = ["ccod", "category_code", "day", *recontact.MEASURES]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
         for batch in frames:
-            for day, n in zip(batch["aggregate_date"], batch["n"], strict=True):
-                number = (day - EPOCH).days
-                touched.add(number)
-                days[number] = days.get(number, 0) + int(n)
-        if not touched:
-            return
-        order = sorted(days)
-        state.update((order, [days[d] for d in order]))
-        found = recount(days, sorted(touched), frame, lookback)
-        rows = pd.DataFrame(found, columns=["aggregate_date", *recontact.MEASURES])
-        rows["aggregate_date"] = [EPOCH + timedelta(days=int(d)) for d in rows["aggregate_date"]]
-        rows.insert(1, "ccod", key[0])
-        rows.insert(2, "category_code", key[1])
-        yield rows
+            for ccod, code, listed, counts, fresh in zip(*[batch[c] for c in batch], strict=True):
+                days: dict[int, int] = {}
+                for day, n in zip(listed.tolist(), counts.tolist(), strict=True):
+                    days[day] = days.get(day, 0) + n
+                found += [(ccod, code, *row) for row in recount(days, fresh.tolist(), frame, lookback)]
+                if len(found) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+        yield pd.DataFrame(found, columns=columns)
 
     return run
 
@@ -110,19 +107,27 @@ def maintain_recontacts(
     """Keeps the re-contact table up to date; returns its path and the progress of the last batches.
 
     ``prepare`` makes classified messages with their customer of the stream.
-    The state store holds the active days of every key; a batch reads the state
-    of its own keys, recounts the days it can alter and merges those.  The
+    The state store holds the active days of every key, with a count per batch
+    that brought some; a batch reads the state of its own keys, recounts the
+    days it can alter and merges those.  State is added to by Spark's own
+    aggregation, as a Python call per key costs milliseconds.  The
     lookback ends at each day, so it moves with the data.  Rows count however
     late they come.  ``since`` leaves out older rows.
     """
     if frame not in ("rows", "calendar"):
         raise ValueError(f"frame must be 'rows' or 'calendar', not {frame!r}")
-    days = recontact.claim_days(prepare(rows), since).where("aggregate_date IS NOT NULL").select("ccod", "category_code", "aggregate_date")
-    keyed = days.mapInPandas(_partial_days, "ccod string, category_code string, aggregate_date date, n long")
+    claims = recontact.claim_days(prepare(rows), since).where("aggregate_date IS NOT NULL")
+    days = claims.select("ccod", "category_code", F.unix_date("aggregate_date").alias("day"))
+    partial = days.mapInPandas(_partial_days, "ccod string, category_code string, day int, n long")
+    # The time of the batch, the same wherever a batch or its repetition asks for it; it tells the days that are new.
+    timed = partial.withColumn("at", F.current_timestamp())
+    keyed = timed.groupBy("ccod", "category_code").agg(F.collect_list(F.struct("day", "n", "at")).alias("e"))
+    keyed = keyed.withColumn("now", F.current_timestamp())
+    fresh = F.filter("e", lambda x: x["at"] == F.col("now"))
+    lists = keyed.select("ccod", "category_code", F.col("e.day").alias("days"), F.col("e.n").alias("counts"), fresh["day"].alias("fresh"))
     measures = ", ".join(f"{m} long" for m in recontact.MEASURES)
-    changed = keyed.groupBy("ccod", "category_code").applyInPandasWithState(
-        _recounted(frame, lookback), f"aggregate_date date, ccod string, category_code string, {measures}",
-        "days array<int>, counts array<long>", "update", GroupStateTimeout.NoTimeout,
+    changed = lists.mapInPandas(_recounted(frame, lookback), f"ccod string, category_code string, day int, {measures}").select(
+        F.date_from_unix_date("day").alias("aggregate_date"), "ccod", "category_code", *recontact.MEASURES
     )
     table = f"{folder}/activity"
 

@@ -281,3 +281,26 @@ def test_state_batches_touch_their_keys_and_late_rows_count(spark, tmp_path):
     seen = ingest.store_first_arrivals(stream, str(tmp_path / "r"), str(tmp_path / "rc"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == len(set(everything))
     assert sorted(p["stateOperators"][0]["numRowsUpdated"] for p in seen) == [1, 2, 50]
+
+
+def test_state_of_many_keys_takes_no_python_call_per_key(spark, tmp_path):
+    """State is kept by Spark's aggregation; a day that comes again counts, and days out of reach aren't written again."""
+    schema = "ccod string, created_at timestamp, is_claim int, " + ", ".join(f"{c} string" for c in recontact.CODE_COLUMNS)
+
+    def rows(days):
+        return spark.createDataFrame([(f"c{i}", datetime(2024, m, d), 1, "E", "F", None, None, None) for i in range(20) for m, d in days], schema)
+
+    batches, folder = [[(1, 1), (1, 5), (3, 20)], [(1, 5), (1, 5), (1, 9)], [(1, 1), (1, 9)]], str(tmp_path / "in")
+    for batch in batches:
+        rows(batch).coalesce(1).write.mode("append").parquet(folder)
+    stream = ingest.read_files(spark, folder, rows(batches[0]).schema, files_per_batch=1)
+    names = spark.createDataFrame([("E", "error")], "voc_id string, name string")
+    table, progress = activity.maintain_recontacts(stream, lambda r: r, names, str(tmp_path / "s"), F.lit(datetime(2024, 4, 1)), "calendar")
+    assert {p["stateOperators"][0]["operatorName"] for p in progress} == {"stateStoreSave"}
+    staged = {n: spark.read.parquet(f"{tmp_path}/s/staging/{n}/updates").groupBy("aggregate_date").count().collect() for n in range(3)}
+    far = {n: [r for r in s if r["aggregate_date"].month == 3] for n, s in staged.items()}
+    assert len(far[0]) == 1 and not far[1] and not far[2]
+    wanted = recontact.rolling_counts(recontact.daily_counts(recontact.claim_days(rows(sum(batches, [])))), "calendar")
+    columns = ["aggregate_date", "ccod", "category_code", *recontact.MEASURES]
+    got = spark.read.parquet(table).select(*columns)
+    assert got.count() == wanted.count() == 160 and got.exceptAll(wanted.select(*columns)).isEmpty()
