@@ -38,6 +38,11 @@ from retentia.session import materialise
 CELL_POINTS = 20_000
 MAX_PIVOTS = 10_000
 BLOCK = 20_000
+# Points that a block compares without groups, and distances held at once.
+FINE = 500
+MATRIX = 1_000_000
+# Share of the groups beyond which a query is compared with the whole block.
+WIDE = 0.4
 # Margin for the rounding of the fast distance form; a wider one only searches more.
 SLACK = 1e-6
 # Hash tables, projections per table, width of a bucket in typical nearest distances, queries that measure those.
@@ -54,6 +59,28 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
+def _placed(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of every vector and its distance."""
+    found, step = [], max(1, MATRIX // len(centres))
+    for start in range(0, len(vectors), step):
+        d2 = _distances(vectors[start : start + step], centres)
+        found.append((d2.argmin(1), np.sqrt(d2.min(1))))
+    cells, reach = zip(*found, strict=True)
+    return np.concatenate(cells), np.concatenate(reach)
+
+
+def _open(d2: np.ndarray, home: np.ndarray, centres: np.ndarray, ring: tuple[np.ndarray, np.ndarray], have: np.ndarray) -> np.ndarray:
+    """Whether a cell may hold something as close as a query ``have``, by its ring and the plane towards the query's home.
+
+    ``d2``: squared distances of the queries to the centres; ``ring``: nearest and farthest point of every cell.
+    """
+    d = np.sqrt(d2)
+    apart = np.maximum(np.sqrt(_distances(centres[home], centres)), 1e-300)
+    plane = (d2 - d2[np.arange(len(home)), home][:, None]) / (2 * apart)
+    least = np.maximum(np.maximum(d - ring[1], ring[0] - d), plane)
+    return (ring[1] >= 0) & (least <= (have + SLACK * (1.0 + d.max()))[:, None])
+
+
 def _typed(rows: DataFrame) -> DataFrame:
     return rows.select("id", "cluster", as_doubles(F.col("vec")).alias("vec"))
 
@@ -85,46 +112,90 @@ def _pivots(points: DataFrame, cell_points: int, max_pivots: int) -> dict:
 
 
 def _search(exclude_self: bool, counter: Accumulator | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Nearest of a block of points for each of a block of queries, exact and with the smaller id on ties."""
+    """Nearest of a block of points for each of a block of queries, exact and with the smaller id on ties.
+
+    A large block is searched as a large cluster is: its points belong to the
+    nearest of some of them, and a query looks into those groups only that may
+    hold something as close as what it has.  A query may come with a
+    ``distance`` it has found elsewhere; then it gets a row only if this block
+    may have something as close.
+    """
 
     def search(asking: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": [], "neighbor_id": [], "distance": []})
         if asking.empty or known.empty:
-            return none
-        if counter is not None:
-            counter.add(len(asking) * len(known))
-        ids, seconds = known["id"].to_numpy(), known["id2"].to_numpy()
-        alone = seconds == ids
+            return pd.DataFrame({"id": [], "neighbor_id": [], "distance": []})
         points, queries = _matrix(known["vec"]), _matrix(asking["vec"])
         scale = 1.0 + (points * points).sum(1).max() + (queries * queries).sum(1).max()
-        own = asking["id"].to_numpy()
-        # Places of a point that is only the query itself, which cannot answer it.
-        place = {i: k for k, i in enumerate(ids) if alone[k]} if exclude_self else {}
-        found = []
-        step = max(1, 4_000_000 // len(ids))
-        for start in range(0, len(own), step):
-            mine, q = own[start : start + step], queries[start : start + step]
-            d2 = _distances(q, points)
-            if exclude_self:
-                for row, name in enumerate(mine):
-                    if name in place:
-                        d2[row, place[name]] = np.inf
-            best = d2.argmin(1)
-            least = d2[np.arange(len(q)), best]
-            names = ids[best].copy()
-            if exclude_self:
-                names = np.where(names == mine, seconds[best], names)
-            exact = np.sqrt(((points[best] - q) ** 2).sum(1))
-            # Rounding of the fast form is far below this margin; what lies within it is compared exactly.
-            close = d2 <= (least + 1e-9 * scale)[:, None]
-            for row in np.flatnonzero((close.sum(1) > 1) & np.isfinite(least)):
-                pick = np.flatnonzero(close[row])
-                apart = np.sqrt(((points[pick] - q[row]) ** 2).sum(1))
-                answers = [s if exclude_self and n == mine[row] else n for n, s in zip(ids[pick], seconds[pick], strict=True)]
-                exact[row], names[row] = min(zip(apart, answers, strict=True))
-            kept = np.isfinite(least)
-            found.append(pd.DataFrame({"id": mine[kept], "neighbor_id": names[kept], "distance": exact[kept]}))
-        return pd.concat(found) if found else none
+        # Points in the order of their groups.
+        picked = np.random.default_rng(0).choice(len(points), int(len(points) ** 0.5) if len(points) > FINE else 1, replace=False)
+        centres = points[picked]
+        group, reach = _placed(points, centres)
+        order = np.argsort(group, kind="stable")
+        points, group, reach = points[order], group[order], reach[order]
+        starts = np.searchsorted(group, np.arange(len(centres) + 1))
+        ring = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
+        np.minimum.at(ring[0], group, reach)
+        np.maximum.at(ring[1], group, reach)
+        ids, seconds, own = known["id"].to_numpy()[order], known["id2"].to_numpy()[order], asking["id"].to_numpy()
+        # The point that is only the query itself, which cannot answer it.
+        place = {i: k for k, (i, second) in enumerate(zip(ids, seconds, strict=True)) if i == second} if exclude_self else {}
+        barred = np.array([place.get(i, -1) for i in own])
+        names, distance = np.repeat(ids[:1], len(own)), np.full(len(own), np.inf)
+        bound = asking["distance"].fillna(np.inf).to_numpy() if "distance" in asking else distance
+
+        def compare(rows: np.ndarray, lo: int, hi: int) -> None:
+            """Lets some queries take the nearest of the points from ``lo`` to ``hi`` if it is better than what they have."""
+            if counter is not None:
+                counter.add(len(rows) * (hi - lo))
+            step = max(1, MATRIX // max(1, hi - lo))
+            for start in range(0, len(rows) if hi > lo else 0, step):
+                mine = rows[start : start + step]
+                q, some, self_at = queries[mine], points[lo:hi], barred[mine] - lo
+                d2 = _distances(q, some)
+                hit = np.flatnonzero((self_at >= 0) & (self_at < hi - lo))
+                d2[hit, self_at[hit]] = np.inf
+                best = d2.argmin(1)
+                least = d2[np.arange(len(mine)), best]
+                answer = ids[lo:hi][best]
+                if exclude_self:
+                    answer = np.where(answer == own[mine], seconds[lo:hi][best], answer)
+                exact = np.sqrt(((some[best] - q) ** 2).sum(1))
+                # Rounding of the fast form is far below this margin; what lies within it is compared exactly.
+                margin = 1e-9 * scale
+                close = d2 <= (least + margin)[:, None]
+                matters = np.isfinite(least) & (least <= distance[mine] ** 2 + 2 * margin)
+                for row in np.flatnonzero((close.sum(1) > 1) & matters):
+                    pick = np.flatnonzero(close[row])
+                    apart = np.sqrt(((some[pick] - q[row]) ** 2).sum(1))
+                    pairs = zip(ids[lo:hi][pick], seconds[lo:hi][pick], strict=True)
+                    answers = [s if exclude_self and n == own[mine[row]] else n for n, s in pairs]
+                    exact[row], answer[row] = min(zip(apart, answers, strict=True))
+                equal = np.flatnonzero(matters & (exact == distance[mine]))
+                better = matters & (exact < distance[mine])
+                better[equal] = [answer[r] < names[mine[r]] for r in equal]
+                distance[mine[better]], names[mine[better]] = exact[better], answer[better]
+
+        for start in range(0, len(own), max(1, MATRIX // len(centres))):
+            rows = np.arange(start, min(len(own), start + max(1, MATRIX // len(centres))))
+            d2 = _distances(queries[rows], centres)
+            home = d2.argmin(1)
+            turn = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[turn], np.arange(len(centres) + 1))
+            # A query with a distance opens its own group by the same rule as the others.
+            free = np.isinf(bound[rows])
+            for j in range(len(centres)):
+                at = turn[cuts[j] : cuts[j + 1]]
+                compare(rows[at[free[at]]], starts[j], starts[j + 1])
+            wanted = _open(d2, home, centres, ring, np.minimum(distance[rows], bound[rows]))
+            wanted[np.flatnonzero(free), home[free]] = False
+            # Where little can be left out, one comparison with all is faster than many small ones.
+            wide = wanted.mean(1) > WIDE
+            compare(rows[wide], 0, len(points))
+            wanted[wide] = False
+            for j in np.flatnonzero(wanted.any(0)):
+                compare(rows[wanted[:, j]], starts[j], starts[j + 1])
+        kept = np.isfinite(distance)
+        return pd.DataFrame({"id": own[kept], "neighbor_id": names[kept], "distance": distance[kept]})
 
     return search
 
@@ -191,9 +262,8 @@ def nearest_in_cluster(
                 if cluster not in pivots.value:
                     yield part.assign(cell=0, reach=0.0, pivoted=False)
                     continue
-                d2 = _distances(_matrix(part["vec"]), pivots.value[cluster])
-                cell = d2.argmin(1)
-                yield part.assign(cell=cell, reach=np.sqrt(d2[np.arange(len(part)), cell]), pivoted=True)
+                cell, reach = _placed(_matrix(part["vec"]), pivots.value[cluster])
+                yield part.assign(cell=cell, reach=reach, pivoted=True)
 
     placed = points.mapInPandas(
         assign, f"cluster {cluster_type}, vec array<double>, id {id_type}, id2 {id_type}, cell int, reach double, pivoted boolean"
@@ -218,24 +288,21 @@ def nearest_in_cluster(
                 if cluster not in pivots.value:
                     continue
                 centres = pivots.value[cluster]
-                ring = np.array([shapes.value.get((cluster, j), (np.inf, -np.inf)) for j in range(len(centres))])
-                between = np.sqrt(_distances(centres, centres))
-                step = max(1, 4_000_000 // len(centres))
+                ring = np.array([shapes.value.get((cluster, j), (np.inf, -np.inf)) for j in range(len(centres))]).T
+                # Rows that come out of a step are as bounded as its matrix, but hold a vector each.
+                width = len(centres) * len(part["vec"].iloc[0])
+                step = max(1, MATRIX // width)
                 for at in range(0, len(part), step):
                     some = part.iloc[at : at + step]
+                    home = some["cell"].to_numpy()
                     d2 = _distances(_matrix(some["vec"]), centres)
-                    d, home = np.sqrt(d2), some["cell"].to_numpy()
-                    apart = np.maximum(between[home], 1e-300)
-                    plane = (d2 - d2[np.arange(len(some)), home][:, None]) / (2 * apart)
-                    least = np.maximum(np.maximum(d - ring[:, 1], ring[:, 0] - d), plane)
-                    have = some["distance"].fillna(np.inf).to_numpy() + SLACK * (1.0 + d.max())
-                    wanted = (ring[:, 1] >= 0) & (least <= have[:, None])
+                    wanted = _open(d2, home, centres, (ring[0], ring[1]), some["distance"].fillna(np.inf).to_numpy())
                     wanted[np.arange(len(some)), home] = False
                     rows, cols = np.nonzero(wanted)
-                    yield some.iloc[rows].assign(cell=cols.astype("int32"))[["cluster", "cell", "id", "vec"]]
+                    yield some.iloc[rows].assign(cell=cols.astype("int32"))[["cluster", "cell", "id", "vec", "distance"]]
 
     open_ = homes.join(found.select("id", "distance"), "id", "left").select("cluster", "cell", "id", "vec", "distance")
-    routed = open_.mapInPandas(route, f"cluster {cluster_type}, cell int, id {id_type}, vec array<double>")
+    routed = open_.mapInPandas(route, f"cluster {cluster_type}, cell int, id {id_type}, vec array<double>, distance double")
     others = _searched(materialise(routed, "routed"), known, ["cluster", "cell"], exclude_self, block, counter)
     return _nearest(found.unionByName(others))
 

@@ -284,3 +284,19 @@ def test_fits_of_few_distinct_rows(spark):
     df = segments.with_vector(spark.createDataFrame([(1.0, 2.0)] * 5 + [(3.0, 4.0)] * 5, "a double, b double"), ["a", "b"])
     model = segments.fit_clusters(df, k=4, restarts=2)
     assert sorted(map(tuple, model.clusterCenters())) == [(1.0, 2.0), (3.0, 4.0)] and model.cost == pytest.approx(0.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_a_large_cell_is_not_compared_in_full(spark, exclude_self):
+    """One cell of 5,000 points: a block is searched by groups, with ties and copies as in a plain search."""
+    chance = np.random.default_rng(5)
+    vectors = np.round(chance.normal(size=(5000, 3)), 1)
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vectors)], "id int, cluster int, vec array<double>")
+    counter = spark.sparkContext.accumulator(0)
+    found = neighbors.nearest_in_cluster(df, df, exclude_self=exclude_self, counter=counter).collect()
+    assert len(found) == 5000 and counter.value < 0.2 * 5000 * 5000
+    for row in found[::50]:
+        apart = np.sqrt(((vectors - vectors[row["id"]]) ** 2).sum(1))
+        if exclude_self:
+            apart[row["id"]] = np.inf
+        assert (row["distance"], row["neighbor_id"]) == (apart.min(), apart.argmin())
