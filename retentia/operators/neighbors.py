@@ -175,7 +175,9 @@ def _search(exclude_self: bool, counter: Accumulator | None) -> Callable[[pd.Dat
                 better[equal] = [answer[r] < names[mine[r]] for r in equal]
                 distance[mine[better]], names[mine[better]] = exact[better], answer[better]
 
-        for start in range(0, len(own), max(1, MATRIX // len(centres))):
+        if len(centres) == 1:
+            compare(np.arange(len(own)), 0, len(points))
+        for start in range(0, len(own) if len(centres) > 1 else 0, max(1, MATRIX // len(centres))):
             rows = np.arange(start, min(len(own), start + max(1, MATRIX // len(centres))))
             d2 = _distances(queries[rows], centres)
             home = d2.argmin(1)
