@@ -441,26 +441,27 @@ def cluster_count_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- model -------------------------------------------------------------------
 
-def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = features.training_rows(feature_table(spark, sf_dir), min_work=1, rule=LABEL_RULE)
-    rows = materialise(rows, "training")
+def _training(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to fit on and rows held out, of a written feature table."""
+    rows = features.training_rows(table, min_work=1, rule=LABEL_RULE)
     split = materialise(sampling.stratified_split(rows, "ccod", "churn", 0.2), "split")
     return split.where("held_out = 0"), split.where("held_out = 1")
 
 
 @query()
 def churn_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit_on, _ = _training(spark, sf_dir)
+    # Training and scoring read the same stored features.
+    rows = materialise(feature_table(spark, sf_dir), "features")
+    fit_on, _ = _training(rows)
     model = churn.fit_churn(fit_on)
     means = explain.mean_maps(explain.class_means(fit_on, "churn", MODEL_FEATURES), "churn", MODEL_FEATURES)
-    rows = materialise(feature_table(spark, sf_dir), "features")
     predictions = churn.predict_churn(model, rows, F.lit(MONTH), means[0], means[1])
     return predictions.withColumn("churn_prob", F.round("churn_prob", 6))
 
 
 @query()
 def churn_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit_on, held_out = _training(spark, sf_dir)
+    fit_on, held_out = _training(materialise(feature_table(spark, sf_dir), "features"))
     scored = materialise(churn.score(churn.fit_churn(fit_on), held_out), "scores")
     auc = churn.roc_auc(scored, "churn", "churn_prob").select("roc_auc").scalar()
     return churn.class_report(scored, "churn", "churn_label").withColumn("roc_auc", auc)

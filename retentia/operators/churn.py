@@ -117,14 +117,15 @@ def predict_churn(
     variant: str = "diverse",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The stored prediction of every customer: score, decision, ten reasons."""
-    scored_values = scoring_variant(features, variant)
-    explained = top_contributions(scored_values, importances(model))
-    scored = score(model, scored_values, threshold).select("ccod", "churn_prob", "churn_label")
-    joined = scored.join(explained, "ccod")
-    return joined.select(
+    """The stored prediction of every customer: score, decision, ten reasons.
+
+    Score and reasons come from one pass over the rows; none is moved.
+    """
+    scored = score(model, scoring_variant(features, variant), threshold)
+    explained = top_contributions(scored, importances(model), keep=["churn_prob", "churn_label"]).where(F.col("ccod").isNotNull())
+    return explained.select(
         snapshot_month.alias("snapshot_month"), "ccod", "churn_prob", "churn_label",
-        *wide_explanation(joined, normal_means, churn_means),
+        *wide_explanation(explained, normal_means, churn_means),
     )
 
 

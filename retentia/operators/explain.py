@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,9 @@ def top_contributions(
     names: list[str] = MODEL_FEATURES,
     k: int = TOP,
     places: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The k strongest contributions of every customer, strongest first.
+    """The k strongest contributions of every customer, strongest first, beside the columns to ``keep``.
 
     Contribution = importance x z-score x weight; equal strengths keep feature
     order.  Statistics cover the whole scoring set.  Everything happens inside
@@ -128,7 +131,7 @@ def top_contributions(
         F.array(*[F.avg(f) for f in names]).alias("mean"), F.array(*[F.stddev_samp(f) for f in names]).alias("dev")
     )
     rows = features.select(
-        "ccod", F.array(*[F.col(f).cast("double") for f in names]).alias("values"), one_row(stats).alias("s")
+        "ccod", *keep, F.array(*[F.col(f).cast("double") for f in names]).alias("values"), one_row(stats).alias("s")
     )
     factors = F.array(*[F.lit(w * diversity_weight(f)) for f, w in zip(names, importance, strict=True)])
     labels = F.array(*[F.lit(f) for f in names])
@@ -150,7 +153,7 @@ def top_contributions(
             F.get(labels, x["i"]).alias("feature"), x["value"].alias("value"), x["contribution"].alias("contribution")
         ),
     )
-    return rows.select("ccod", named.alias("top"))
+    return rows.select("ccod", *keep, named.alias("top"))
 
 
 def class_means(features: DataFrame, label: str, names: list[str]) -> DataFrame:

@@ -300,3 +300,16 @@ def test_a_large_cell_is_not_compared_in_full(spark, exclude_self):
         if exclude_self:
             apart[row["id"]] = np.inf
         assert (row["distance"], row["neighbor_id"]) == (apart.min(), apart.argmin())
+
+
+def test_churn_gbt_reads_the_history_once_and_moves_no_row_to_explain(spark, sf_dir, monkeypatch):
+    from retentia.catalog import segments as catalog
+
+    built, table = [], catalog.feature_table
+    monkeypatch.setattr(catalog, "feature_table", lambda *a: built.append(a) or table(*a))
+    monkeypatch.setitem(churn.DEFAULTS, "maxIter", 2)
+    found = catalog.churn_gbt(spark, sf_dir)
+    assert len(built) == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert found.count() == found.select("ccod").distinct().count() == table(spark, sf_dir).count()
