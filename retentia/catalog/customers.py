@@ -11,6 +11,7 @@ from retentia.catalog.registry import day_text, query, rounded, sql_day, sql_int
 from retentia.operators import contracts as C
 from retentia.operators import features as X
 from retentia.operators import history, keys, quality, sampling
+from retentia.operators.selection import concurrently
 from retentia.schemas import (
     COUNT_FEATURES,
     CSI_FEATURES,
@@ -20,7 +21,7 @@ from retentia.schemas import (
     WINDOWS,
     WORK_FEATURES,
 )
-from retentia.session import scratch_dir
+from retentia.session import materialise, scratch_dir
 from retentia.sources import adapters as A
 
 AS_OF, CUTOFF = date(2001, 1, 1), date(1998, 1, 1)
@@ -297,17 +298,20 @@ PARTS = [date(1994, 1, 1), date(1997, 6, 1), date(2100, 1, 1)]
 def incremental_features(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     """The feature table from stored states, each made of the one before and the rows that are new."""
     months = [date(2024, n, 1) for n in range(1, len(PARTS) + 1)]
-    for name, rows, at, measures, moments in (
-        ("work", A.work_orders(spark, sf_dir), "work_at", X.WORK, X.work_moments),
-        ("voc", A.interactions(spark, sf_dir), "event_at", X.INTERACTIONS, X.interaction_moments),
-    ):
-        due = F.lit(len(PARTS) - 1)
-        for n in reversed(range(len(PARTS))):
-            due = F.when(F.col(at) < F.lit(PARTS[n]), n).otherwise(due)
-        late = F.least(due + (F.dayofmonth(at) % 9 == 0).cast("int"), F.lit(len(PARTS) - 1))
+    due = F.lit(len(PARTS) - 1)
+    for n in reversed(range(len(PARTS))):
+        due = F.when(F.col("at") < F.lit(PARTS[n]), n).otherwise(due)
+    late = F.least(due + (F.dayofmonth("at") % 9 == 0).cast("int"), F.lit(len(PARTS) - 1))
+
+    def arrive(name: str, moments: DataFrame, measures: history.Measures) -> None:
+        # A moment arrives whole, so the sources are read once; each month then reads its part.
+        arrived = materialise(moments.withColumn("_part", F.coalesce(late, F.lit(0))), f"{name}-arrived", by="_part")
         for n, month in enumerate(months):
-            new = moments(rows.where(F.coalesce(late, F.lit(0)) == n))
-            history.advance_month(spark, f"{path}/{name}", months[n - 1] if n else None, month, new, measures)
+            new = arrived.where(F.col("_part") == n).drop("_part")
+            history.advance_month(spark, f"{path}/{name}", months[n - 1] if n else None, month, new, measures, written=True)
+
+    work_moments, voc_moments = X.work_moments(A.work_orders(spark, sf_dir)), X.interaction_moments(A.interactions(spark, sf_dir))
+    concurrently(spark, [lambda: arrive("work", work_moments, X.WORK), lambda: arrive("voc", voc_moments, X.INTERACTIONS)])
     work, voc = (history.State.load(spark, f"{path}/{name}", months[-1]) for name in ("work", "voc"))
     base = A.load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ccod"))
     return X.customer_features(

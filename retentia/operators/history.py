@@ -92,21 +92,35 @@ def _with_last(moments: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def advance(previous: State | None, new: DataFrame, measures: Measures) -> State:
-    """The state after more moments; ``new`` is a written table and may hold moments of any age."""
+    """The state after more moments; ``new`` is a written table and may hold moments of any age.
+
+    ``recent`` is lazy, so storing it is its only write.
+    """
     sums = list(measures.sums)
     totals = new.groupBy(*KEY).agg(*measures.totals())
     moments = new.where(F.col("at").isNotNull())
     if previous is not None:
-        added = [*[F.sum(c).alias(c) for c in sums], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")]
-        totals = previous.totals.unionByName(totals).groupBy(*KEY).agg(*added)
-        moments = previous.recent.unionByName(moments).groupBy(*KEY, "at").agg(*[F.sum(c).alias(c) for c in sums])
+        # New moments as totals of one moment each, so that both sides are added up by one grouping.
+        known = [F.when(F.col("at").isNotNull(), F.col(n)).alias(n) if n in measures.dated else F.col(n) for n in sums]
+        single = new.select(*KEY, *known, F.col("at").alias("first_at"), F.col("at").alias("last_at"))
+        added = [*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")]
+        totals = previous.totals.unionByName(single).groupBy(*KEY).agg(*added)
+        moments = previous.recent.unionByName(moments)
     totals = materialise(totals, "totals")
-    inside = _with_last(moments, totals).where(whole_days(F.col("_last"), F.col("at")) <= max(WINDOWS))
-    return State(totals, materialise(inside.drop("_last"), "recent"))
+    # Moments that left the window are dropped before the rest is added up.
+    inside = _with_last(moments, totals).where(whole_days(F.col("_last"), F.col("at")) <= max(WINDOWS)).drop("_last")
+    if previous is not None:
+        inside = inside.groupBy(*KEY, "at").agg(*[F.sum(c).alias(c) for c in sums])
+    return State(totals, inside)
+
 
+def advance_month(
+    spark: SparkSession, path: str, before: date | None, month: date, new: DataFrame, measures: Measures, *, written: bool = False
+) -> State:
+    """Stores the state of a month, from that of the month ``before`` and the rows of this one, and reads it back.
 
-def advance_month(spark: SparkSession, path: str, before: date | None, month: date, new: DataFrame, measures: Measures) -> State:
-    """Stores the state of a month, from that of the month ``before`` and the rows of this one, and reads it back."""
+    ``written`` says that ``new`` is a stored table already.
+    """
     previous = State.load(spark, path, before) if before else None
-    advance(previous, materialise(new, "moments"), measures).store(path, month)
+    advance(previous, new if written else materialise(new, "moments"), measures).store(path, month)
     return State.load(spark, path, month)

@@ -96,13 +96,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(rows: DataFrame, name: str) -> DataFrame:
+def materialise(rows: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes an intermediate result to the scratch folder and reads it back.
 
     For results that several later passes read: they start from files that
     outlive any executor, instead of repeating the work or holding a cache.
+    ``by``, the last column, gives each of its few values a folder, so a pass
+    over one of them reads no other.
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, name)
-    rows.write.parquet(path)
+    (rows.write.partitionBy(by) if by else rows.write).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

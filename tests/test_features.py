@@ -186,3 +186,14 @@ def test_history_is_scanned_once(spark, sf_dir):
     plan = X.work_moments(A.work_orders(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
     assert "lineitem.parquet" not in feature_table(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_incremental_months_read_only_what_arrived(spark, sf_dir, tmp_path, monkeypatch):
+    from retentia.catalog import customers
+    from retentia.operators import history
+
+    read, advance_month = [], history.advance_month
+    monkeypatch.setattr(history, "advance_month", lambda *a, **k: read.append(a[4].inputFiles()) or advance_month(*a, **k))
+    customers.incremental_features(spark, sf_dir, str(tmp_path))
+    assert len(read) == 2 * len(customers.PARTS)
+    assert not any(name in f for files in read for f in files for name in ("lineitem.parquet", "orders.parquet"))
